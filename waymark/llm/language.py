@@ -7,26 +7,24 @@ The document gets the language whose spans hold most letters.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import functools
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, small_batches, table, texts
+from .common import add_columns, small_batches, sum_packed, table, texts
 
 UNKNOWN = "und"
 #: Labelled documents that are looked at for each language: in expectation, by a hash of the id.
 FIT_DOCS = 1500
-#: n-grams kept for each language.
-FIT_GRAMS = 60_000
+#: Buckets of hashed character 2- and 3-grams.
+BUCKETS = 1 << 16
 #: Log-likelihood that a change of language between two words must gain.
 SWITCH_PENALTY = 12.0
-CACHE_WORDS = 250_000
 
 #: First and last code points of scripts (Unicode blocks).
 SCRIPTS = [
@@ -38,47 +36,60 @@ SCRIPTS = [
     (0x1100, 0x11FF, "Hangul"), (0xAC00, 0xD7AF, "Hangul"), (0x3040, 0x30FF, "Kana"), (0x3400, 0x9FFF, "Han"), (0x20000, 0x2FA1F, "Han"),
 ]
 
-LETTERS = re.compile(r"[^\W\d_]+")
+NAMES = ["Other", *dict.fromkeys(name for _, _, name in SCRIPTS)]
 
 
-def script(char: str) -> str:
-    c = ord(char)
-    return next((name for lo, hi, name in SCRIPTS if lo <= c <= hi), "Other")
+@functools.cache
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point, whether it is a letter, and its script's index in NAMES."""
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+    script = np.zeros(0x110000, dtype=np.uint8)
+    for lo, hi, name in SCRIPTS:
+        script[lo : hi + 1] = NAMES.index(name)
+    return letter, script
 
 
-def grams(word: str) -> Iterator[str]:
-    """The word with its ends marked, and its character 1- to 4-grams."""
-    w = f"<{word[:40]}>"
-    for n in (1, 2, 3, 4):
-        for i in range(len(w) - n + 1):
-            yield w[i : i + n]
+def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each letter the buckets of its 2- and 3-gram, and the first letters and ends of the words.
+
+    A word is a run of letters; what is around it counts as one mark in the n-grams.  Returns (pairs, triples,
+    starts, ends): starts index the letters, ends the text.
+    """
+    lower = text.lower()
+    if len(lower) != len(text):
+        lower = text  # so that positions hold
+    code = np.frombuffer(lower.encode("utf-32-le"), dtype=np.uint32)
+    letter, _ = tables()
+    x = np.zeros(len(code) + 2, dtype=np.uint32)
+    x[1:-1] = np.where(letter[code], code, 0)
+    at = np.flatnonzero(x)
+    here, before, after = x[at], x[at - 1], x[at + 1]
+    pairs = before * np.uint32(40503) + here * np.uint32(2654435761)
+    triples = pairs * np.uint32(31) + after * np.uint32(2246822519) + np.uint32(7)
+    shift = np.uint32(16)
+    return pairs >> shift, triples >> shift, np.flatnonzero(before == 0), at[after == 0]
 
 
 @dataclass
 class Model:
-    """Per language: log-probabilities of n-grams, and the scripts its words use."""
+    """Per language: log-probabilities of the buckets, and the scripts its words use."""
 
     languages: list[str]
-    table: dict[str, np.ndarray]
-    unseen: np.ndarray
-    scripts: dict[str, np.ndarray]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores of a lower-case letter run; languages that its script rules out get a low one."""
-        rows = [self.table.get(g, self.unseen) for g in grams(word)]
-        # n-grams of one word overlap, so their sum is scaled to about one independent vote for each letter
-        s = np.sum(rows, axis=0, dtype=np.float32) / 4
-        allowed = self.scripts.get(script(word[0]))
-        return s if allowed is None else np.where(allowed, s, s.min() - 50).astype(np.float32)
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = self.word(w)
-        return np.stack([cache[w] for w in words])
+    weight: np.ndarray  # (BUCKETS, languages)
+    allowed: np.ndarray  # (scripts, languages)
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the words under each language, and their starts and ends in the text."""
+        pairs, triples, starts, ends = features(text)
+        if not len(starts) or not self.languages:
+            return np.zeros((0, len(self.languages))), ends, ends
+        # the n-grams of a word overlap: their sum is scaled to one vote for each letter
+        s = np.add.reduceat(self.weight[pairs] + self.weight[triples], starts, axis=0) / 2
+        letters = np.diff(np.append(starts, len(pairs)))
+        first = ends - letters
+        script = tables()[1][np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)[first]]
+        allowed = self.allowed[script]
+        return np.where(allowed, s, s.min(axis=1, keepdims=True) - 50), first, ends
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
@@ -89,48 +100,39 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") ->
 def fit(docs: DataFrame, per_language: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from about ``per_language`` labelled documents of each language (the documented bound).
 
-    The n-grams are counted in Spark; the ``FIT_GRAMS`` most frequent of each language reach the driver.
+    The tasks count hashed n-grams; one array for each language reaches the driver.
     With no labelled row the model has no language and predicts ``und``.
     """
     small_batches(docs.sparkSession)
     rows = labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(n)
+    width = len(languages)
     if not n:
-        return Model([], {}, np.zeros(0, np.float32), {})
-    share = F.element_at(F.create_map(*[F.lit(x) for kv in ((k, min(1.0, per_language / v)) for k, v in n.items()) for x in kv]), F.col("lang"))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.ones((len(NAMES), 0), dtype=bool))
+    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / n[k]))]), F.col("lang"))
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) < share * 1_000_003)
+    index = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[str, Counter] = {}
+        by: dict[int, np.ndarray] = {}
         for batch in batches:
             for t, lang in zip(texts(batch), batch.column(batch.schema.get_field_index("lang")).to_pylist()):
-                by.setdefault(lang, Counter()).update(LETTERS.findall(t.lower()))
-        for lang, words in by.items():
-            got: Counter = Counter()
-            for w, k in words.items():
-                got["\0" + script(w[0])] += k
-                for g in grams(w):
-                    got[g] += k
-            keys = list(got)
-            for lo in range(0, len(keys), 10_000):
-                part = keys[lo : lo + 10_000]
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(part), "gram": part, "n": [got[g] for g in part]}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
-
-    totals = sample.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1 or gram < '\u0001'")
-    languages = sorted(n)
-    at = {k: i for i, k in enumerate(languages)}
-    found: dict[str, np.ndarray] = {}
-    scripts: dict[str, np.ndarray] = {}
-    # bounded by the fit sample: FIT_GRAMS rows for each language at most
-    for r in totals.orderBy(F.desc("n"), "gram", "lang").limit(FIT_GRAMS * len(languages)).toLocalIterator():
-        (scripts if r["gram"][0] == "\0" else found).setdefault(r["gram"].lstrip("\0"), np.zeros(len(languages)))[at[r["lang"]]] = r["n"]
-    if not found:
-        return Model([], {}, np.zeros(0, np.float32), {})
-    mass = np.sum(list(found.values()), axis=0) + 0.5 * len(found)
-    table_ = {g: np.log((c + 0.5) / mass).astype(np.float32) for g, c in found.items()}
-    used = np.sum(list(scripts.values()), axis=0)
-    allowed = {s: c >= 0.001 * np.maximum(used, 1) for s, c in scripts.items()}
-    return Model(languages, table_, np.log(0.5 / mass).astype(np.float32), {s: a for s, a in allowed.items() if a.any()})
+                pairs, triples, _, _ = features(t)
+                own = by.setdefault(index[lang], np.zeros(BUCKETS + len(NAMES), dtype=np.int64))
+                own[:BUCKETS] += np.bincount(pairs, minlength=BUCKETS) + np.bincount(triples, minlength=BUCKETS)
+                code = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+                letter, script = tables()
+                own[BUCKETS:] += np.bincount(script[code[letter[code]]], minlength=len(NAMES))
+        for i, own in by.items():
+            yield pa.RecordBatch.from_pydict({"at": pa.array([i], pa.int32()), "data": pa.array([own.tobytes()], pa.binary())})
+
+    got = sum_packed(sample.select("text", "lang").mapInArrow(count, "at int, data binary"))
+    counts = np.stack([got.get(i, np.zeros(BUCKETS + len(NAMES), dtype=np.int64)) for i in range(width)], axis=1).astype(np.float64)
+    grams, scripts = counts[:BUCKETS] + 0.5, counts[BUCKETS:]
+    allowed = scripts >= 0.001 * np.maximum(scripts.sum(axis=0), 1)
+    allowed[~allowed.any(axis=1)] = True  # a script that no language uses rules none out
+    return Model(languages, np.log(grams / grams.sum(axis=0)).astype(np.float32), allowed)
 
 
 def viterbi(s: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -162,33 +164,27 @@ def viterbi(s: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
 
 
 def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
-    """(first, end, language) stretches of a mixed text, in code points, over its letter runs."""
-    found = [(m.start(), m.end(), m.group()) for m in LETTERS.finditer(text)]
-    if not found or not model.languages:
+    """(first, end, language) stretches of a mixed text, in code points, over its words."""
+    s, starts, ends = model.words(text)
+    if not len(s):
         return []
-    labels = viterbi(model.scores([w.lower() for _, _, w in found]))
-    out: list[list] = []
-    for (a, b, _), j in zip(found, labels):
-        if out and out[-1][2] == model.languages[j]:
-            out[-1][1] = b
-        else:
-            out.append([a, b, model.languages[j]])
-    return [tuple(x) for x in out]
+    labels = viterbi(s)
+    cut = np.flatnonzero(np.diff(labels)) + 1
+    first, last = np.concatenate([[0], cut]), np.append(cut, len(labels)) - 1
+    return [(int(starts[a]), int(ends[b]), model.languages[labels[a]]) for a, b in zip(first, last)]
 
 
 def predict(text: str | None, model: Model) -> tuple[str, float]:
     """Language and score: the letters' share of the winning language's spans, times its posterior over them."""
-    words = LETTERS.findall(text.lower()) if text else []
-    if not words or not model.languages:
+    s, starts, ends = model.words(text) if text else (np.zeros((0, 0)), None, None)
+    if not len(s):
         return UNKNOWN, 0.0
-    s = model.scores(words)
     labels = viterbi(s)
-    size = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
+    size = (ends - starts).astype(np.float64)
     share = np.bincount(labels, weights=size, minlength=len(model.languages)) / size.sum()
     best = int(share.argmax())
     total = s[labels == best].sum(axis=0, dtype=np.float64)
-    total -= total[best]
-    posterior = 1.0 / float(np.exp(np.minimum(total, 700)).sum())
+    posterior = 1.0 / float(np.exp(np.minimum(total - total[best], 700)).sum())
     return model.languages[best], max(0.0, min(1.0, float(share[best]) * posterior))
 
 
@@ -198,6 +194,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def make():
         m = shared.value
+        tables()
 
         def f(batch: pa.RecordBatch) -> dict[str, list]:
             got = [predict(t, m) for t in texts(batch, text_col)]

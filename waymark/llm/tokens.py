@@ -32,7 +32,7 @@ WRITER = {
     "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": str(1 << 20),
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 
@@ -54,6 +54,7 @@ class Encoder:
         for token, i in self.library.get_vocab().items():
             self.leads[i] = token.startswith("Ġ")
         self.ids_of: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -89,7 +90,12 @@ class Encoder:
             elif odd and not odd.isdisjoint(words):
                 out.append(self.whole(text))
             else:
-                out.append(self.whole(words[0]) + b"".join(map(get, words[1:])))
+                head = self.heads.get(words[0])
+                if head is None:
+                    if len(self.heads) > CACHE_WORDS // 20:
+                        self.heads.clear()
+                    head = self.heads[words[0]] = self.whole(words[0])
+                out.append(head + b"".join(map(get, words[1:])))
         return out
 
 
