@@ -23,7 +23,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: The driver's unit vectors are nearly equidistant: the library's default of 0.75 would keep no match.
 RATIO = 0.99
-HALF_HOUR_MS = 1_800_000
+HALF_HOUR_US = 1_800_000_000
 
 
 def query(sql: str | None):
@@ -123,8 +123,8 @@ def world(a):
     return G.affine([c, -s, zero, s, c, zero, zero, zero, one], [F.col("tx"), F.col("ty"), zero], [F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")])
 
 
-WX = "round(cos(a) * l_quantity - sin(a) * l_discount + tx, 4)"
-WY = "round(sin(a) * l_quantity + cos(a) * l_discount + ty, 4)"
+WX = "round(cos(a) * l_quantity - sin(a) * l_discount + tx, 6)"
+WY = "round(sin(a) * l_quantity + cos(a) * l_discount + ty, 6)"
 
 
 @query("SELECT o_orderkey AS node_id FROM orders WHERE o_orderstatus <> 'P'")
@@ -142,13 +142,13 @@ def semi_features_posed(spark, d):
 def affine_world_points(spark, d):
     x, y, z = world(F.col("a"))
     j = t(spark, d, "lineitem").join(node_poses(spark, d), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select("l_orderkey", "l_linenumber", F.round(x, 4).alias("wx"), F.round(y, 4).alias("wy"), F.round(z, 4).alias("wz"))
+    return j.select("l_orderkey", "l_linenumber", F.round(x, 6).alias("wx"), F.round(y, 6).alias("wy"), F.round(z, 4).alias("wz"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {WX} AS wx FROM lineitem LEFT JOIN (SELECT * FROM {POSE} WHERE o_orderstatus = 'O') ON l_orderkey = o_orderkey")
 def left_keypoint_world(spark, d):
     j = t(spark, d, "lineitem").join(node_poses(spark, d).where("o_orderstatus = 'O'"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return j.select("l_orderkey", "l_linenumber", F.round(world(F.col("a"))[0], 4).alias("wx"))
+    return j.select("l_orderkey", "l_linenumber", F.round(world(F.col("a"))[0], 6).alias("wx"))
 
 
 @query("SELECT n_regionkey AS building_id, n_nationkey AS level, n_name AS floor_name, s_suppkey AS scan_id FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE s_acctbal IS NOT NULL")
@@ -193,11 +193,11 @@ def radius_poi(spark, d):
     return t(spark, d, "part").where("p_name is not null").select("p_partkey", F.col("p_name").alias("poi_name"), dist.alias("d")).where("d <= 5.0").select("p_partkey", "poi_name", F.round("d", 4).alias("distance"))
 
 
-@query("SELECT event_id, round(1000.0 / nullif(epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 8)::DOUBLE AS rate FROM events")
+@query("SELECT event_id, round(1000000.0 / nullif(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 8)::DOUBLE AS rate FROM events")
 def frame_rate(spark, d):
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    gap = F.col("ms") - F.lag("ms").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t(spark, d, "events").select("event_id", "user_id", "ts", ms.alias("ms")).select("event_id", F.round(1000.0 / F.nullif(gap, F.lit(0)), 8).alias("rate"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = F.col("us") - F.lag("us").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return t(spark, d, "events").select("event_id", "user_id", "ts", us.alias("us")).select("event_id", F.round(1000000.0 / F.nullif(gap, F.lit(0)), 8).alias("rate"))
 
 
 @query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS frame_no FROM events WHERE value > 10")
@@ -221,15 +221,15 @@ def point_cloud_stride(spark, d):
     return R.stride_sample(t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey", ["l_orderkey", "l_linenumber"], 50)
 
 
-@query(f"""WITH f AS (SELECT user_id, event_id AS frame_id, epoch_ms(ts) AS ms FROM events WHERE event_type = 'purchase'),
-s AS (SELECT user_id, epoch_ms(ts) AS sms, min(event_id) AS sample_id FROM events WHERE event_type = 'click' GROUP BY ALL),
-c AS (SELECT f.user_id, frame_id, sample_id, abs(ms - sms) AS delta, row_number() OVER (PARTITION BY frame_id ORDER BY abs(ms - sms), sms) AS r FROM f JOIN s ON f.user_id = s.user_id AND abs(ms - sms) <= {HALF_HOUR_MS})
+@query(f"""WITH f AS (SELECT user_id, event_id AS frame_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'),
+s AS (SELECT user_id, epoch_us(ts) AS sms, min(event_id) AS sample_id FROM events WHERE event_type = 'click' GROUP BY ALL),
+c AS (SELECT f.user_id, frame_id, sample_id, abs(us - sms) AS delta, row_number() OVER (PARTITION BY frame_id ORDER BY abs(us - sms), sms) AS r FROM f JOIN s ON f.user_id = s.user_id AND abs(us - sms) <= {HALF_HOUR_US})
 SELECT f.user_id, f.frame_id, sample_id, CAST(delta AS BIGINT) AS delta FROM f LEFT JOIN (SELECT * FROM c WHERE r = 1) c USING (frame_id)""")
 def asof_imu_nearest(spark, d):
-    e = t(spark, d, "events").select("user_id", "event_type", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    e = t(spark, d, "events").select("user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     frames = e.where("event_type = 'purchase'").withColumnRenamed("event_id", "frame_id")
     samples = e.where("event_type = 'click'").withColumnRenamed("event_id", "sample_id")
-    return R.nearest_in_time(frames, samples, ["user_id"], "frame_id", "ms", "sample_id", HALF_HOUR_MS)
+    return R.nearest_in_time(frames, samples, ["user_id"], "frame_id", "us", "sample_id", HALF_HOUR_US)
 
 
 @query("SELECT o_orderkey, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, round(CASE WHEN cos(radians((o_orderkey % 360) / 2.0)) < -1e-9 THEN -1 ELSE 1 END * sin(radians((o_orderkey % 360) / 2.0)), 4) AS qz, round(abs(cos(radians((o_orderkey % 360) / 2.0))), 4) AS qw FROM orders WHERE o_orderkey % 360 <> 180")
@@ -253,10 +253,10 @@ def intrinsics_scale(spark, d):
     return t(spark, d, "part").select("p_partkey", F.round(k[0], 4).alias("fx"), F.round(k[3], 4).alias("cy"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round((l_discount / l_quantity * 9 + 1) / 2, 6) AS u, round((1 - l_tax / l_quantity * 9) / 2, 6) AS v FROM lineitem WHERE l_quantity > 0 AND (l_discount / l_quantity * 9 + 1) / 2 BETWEEN 0 AND 1 AND (1 - l_tax / l_quantity * 9) / 2 BETWEEN 0 AND 1")
+@query("SELECT l_orderkey, l_linenumber, round((l_discount / l_quantity * 9 + 1) / 2, 9) AS u, round((1 - l_tax / l_quantity * 9) / 2, 9) AS v FROM lineitem WHERE l_quantity > 0 AND (l_discount / l_quantity * 9 + 1) / 2 BETWEEN 0 AND 1 AND (1 - l_tax / l_quantity * 9) / 2 BETWEEN 0 AND 1")
 def project_uv(spark, d):
     u, v, seen = G.projected([F.col("l_discount"), F.col("l_tax"), -F.col("l_quantity")], F.lit(9.0), F.lit(9.0))
-    return t(spark, d, "lineitem").where(seen).select("l_orderkey", "l_linenumber", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
+    return t(spark, d, "lineitem").where(seen).select("l_orderkey", "l_linenumber", F.round(u, 9).alias("u"), F.round(v, 9).alias("v"))
 
 
 @query("SELECT p_partkey, CAST(i AS INT) AS i, round(CASE WHEN i = 9 THEN p_retailprice ELSE p_size + (p_retailprice - p_size) * i / 9 END, 4) AS x FROM part, range(10) r(i)")
