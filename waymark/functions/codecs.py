@@ -6,14 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _floats(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(bytes(b), dtype="<f4").astype("f8").tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_floats(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
