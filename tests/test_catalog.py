@@ -53,7 +53,7 @@ def test_quaternion_branches(spark):
 def test_gate_in_batch_and_stream(spark, tmp_path):
     rows = [(s, i, float(i), x) for s in (1, 2) for i, x in enumerate([0.0, 0.4, 0.9, 1.1, 1.5, 2.3, 2.2, 9.0])]
     df = spark.createDataFrame(rows, "s long, i long, t double, x double")
-    gate = trajectories.Gate(1.0, speed=5.0)
+    gate = trajectories.Gate(1.0, speed=3.0)
     want = {}
     for s in (1, 2):
         last = None

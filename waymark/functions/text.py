@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def params_map(s: Column) -> Column:
-    """Map of a 'k:v;k:v;' string; the first ':' of an entry separates."""
-    return F.map_filter(F.str_to_map(s, F.lit(";"), F.lit(":")), lambda k, v: k != "")
+    """Map of a 'k:v;k:v;' string; the first ':' of an entry separates, empty entries are ignored."""
+    entries = F.regexp_replace(F.regexp_replace(s, ";+", ";"), "^;|;$", "")
+    return F.map_filter(F.str_to_map(entries, F.lit(";"), F.lit(":")), lambda k, v: k != "")
 
 
 def param(m: Column, key: str, default: float) -> Column:
