@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Rows per Arrow batch: with texts of a few hundred kB a batch stays near 100 MB in the worst case.
 ARROW_ROWS = 1000
+#: Bytes of a batch that ``add_columns`` works on at once, so that what it makes stays small too.
+WORK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +83,14 @@ def widened(schema: T.StructType, added: T.StructType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() not in new] + list(added.fields))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into runs of rows of about ``WORK_BYTES``; a longer row stands alone or with few others."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * WORK_BYTES // max(batch.nbytes, 1))
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def add_columns(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, list | pa.Array]]],
@@ -104,7 +114,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in slices(batches):
             new = f(batch)
             cols = []
             for name, field in zip(names, target):

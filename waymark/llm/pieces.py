@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import add_columns, table, texts
 
 SPACE = "▁"
-CACHE_WORDS = 800_000
-CACHE_PAIRS = 2_000_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 200_000
 
 
 class PieceCodec:
@@ -221,7 +222,7 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", lists:
                 out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if lists:
-                    out["ids"].append([int(x) for x in ids.split(",")] if ids else [])
+                    out["ids"].append(np.array(ids.split(",") if ids else [], dtype=np.int32))
                     out["decoded"].append(decoded)
             return out
 
