@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import add_columns, table, texts
 
 SPACE = "▁"
-CACHE_WORDS = 200_000
-CACHE_PAIRS = 200_000
+CACHE_WORDS = 400_000
+CACHE_PAIRS = 400_000
 
 
 class PieceCodec:
