@@ -5,12 +5,13 @@ import sqlite3
 import struct
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import codecs, geometry, text
-from waymark.operators import matching, trajectories
+from waymark.operators import localize, matching, navigation, trajectories
 from waymark.plans.catalog import ORACLE_SQL, QUERIES
 from waymark.sources.maps import read_map
 
@@ -99,3 +100,72 @@ def test_text_helpers(spark):
     rows = df.select(text.params_map(F.col("p")).alias("p"), text.stem(F.col("q")).alias("q"), text.map_time(F.col("m")).alias("m")).collect()
     assert rows[0]["p"] == {"a": "1", "b": "x:y"} and rows[0]["q"] == "f.tar" and rows[0]["m"].year == 2024
     assert rows[1]["p"] is None and rows[1]["m"] is None
+
+
+def test_pose_of_a_noisy_view(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for image in range(4):
+        r, t = localize.turned(rng.normal(size=3)), np.array([0.3, -0.2, 9.0])
+        points = rng.uniform(-3, 3, size=(60, 3))
+        uv = localize.project(points, r, t) * 400 + 200 + rng.normal(scale=0.2, size=(60, 2))
+        uv[:20] += rng.uniform(30, 90, size=(20, 2))
+        rows += [(image, *map(float, a), *map(float, b)) for a, b in zip(uv, points)]
+        want[image] = r, -r.T @ t
+    rows += [(9, 1.0, 1.0, float(k), 0.0, 0.0) for k in range(30)] + [(10, 1.0, None, 0.0, 0.0, 0.0), (11, 1.0, 1.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "image long, u double, v double, x double, y double, z double")
+    got = {g["image"]: g for g in localize.solve_poses(df, "image", (400.0, 400.0, 200.0, 200.0)).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for image, (r, at) in want.items():
+        g = got[image]
+        assert g["num_correspondences"] == 60 and 38 <= g["num_inliers"] <= 42
+        assert np.abs(np.array([g[c] for c in "xyz"]) - at).max() < 0.05
+        x, y, z, w = (g[c] for c in ("qx", "qy", "qz", "qw"))
+        forward = [1 - 2 * (y * y + z * z), 2 * (x * y + z * w), 2 * (x * z - y * w)]
+        assert w >= 0 and np.abs(forward - r[2]).max() < 0.01  # the map's forward axis is the optical one
+
+
+def test_pose_log_edges(spark):
+    logs = ["POSE: 1 2 3 0 0 0 1\nLocalized 9 9 9 0 0 0 1", "x=1y=2 z=-3.5e0 qx=0 qy=0 qz=0 qw=1\nmatches=30\nmatches=12", "pose 1 2 3", "Pose 1 2 3 0 0 0 1\nmatches: 100 inliers: 1", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(logs)], "i long, log string")
+    got = {r["i"]: (r["pose"], r["num_matches"], r["confidence"]) for r in localize.pose_log(df, "log").collect()}
+    assert got[0] == ([1, 2, 3, 0, 0, 0, 1], 0, 0.5) and got[1] == ([1, 2, -3.5, 0, 0, 0, 1], 30, 0.5)
+    assert all(got[i] == (None, None, None) for i in (2, 3, 4, 5))
+
+
+def guided(positions, start, goal):
+    """The rules of guidance written out point by point."""
+    line = lambda a, b, n: [[u + (v - u) * i / (n - 1) for u, v in zip(a, b)] for i in range(n)]
+    path, at, done, out = line(start, goal, 40), 0, False, []
+    for p in positions:
+        if done:
+            out.append((None, None, None, "completed"))
+            continue
+        best, least = at, math.inf
+        for i in range(max(0, at - 5), min(len(path), at + 10)):
+            if math.dist(p, path[i]) < least:
+                best, least = i, math.dist(p, path[i])
+        if least > 10:
+            for i, q in enumerate(path):
+                if math.dist(p, q) < least:
+                    best, least = i, math.dist(p, q)
+        at, done, again = best, math.dist(p, goal) <= 1.5, least > 5
+        if again:
+            path, at = [p] + line(p, goal, max(20, len(path) - best)), 0
+        out.append((at, len(path) - at - 1, again, "completed" if done else "running"))
+    return out
+
+
+def test_navigation_in_batch_and_stream(spark, tmp_path):
+    walks = {1: [(0, 0, 0), (2, 0.5, 0), (9, 4, 0), (10, 11, 0), (30, 9, 0), (49, 1, 0), (50, 0, 0), (50, 0, 0)], 2: [(50, 30, 0), (20, 0, 0), (3, 0, 1), (48, 0, 0), (49.5, 1, 0)]}
+    rows = [(s, i, *map(float, p), 0.0, 0.0, 0.0, 50.0, 0.0, 0.0) for s, w in walks.items() for i, p in enumerate(w)]
+    df = spark.createDataFrame([*rows, (3, 0, None, *[0.0] * 8)], "s long, i long, x double, y double, z double, sx double, sy double, sz double, gx double, gy double, gz double")
+    want = {(s, i): a for s, w in walks.items() for i, a in enumerate(guided([list(map(float, p)) for p in w], [0.0, 0.0, 0.0], [50.0, 0.0, 0.0]))}
+    answers = lambda rows: {(r["s"], r["i"]): (r["path_index"], r["n_remaining"], r["replan"], r["status"]) for r in rows}
+    assert answers(navigation.navigate(df, "s", "i").collect()) == want
+    for k, part in enumerate(("i < 3", "i >= 3")):
+        df.where(part).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = navigation.navigate_stream(stream, "s", "i").writeStream.format("memory").queryName("guided").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert answers(spark.table("guided").collect()) == want

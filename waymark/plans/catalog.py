@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..operators import localize as L
 from ..operators import matching as M
+from ..operators import navigation as N
 from ..operators import trajectories as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,3 +339,45 @@ def map_summary(spark, d):
 @query("SELECT event_id, round(value, 2) AS value FROM events ORDER BY value DESC, event_id LIMIT 20")
 def top_limit(spark, d):
     return t(spark, d, "events").orderBy(F.desc("value"), "event_id").limit(20).select("event_id", F.round("value", 2).alias("value"))
+
+
+@query("""WITH p AS (SELECT l_suppkey, l_suppkey % 7 * 0.1::DOUBLE AS a, count(*) AS n, count(*) FILTER (l_linenumber <> 7) AS k FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, k AS num_inliers, round(least(0.95, k / n), 6) AS confidence, CAST(round(-100 * (cos(a) + 2 * sin(a))) AS BIGINT) AS x_cm, CAST(round(100 * (sin(a) - 2 * cos(a))) AS BIGINT) AS y_cm, CAST(-20000 AS BIGINT) AS z_cm FROM p WHERE k >= 20""")
+def pose_solve(spark, d):
+    """A supplier's lines as points that a turned and shifted camera sees; every seventh line is a false match."""
+    a = (F.col("l_suppkey") % 7) * 0.1
+    x, y, z = F.col("l_quantity"), F.col("l_discount") * 300, F.col("l_tax") * 500
+    cx, cy, cz = F.cos(a) * x - F.sin(a) * y + 1, F.sin(a) * x + F.cos(a) * y + 2, z + 200
+    u = cx / cz * 500 + 320 + F.when(F.col("l_linenumber") == 7, 100).otherwise(0)
+    seen = t(spark, d, "lineitem").select("l_suppkey", u.alias("u"), (cy / cz * 500 + 240).alias("v"), x.alias("x"), y.alias("y"), z.alias("z"))
+    found = L.solve_poses(seen, "l_suppkey", (500.0, 500.0, 320.0, 240.0))
+    return found.select("l_suppkey", "num_inliers", F.round("confidence", 6).alias("confidence"), *[F.round(F.col(c) * 100).cast("long").alias(f"{c}_cm") for c in "xyz"])
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_custkey::DOUBLE AS x, (o_orderkey % 100 - 50)::DOUBLE AS y, o_orderkey % 90 AS m, o_custkey % (o_orderkey % 90 + 1) AS i FROM orders),
+c AS (SELECT *, CASE WHEN k = 0 THEN CASE WHEN m > 0 AND i > 0 THEN least(1.0, 0.2 + i / m * 0.8) WHEN m > 0 THEN least(1.0, m / 60.0) ELSE 0.5 END WHEN k = 1 THEN 0.7 WHEN k = 2 AND i > 0 THEN least(1.0, i / 60.0) ELSE 0.5 END AS sure FROM o)
+SELECT o_orderkey, CASE WHEN k < 4 AND sure >= 0.5 THEN x END AS x, CASE WHEN k < 4 AND sure >= 0.5 THEN y END AS y, CASE WHEN k < 4 AND sure >= 0.5 THEN CASE WHEN k = 0 THEN m ELSE 0 END END AS num_matches, CASE WHEN k < 4 AND sure >= 0.5 THEN round(sure, 6) END AS confidence FROM c""")
+def pose_from_log(spark, d):
+    """Logs in all forms made from orders, read back."""
+    s = lambda c: c.cast("string")
+    key, x, y = F.col("o_orderkey"), s(F.col("o_custkey")), s(F.col("o_orderkey") % 100 - 50)
+    m, k = key % 90, key % 5
+    i = F.col("o_custkey") % (m + 1)
+    place = F.concat(x, F.lit(" "), y, F.lit(" 0.5 0 0 0 1"))
+    log = (
+        F.when(k == 0, F.concat(F.lit("start\nLocalized: "), place, F.lit("\nmatches: "), s(m), F.lit(" inliers: "), s(i), F.lit("/"), s(m)))
+        .when(k == 1, F.concat(F.lit("pose "), place, F.lit("\nLoop 7 accepted")))
+        .when(k == 2, F.concat(F.lit("t=["), x, F.lit(", "), y, F.lit(", 0.5] q=[0,0,0,1]\nInliers = "), s(i)))
+        .when(k == 3, F.concat(F.lit("camera transform 9 "), place))
+        .otherwise("no place found\nmatches: 3")
+    )
+    out = L.pose_log(t(spark, d, "orders").select("o_orderkey", log.alias("log")), "log")
+    return out.select("o_orderkey", F.get("pose", F.lit(0)).alias("x"), F.get("pose", F.lit(1)).alias("y"), "num_matches", F.round("confidence", 6).alias("confidence"))
+
+
+@query(None)
+def navigation_answers(spark, d):
+    """Devices on their way to (100, 50, 0); the state of a session has no SQL, a plain fold tests it."""
+    start = {c: F.lit(0.0) for c in ("sx", "sy", "sz")}
+    goal = {"gx": F.lit(100.0), "gy": F.lit(50.0), "gz": F.lit(0.0)}
+    return N.navigate(poses(spark, d).withColumns({**start, **goal}), "user_id", "event_id")
