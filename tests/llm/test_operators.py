@@ -371,6 +371,17 @@ def test_leaks(spark, awkward, empty):
     assert leaks.find_leaks(docs, bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_leaks_check_every_window(spark):
+    item = prose(40, 700).split()
+    paraphrase = [x if i % 4 else f"other{i}" for i, x in enumerate(item)]
+    far = item[:32]  # alone in a window: cosine 1, but only a part of the item and without its answer
+    text = " ".join([*prose(320, 701).split(), *paraphrase, *prose(600, 702).split()[:-1], *far[:19], *item[:13]])
+    rows = [(1, text)] + [(2 + k, prose(300, 710 + k)) for k in range(40)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).where("size(leaks) > 0").collect()
+    assert [(r["doc_id"], [x["item_id"] for x in r["leaks"]]) for r in got] == [(1, [7])]
+
+
 def test_lcs_and_svd(spark):
     r = random.Random(1)
     for _ in range(200):
