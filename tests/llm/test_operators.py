@@ -382,6 +382,33 @@ def test_leaks_check_every_window(spark):
     assert [(r["doc_id"], [x["item_id"] for x in r["leaks"]]) for r in got] == [(1, [7])]
 
 
+def test_leaks_hold_all_that_the_check_takes(spark):
+    r = random.Random(12)
+    items = [(k, prose(r.randint(3, 90), 800 + k).split()) for k in range(40)] + [(40, ["the"]), (41, prose(150, 850).split())]
+    rows = []
+    for k, w in items:
+        half = [x if i % 2 or i >= len(w) - 5 else f"junk{k}x{i}" for i, x in enumerate(w)]
+        for copy in (half, w):
+            rare = [f"rare{k}x{i}" for i in range(60)]
+            text = [*prose(r.randint(0, 300), 900 + k).split(), *rare[:30], *copy, *rare[30:], *prose(r.randint(0, 90), 950 + k).split()]
+            rows.append((len(rows), " ".join(text)))
+    rows.append((len(rows), prose(3000, 990) + " the"))
+    want = set()
+    for i, t in rows:
+        words = leaks.split_words(t)
+        for k, w in items:
+            w = leaks.split_words(" ".join(w))
+            for a in range(0, max(1, len(words) - leaks.STRIDE), leaks.STRIDE):
+                near = words[max(0, a - len(w)) : min(a + leaks.WINDOW, len(words)) + len(w)]
+                share, found = leaks.lcs(w, near) / len(w), sum(x in near for x in w[-5:]) / len(w[-5:])
+                if share >= 0.7 or share >= 0.5 and found >= 0.8:
+                    want.add((i, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).select("doc_id", F.explode("leaks").alias("x")).collect()
+    assert {(r["doc_id"], r["x"]["item_id"]) for r in got} == want and len(got) == len(want)
+    assert len(want) >= 80
+
+
 def test_lcs_and_svd(spark):
     r = random.Random(1)
     for _ in range(200):
