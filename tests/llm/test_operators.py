@@ -330,6 +330,16 @@ def test_pages(spark):
     assert pages.extract_pages(rows.limit(0)).count() == 0
 
 
+def test_pages_marked_wrappers_and_siblings():
+    body = "<p>" + ", ".join(["long text"] * 30) + "</p>"
+    want = ", ".join(["long text"] * 30)
+    for name in ("no-sidebar", "layout has-header", "with-comments", "article-header"):
+        assert pages.extract(f"<body><div class='{name}'>{body}{body}</div></body>") == f"{want}\n\n{want}", name
+    assert pages.extract(f"<body><form action=x><div>{body}</div><div class=sidebar><p>side</p></div></form></body>") == want
+    assert pages.extract(f"<body><article>{body}</article><article>{body}</article><form>q</form></body>") == f"{want}\n\n{want}"
+    assert pages.extract(f"<body><article>{body}{body}</article>{body}</body>").count(want) == 3
+
+
 def test_licences(spark, awkward, empty):
     mit = licences.KNOWN[0][1]
     rows = [

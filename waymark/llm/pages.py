@@ -1,6 +1,6 @@
 """Operator 3: main text of web pages by tree scoring.
 
-Boilerplate elements go first.  Each paragraph then gives points for its length and commas to its ancestors,
+Boilerplate elements go first, save those that hold most of the page's text.  Each paragraph then gives points for its length and commas to its ancestors,
 fewer with each level; an element's score is discounted by the share of its text that stands in links.  The
 best element and those of its siblings that score well make up the article.
 """
@@ -29,6 +29,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 KEPT_ALWAYS = frozenset(("html", "body", "article", "main"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: Words that turn a following word of a class or id into a statement about the page: no-sidebar, has-header.
+LAYOUT = frozenset("no has with without hide hides".split())
+#: A subtree marked by class, id, role or as a form stays if it holds more than this share of the page's points.
+MOST = 0.5
+
 #: Points are divided by 1, 2, 4, 6, ...; from this divisor on they are nothing.
 LEVELS = 16
 
@@ -41,28 +46,39 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "scored", "size")
+    __slots__ = ("tag", "parent", "children", "score", "scored", "size", "marked")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.score, self.scored = 0.0, False
+        self.score, self.scored, self.marked = 0.0, False, False
         self.size = (0, 0, 0)  # characters, characters in links, commas
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element and all it holds is left out, by its name, its role or a word of its class or id."""
-    if tag in DROPPED or tag == "header" and not in_article:
+def names_boilerplate(value: str) -> bool:
+    """Whether a name of a class or id has a word of boilerplate that no word of LAYOUT stands before."""
+    for name in value.split():
+        words = WORD.findall(name)
+        if any(w in BOILERPLATE and LAYOUT.isdisjoint(words[:i]) for i, w in enumerate(words)):
+            return True
+    return False
+
+
+def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool | None:
+    """Whether an element and all it holds is left out by its name or as hidden; None if its form, role, class or id
+    only makes that likely."""
+    if tag in DROPPED and tag != "form" or tag == "header" and not in_article:
         return True
+    likely = tag == "form"
     if not attributes or tag in KEPT_ALWAYS:
-        return False
+        return None if likely else False
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name == "role" and value in ROLES or name in ("class", "id") and not BOILERPLATE.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+        if name == "role" and value in ROLES or name in ("class", "id") and names_boilerplate(value):
+            likely = True
+    return None if likely else False
 
 
 def parse(html: str) -> Node:
@@ -111,9 +127,11 @@ def parse(html: str) -> Node:
                 break
         node = Node(tag, stack[-1])
         if not skip:
-            if is_boilerplate(tag, attributes, open_["article"] + open_["main"] > 0):
+            left_out = is_boilerplate(tag, attributes, open_["article"] + open_["main"] > 0)
+            if left_out:
                 skip = len(stack)
             else:
+                node.marked = left_out is None
                 stack[-1].children.append(node)
         stack.append(node)
         open_[tag] += 1
@@ -151,22 +169,44 @@ def paragraphs(root: Node) -> list[Node]:
     return [x for x in walk(root) if isinstance(x, Node) and (x.tag in PARAGRAPHS or (x.tag in BLOCKS or x.tag == "#root") and any((isinstance(c, str) and c.strip()) or (isinstance(c, Node) and c.tag not in BLOCKS) for c in x.children))]
 
 
+def points(p: Node) -> float:
+    chars, linked, commas = p.size
+    return (1 + commas + min(chars / 100, 3)) * (1 - linked / chars) if chars else 0.0
+
+
+def prune(root: Node) -> None:
+    """Take out the marked subtrees that don't hold most of the page's paragraph points."""
+    order = [x for x in walk(root) if isinstance(x, Node)]
+    if not any(x.marked for x in order):
+        return
+    measure(root)
+    held = dict.fromkeys(map(id, order), 0.0)
+    for p in paragraphs(root):
+        held[id(p)] = points(p)
+    for x in reversed(order):
+        if x.parent is not None:
+            held[id(x.parent)] += held[id(x)]
+    least = MOST * held[id(root)]
+    for x in order:
+        x.children = [c for c in x.children if isinstance(c, str) or not c.marked or held[id(c)] > least]
+
+
 def score(root: Node) -> list[Node]:
     """Give every ancestor of a paragraph its points; returns the scored elements."""
     scored: list[Node] = []
+    prune(root)
     measure(root)
     for p in paragraphs(root):
-        chars, linked, commas = p.size
-        if not chars:
+        if not p.size[0]:
             continue
-        points = (1 + commas + min(chars / 100, 3)) * (1 - linked / chars)
+        own = points(p)
         x, level = p.parent if p.tag in PARAGRAPHS and p.parent else p, 1.0
         while x is not None and level < LEVELS:
             if not x.scored:
                 x.scored = True
                 x.score = 25.0 if x.tag in ("article", "main") else 0.0
                 scored.append(x)
-            x.score += points / level
+            x.score += own / level
             x, level = x.parent, level * 2 if level < 2 else level + 2
     return scored
 
@@ -192,7 +232,7 @@ def chosen(root: Node) -> list[Node]:
     least = max(10.0, 0.2 * worth.get(id(best), 0.0))
     out = []
     for s in best.parent.children:
-        if s is best or isinstance(s, Node) and best.tag not in ("article", "main") and (worth.get(id(s), 0) >= least or _good_paragraph(s)):
+        if s is best or isinstance(s, Node) and (worth.get(id(s), 0) >= least or _good_paragraph(s)):
             out.append(s)
     return out
 
