@@ -54,7 +54,6 @@ def test_token_files(spark, awkward, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     out = shared_dir(spark)
     tokens.write_tokens(awkward, out, path)
     rows = sorted(tokens.token_report(spark, out).collect(), key=lambda r: r["start"])
@@ -74,6 +73,12 @@ def test_token_files(spark, awkward, empty):
     out = shared_dir(spark)
     tokens.write_tokens(empty, out, path)
     assert tokens.token_report(spark, out).count() == 0
+    encoder, r = tokens.Encoder(path), random.Random(5)
+    parts = ["a", "The", "'s", "don't", " ", "  ", "\n", "\t", ".", ",", "1", "é", "中", "<|endoftext|>", "\u00a0", "\u3000", "x" * 80, "ing", ")", "?!", "\x00", "😀", "\x1c", "ſ", "\n\n"]
+    for _ in range(2000):
+        x = "".join(r.choice(parts) + " " * (r.random() < 0.6) for _ in range(r.randint(0, 14)))
+        x = x.strip() if r.random() < 0.6 else x
+        assert np.frombuffer(encoder.encode(x), dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
 def test_piece_codec(spark, awkward, empty):

@@ -11,6 +11,7 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,11 +41,14 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, a local session) a temporary folder of this machine is set once and used.
+    Where it is unset in a local session (tests) a temporary folder of this machine is set once and used; on a
+    cluster that would be another folder on each machine, so there it must be set.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="waymark-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/waymark-{uuid.uuid4().hex}"
@@ -132,19 +136,36 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
 
 
 
-
-def sum_packed(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Sum packed int64 arrays (at int, data binary) by ``at``, in two steps, and return them to the driver.
+def sum_packed(rows: DataFrame, dtype: type = np.int64) -> dict[int, np.ndarray]:
+    """Sum packed arrays (at int, data binary) by ``at``, in two steps, and return them to the driver.
 
     Each task sends one array for each ``at``; the first step spreads them over 16 groups for each, so no group
-    gathers the arrays of all tasks.
+    gathers the arrays of all tasks.  What is left is one array for each ``at``, fetched by one job.
     """
 
     def total(frame):
         import pandas as pd
 
-        data = np.sum([np.frombuffer(x, dtype=np.int64) for x in frame["data"]], axis=0, dtype=np.int64)
+        data = np.sum([np.frombuffer(x, dtype=dtype) for x in frame["data"]], axis=0, dtype=dtype)
         return pd.DataFrame({"at": [frame["at"].iloc[0]], "data": [data.tobytes()]})
 
     some = rows.withColumn("_s", F.pmod(F.xxhash64("data"), F.lit(16))).groupBy("at", "_s").applyInPandas(total, "at int, data binary")
-    return {r["at"]: np.frombuffer(r["data"], dtype=np.int64) for r in some.groupBy("at").applyInPandas(total, "at int, data binary").toLocalIterator()}
+    return {r["at"]: np.frombuffer(r["data"], dtype=dtype) for r in some.groupBy("at").applyInPandas(total, "at int, data binary").collect()}
+
+
+#: A key with more than this share of all rows is hot: there are at most HOT_KEYS such keys, so they can be broadcast.
+HOT_KEYS = 2000
+
+
+def split_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row for each key, with a boolean ``hot``) on ``key``.
+
+    The rows of hot keys, at most HOT_KEYS keys, are joined by broadcast and so stay where they are; the others
+    are shuffled.  ``how`` is inner or left; a null key matches nothing.
+    """
+    hot = F.broadcast(keyed.where("hot").drop("hot"))
+    cold = keyed.where("not hot").drop("hot")
+    names = hot.select(F.col(key).alias("_hot"))
+    told = rows.join(F.broadcast(names), rows[key] == F.col("_hot"), "left")
+    inside = told.where("_hot is not null").drop("_hot").join(hot, key)
+    return inside.unionByName(told.where("_hot is null").drop("_hot").join(cold, key, how))

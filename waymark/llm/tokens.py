@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import add_columns, shared_dir, small_batches, table
 
 END_ID = 2
-#: Words a worker remembers with their ids; beyond this it starts anew, so memory stays bounded.
-CACHE_WORDS = 800_000
+#: Memory that each of a worker's tables of words and their ids may take, by estimate; beyond it the table starts anew.
+CACHE_BYTES = 128 << 20
+#: Longer words are encoded again each time.
+LONGEST = 64
 #: The writer's layout.
 WRITER = {
     "parquet.block.size": str(32 << 20),
@@ -36,67 +39,101 @@ WRITER = {
 }
 
 
+#: The byte-level pre-tokenizer's alternatives in its order, over characters whose class is beyond doubt.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЁА-яёぁ-んァ-ヶ一-龥"
+MARKS = "!-/:-@\\[-`{-~"
+TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n(?=[{LETTERS}0-9{MARKS}])")
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    at = dict(zip(seen, seen)) | {b: 256 + i for i, b in enumerate(rest)}
+    return [chr(at[b]) for b in range(256)]
+
+
+class OddSpacing(Exception):
+    """A word that is empty or begins or ends with white space: it may share a pre-token with its neighbours."""
+
+
+class Words(dict):
+    """Ids of words, each found out when it is first asked for; ``lead`` is what stands before a word."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        self.encoder, self.lead, self.held = encoder, lead, 0
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or not (word[0].isprintable() and word[-1].isprintable()) or word[0].isspace() or word[-1].isspace():
+            raise OddSpacing
+        text = self.lead + word
+        parts = TOKENS.findall(text)
+        ids = b"".join(map(self.encoder.parts.__getitem__, parts)) if sum(map(len, parts)) == len(text) else self.encoder.whole(text)
+        if len(word) <= LONGEST:
+            self[word] = ids
+            self.held += 220 + len(ids)  # a string, its ids and their place in the table
+        return ids
+
+
+class Parts(dict):
+    """Ids of pre-tokens by the library's model."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.held = encoder, 0
+
+    def __missing__(self, part: str) -> bytes:
+        e = self.encoder
+        if part.isascii() and "\n" not in part:
+            shown = "Ġ" + part[1:] if part[0] == " " else part
+        else:
+            shown = part.encode().decode("latin-1").translate(e.shown)
+        ids = b"".join([e.packed[t.id] for t in e.library.model.tokenize(shown)])
+        if len(part) <= LONGEST:
+            self[part] = ids
+            self.held += 220 + len(ids)
+        return ids
+
+
 class Encoder:
     """Whole-text ids by the tokenizers library, each distinct word encoded once.
 
     The library's byte-level pre-tokenizer always starts a token at a space that stands between two
     non-space characters, and BPE never crosses it, so a text is the concatenation of its space-led words.
-    Texts with any other spacing go to the library in one piece.
+    A word that TOKENS covers without a gap is cut there just as the pre-tokenizer cuts it, and the library's model
+    encodes the parts; any other goes through the whole library.  So do texts with any other spacing, and texts
+    with the string of an added token, which the library cuts out before all else.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        #: Which ids begin with the space byte.
-        self.leads = np.zeros(self.library.get_vocab_size(), dtype=bool)
-        for token, i in self.library.get_vocab().items():
-            self.leads[i] = token.startswith("Ġ")
-        self.ids_of: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.shown = dict(enumerate(byte_characters()))
+        self.packed = [np.uint32(i).tobytes() for i in range(self.library.get_vocab_size())]
+        self.parts, self.heads, self.words = Parts(self), Words(self, ""), Words(self, " ")
+        probe = "It's one, two.\nÀ 1995 (x)!"
+        if b"".join(map(self.parts.__getitem__, TOKENS.findall(probe))) != self.whole(probe):
+            raise ValueError("not a byte-level BPE tokenizer with the usual pre-tokenizer")
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of words behind a space: encoded as one text, cut again at the ids that begin with a space."""
-        for lo in range(0, len(words), 5000):
-            some = words[lo : lo + 5000]
-            (got,) = self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
-            ids = np.asarray(got.ids, dtype="<u4")
-            at = np.append(np.flatnonzero(self.leads[ids]), len(ids))
-            if len(at) != len(some) + 1:
-                raise ValueError("the tokenizer doesn't start a token at each space")
-            at *= 4
-            data = ids.tobytes()
-            for w, a, b in zip(some, at[:-1].tolist(), at[1:].tolist()):
-                self.ids_of[w] = data[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split(" ") if t else [] for t in texts]
-        new = set().union(*split).difference(self.ids_of)
-        # an empty word is a double, leading or trailing space; outer white space also joins its neighbours
-        odd = {w for w in new if not w or not (w[0].isprintable() and w[-1].isprintable()) or w[0].isspace() or w[-1].isspace()}
-        if len(self.ids_of) + len(new) > CACHE_WORDS:
-            self.ids_of.clear()
-            new = set().union(*split) - odd
-        self.learn(list(new - odd))
-        get, out = self.ids_of.__getitem__, []
-        for text, words in zip(texts, split):
-            if not words:
-                out.append(b"")
-            elif odd and not odd.isdisjoint(words):
-                out.append(self.whole(text))
-            else:
-                head = self.heads.get(words[0])
-                if head is None:
-                    if len(self.heads) > CACHE_WORDS // 20:
-                        self.heads.clear()
-                    head = self.heads[words[0]] = self.whole(words[0])
-                out.append(head + b"".join(map(get, words[1:])))
-        return out
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        for known in (self.parts, self.heads, self.words):
+            if known.held > CACHE_BYTES:
+                known.clear()
+                known.held = 0
+        if any(x in text for x in self.added):
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        try:
+            return self.heads[first] + b"".join(map(self.words.__getitem__, rest))
+        except OddSpacing:
+            return self.whole(text)
 
 
 @functools.lru_cache(maxsize=2)
@@ -110,7 +147,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Encode whole texts, append ``end_id`` and write files in ascending id order under ``path``.
 
     Columns: doc_id, part (number of the file's range), start_in_part, n_tokens, tokens.  A null text is empty
-    and gets the end id alone.  Rows of one id are ordered by their text; null ids come first.
+    and gets the end id alone.  Rows of one id are ordered by their text; null ids come first.  An empty table
+    gives files without rows.  Whole texts are encoded as the library does by default: the string of an added
+    token in a text becomes that token.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
@@ -124,7 +163,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 some = batch.slice(lo, 200)
-                ids = [x + end for x in encoder.encode(some.column(1).to_pylist())]
+                ids = [encoder.encode(x) + end for x in some.column(1).to_pylist()]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(n)
                 flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
@@ -176,6 +215,7 @@ def token_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     path = shared_dir(spark)
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_report(spark, path)
