@@ -275,31 +275,33 @@ def test_chunk_ends_are_local():
 
 
 def slow_dedup(rows):
-    seen, out = {}, {}
-    cut = {}
-    for i, t in sorted({(i, t) for i, t in rows if i is not None and t}):
-        data, at = t.encode(), 0
-        for k, e in enumerate(chunks.chunk_ends(data).tolist()):
-            cut.setdefault((i, t), []).append(data[at:e])
-            seen.setdefault(data[at:e], (i, k))
+    """Text of each (id, text) by plain loops."""
+    seen, out, order = set(), {}, lambda x: (x[0], signed(xxhash.xxh64_intdigest(x[1].encode(), 42)))
+    for i, t in sorted({(i, t) for i, t in rows if i is not None and t}, key=order):
+        data, at, kept, run = t.encode(), 0, b"", b""
+        for e in [*chunks.chunk_ends(data).tolist(), None]:
+            c = None if e is None else data[at:e]
+            if c in seen:
+                run += c
+            else:
+                kept += run if len(run.split()) < chunks.MIN_WORDS else b""
+                run = b""
+                kept += c or b""
+                seen.add(c)
             at = e
-    for i, t in rows:
-        own, kept, run = cut.get((i, t), []), b"", []
-        for k, c in enumerate([*own, None]):
-            if c is not None and seen[c] != (i, k):
-                run.append(c)
-                continue
-            if len(b"".join(run).split()) < chunks.MIN_WORDS:
-                kept += b"".join(run)
-            run = []
-            kept += c or b""
-        out[i, t] = kept.decode() if own else t
-    return out
+        seen.discard(None)
+        out[i, t] = kept.decode()
+    return {(i, t): out.get((i, t), t) for i, t in rows}
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
 
 
 def test_chunk_dedup(spark, awkward, empty):
     shared = prose(60, 21)
-    rows = AWKWARD + [(100 + k, f"{prose(50, 30 + k)} {shared} {prose(40, 60 + k)}") for k in range(6)]
+    a, b = prose(200, 22), prose(200, 23)
+    rows = AWKWARD + [(100 + k, f"{prose(50, 30 + k)} {shared} {prose(40, 60 + k)}") for k in range(6)] + [(200, a), (201, a), (201, b), (202, "中文字符" * 30 + "。")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed_words", F.lit("clash"))
     got = chunks.dedup_substrings(frame).collect()
     assert len(got) == len(rows)
@@ -309,9 +311,35 @@ def test_chunk_dedup(spark, awkward, empty):
     middle = shared[80:-80]
     assert middle in by[100]["text"] and all(middle not in by[100 + k]["text"] for k in range(1, 6))
     assert by[7]["removed_words"] == 0 and by[-5]["removed_words"] == 0
+    # a row of a repeated id that no other row shares text with stays whole
+    assert sorted(r["text"] for r in got if r["doc_id"] == 201) == sorted(["", b])
     assert chunks.dedup_substrings(empty).count() == 0
 
 
+def test_chunk_dedup_common_chunks(spark):
+    """Common chunks are found by partial sums; the result is that of the plain loops."""
+    common = prose(40, 77)
+    rows = [(i, f"{prose(8, 5000 + i)} {common} {prose(9, 9000 + i)}") for i in range(700)]
+    got = chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = slow_dedup(rows)
+    assert {(r["doc_id"], r["text"]) for r in got} == {(i, want[i, t]) for i, t in rows}
+    assert sum(r["removed_words"] > 0 for r in got) == 699
+
+
+def test_passages_of_fifty_words_are_cut():
+    r, found = random.Random(4), []
+    for k in range(300):
+        passage = prose(51, 100_000 + k)[:-1]
+        one, two = (f"{prose(r.randint(20, 60), 200_000 + 2 * k + j)} {passage} {prose(30, 300_000 + 2 * k + j)}".encode() for j in (0, 1))
+        pieces_ = lambda x: [x[a:b] for a, b in zip([0, *chunks.chunk_ends(x).tolist()], chunks.chunk_ends(x).tolist())]
+        seen, run, best = set(pieces_(one)), b"", 0
+        for c in [*pieces_(two), None]:
+            run = run + c if c in seen else b""
+            best = max(best, len(run.split()))
+        found.append(best)
+    assert min(found) >= chunks.MIN_WORDS and np.median(found) >= 40
+
+
 def test_pages(spark):
     extract = pages.extract
     html = (
