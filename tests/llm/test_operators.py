@@ -202,6 +202,9 @@ def test_simhash(spark, awkward, empty):
     assert all(r["fingerprint"] in fps[r["doc_id"]] for r in rows)
     by = {r["doc_id"]: r["component_id"] for r in rows}
     assert by[1] == by[2] == by[3] == 1 and by[7] == by[8] == by[None] == 7
+    copies = spark.createDataFrame([(k, prose(50, 3) if k < 1500 else prose(50, k)) for k in range(1900)], "doc_id long, text string")
+    got = Counter(r["component_id"] for r in simhash.near_duplicates(copies).collect())
+    assert got == {0: 1500, **{k: 1 for k in range(1500, 1900)}}
     assert simhash.near_duplicates(empty).count() == 0
     # chains, stars and noise against all pairs
     rng = random.Random(4)
@@ -223,6 +226,36 @@ def test_simhash(spark, awkward, empty):
     assert got == {k: least[c] for k, c in want.items() if group[c] > 1}
 
 
+def test_fingerprints_in_cells(spark):
+    """Shards split into cells of a few fingerprints each find the same links; few copies are dealt."""
+    r = random.Random(6)
+    items = {}
+    for _ in range(120):
+        x = r.getrandbits(64)
+        for _ in range(r.choice([1, 2, 9])):
+            items[len(items)] = x
+            for _ in range(r.choice([1, 4, 5])):
+                x ^= 1 << r.randrange(64)
+    frame = spark.createDataFrame([(signed(v), k) for k, v in items.items()], "fp long, node long")
+    got = {x["node"]: x["component"] for x in simhash.link_fingerprints(frame, depth=1, points=30, queries=40).collect()}
+    want = slow_components(items)
+    group, least = Counter(want.values()), {}
+    for k, c in want.items():
+        least[c] = min(k, least.get(c, k))
+    assert got == {k: least[c] for k, c in want.items() if group[c] > 1}
+
+
+def test_rows_dealt_are_bounded():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 2**63, 60_000, dtype=np.uint64)
+    for depth, most in ((simhash.LEAST_DEPTH, 6), (simhash.GREATEST_DEPTH, 40)):
+        tree = simhash.Tree(fps[: simhash.TREE_SAMPLE << depth], depth)
+        row, shard, home = tree.route(fps, simhash.BITS)
+        assert len(row) / len(fps) < most and home.sum() == len(fps)
+        share = np.bincount(shard[home], minlength=1 << depth) * (1 << depth) / len(fps)
+        assert share.max() < 12
+
+
 def test_link_shard_dense():
     rng = np.random.default_rng(1)
     x = int(rng.integers(0, 2**63))
@@ -235,6 +268,10 @@ def test_components_chain(spark):
     members = spark.createDataFrame([(i, h) for h in range(40) for i in (h, h + 1)] + [(100, 99), (None, 3)], "node long, hub long")
     got = {r["node"]: r["component"] for r in components.components(members).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100}
+    # a hub that holds most rows
+    star = spark.range(3000).select(F.col("id").alias("node"), F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).cast("long").alias("hub"))
+    got = {r["node"]: r["component"] for r in components.components(star).collect()}
+    assert got == {i: 0 if i < 2500 else i for i in range(3000)}
 
 
 def test_quality(spark, awkward, empty):

@@ -163,9 +163,6 @@ def split_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner")
     The rows of hot keys, at most HOT_KEYS keys, are joined by broadcast and so stay where they are; the others
     are shuffled.  ``how`` is inner or left; a null key matches nothing.
     """
-    hot = F.broadcast(keyed.where("hot").drop("hot"))
-    cold = keyed.where("not hot").drop("hot")
-    names = hot.select(F.col(key).alias("_hot"))
-    told = rows.join(F.broadcast(names), rows[key] == F.col("_hot"), "left")
-    inside = told.where("_hot is not null").drop("_hot").join(hot, key)
-    return inside.unionByName(told.where("_hot is null").drop("_hot").join(cold, key, how))
+    hot, cold = keyed.where("hot").drop("hot"), keyed.where("not hot").drop("hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))

@@ -6,6 +6,10 @@ most ``r`` bits away can lie on the other side only if the distance is within ``
 fingerprints are sent to both sides as queries.  Each shard searches with a tree of its own.  All pairs within
 ``r`` bits are met, and each shard returns only which of its fingerprints hang together, so that a large group
 costs a row for each member and not for each pair.
+
+Each level of the tree that deals out the shards sends more fingerprints to both sides, so it stays shallow; a shard
+that is still too full for a task is searched in cells, each a block of its own fingerprints against a block of those
+that ask.
 """
 
 from __future__ import annotations
@@ -17,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, materialize, small_batches, table, texts
+from .common import HOT_KEYS, add_columns, materialize, small_batches, split_join, table, texts
 from .components import components
 
 BITS = 4
 WORDS = 4
-#: Fingerprints whose distances choose the vantage points and radii of the tree that deals out the shards.
-TREE_SAMPLE = 4096
-#: Fingerprints a shard should hold, and the least number of shards.
+#: Fingerprints for each shard whose distances choose the vantage points and radii of the tree that deals out shards.
+TREE_SAMPLE = 256
+#: Fingerprints a shard should hold, and the least and greatest depth of the tree.
 SHARD_ROWS = 100_000
-LEAST_SHARDS = 16
+LEAST_DEPTH, GREATEST_DEPTH = 4, 8
+#: Fingerprints of a shard that one task holds: those searched, and those that ask.
+CELL_POINTS, CELL_QUERIES = 100_000, 400_000
 LEAF = 192
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -54,8 +60,8 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, fp (signed long) of whole texts; null and wordless texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, fp (signed long) of whole texts, and the columns of ``keep``; null and wordless texts have fingerprint 0."""
 
     def make():
         def f(batch: pa.RecordBatch) -> dict[str, list]:
@@ -64,8 +70,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return f
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text_col))
-    return add_columns(rows, make, "fp long", keep=["doc_id"])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text_col), *(keep or []))
+    return add_columns(rows, make, "fp long", keep=["doc_id", *(keep or [])])
 
 
 class Tree:
@@ -188,17 +194,13 @@ def link_block(forest: Forest, every: np.ndarray, mine: np.ndarray, theirs: np.n
         forest.link(a[apart], b[apart])
 
 
-def link_fingerprints(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """``distinct`` (fp, node): returns node, component of the fingerprints within ``bits`` of each other.
+def cell_counts(home: int, visitors: int, points: int | None = None, queries: int | None = None) -> tuple[int, int]:
+    """Into how many blocks a shard's own fingerprints and its visitors are split."""
+    return max(1, -(-home // (points or CELL_POINTS))), max(1, -(-visitors // (queries or CELL_QUERIES)))
 
-    A fingerprint without neighbours has no row.
-    """
-    spark = distinct.sparkSession
-    small_batches(spark)
-    n = distinct.count()
-    sample = [r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE).collect()]
-    depth = max(n / SHARD_ROWS, LEAST_SHARDS)
-    tree = Tree(np.array(sample, dtype=np.int64).view(np.uint64), int(np.ceil(np.log2(depth))))
+
+def dealt(distinct: DataFrame, tree: Tree, bits: int) -> DataFrame:
+    """``distinct`` (fp, node) dealt to the shards that may hold a neighbour: shard, fp, node, home."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,6 +210,47 @@ def link_fingerprints(distinct: DataFrame, bits: int = BITS) -> DataFrame:
                 s = slice(lo, lo + 50_000)
                 yield pa.RecordBatch.from_pydict({"shard": shard[s].astype(np.int32), "fp": fp[row[s]], "node": node[row[s]], "home": home[s]})
 
+    return distinct.select("fp", "node").mapInArrow(deal, "shard int, fp long, node long, home boolean")
+
+
+def in_cells(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` of ``dealt`` with the cells of their shard that they go to: a column ``cell``, and ``home`` true where a
+    row is searched there and false where it asks.
+
+    ``counts`` has shard, own and others: the blocks of a shard's own rows and of its visitors.  Cell own * i + j
+    searches block i; block j of the shard's own rows asks there if j > i, and cell own * own + i * others + v has visitors
+    of block v.  So all pairs of a shard's own rows and of them with visitors meet, each in one cell.
+    """
+    blocks = rows.join(F.broadcast(counts), "shard")
+    own = F.pmod(F.xxhash64("node"), F.col("own")).cast("int")
+    other = F.pmod(F.xxhash64("node"), F.col("others")).cast("int")
+    n, m = F.col("own"), F.col("others")
+    number = lambda i, j: (n * i + j).cast("int")
+    visited = lambda i, v: (n * n + i * m + v).cast("int")
+    every, each = F.sequence(F.lit(0), n - 1), F.sequence(F.lit(0), m - 1)
+    # as a point in the cells of its own block, as a query in those of the blocks before
+    mine = F.concat(
+        F.transform(F.filter(every, lambda j: j >= own), lambda j: F.struct(number(own, j).alias("cell"), F.lit(True).alias("home"))),
+        F.transform(F.filter(every, lambda i: i < own), lambda i: F.struct(number(i, own).alias("cell"), F.lit(False).alias("home"))),
+        F.transform(each, lambda v: F.struct(visited(own, v).alias("cell"), F.lit(True).alias("home"))),
+    )
+    theirs = F.transform(every, lambda i: F.struct(visited(i, other).alias("cell"), F.lit(False).alias("home")))
+    return blocks.select("shard", "fp", "node", F.explode(F.when(F.col("home"), mine).otherwise(theirs)).alias("at")).select("shard", "at.cell", "fp", "node", "at.home")
+
+
+def link_fingerprints(distinct: DataFrame, bits: int = BITS, depth: int | None = None, points: int | None = None, queries: int | None = None) -> DataFrame:
+    """``distinct`` (fp, node): returns node, component of the fingerprints within ``bits`` of each other.
+
+    A fingerprint without neighbours has no row.  ``depth`` of the tree and the greatest sizes of a cell follow from the
+    number of fingerprints unless they are given.
+    """
+    spark = distinct.sparkSession
+    small_batches(spark)
+    if depth is None:
+        depth = min(GREATEST_DEPTH, max(LEAST_DEPTH, int(np.ceil(np.log2(max(1.0, distinct.count() / SHARD_ROWS))))))
+    sample = [r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE << depth).collect()]
+    tree = Tree(np.array(sample, dtype=np.int64).view(np.uint64), depth)
+
     def search(frame):
         import pandas as pd
 
@@ -218,27 +261,36 @@ def link_fingerprints(distinct: DataFrame, bits: int = BITS) -> DataFrame:
         linked = np.bincount(root, minlength=len(root))[root] > 1
         return pd.DataFrame({"node": node[linked], "hub": node[root[linked]]})
 
-    shards = distinct.select("fp", "node").mapInArrow(deal, "shard int, fp long, node long, home boolean")
-    # a shard is bounded by the tree: about SHARD_ROWS fingerprints at home and their visitors, 21 bytes each
-    return components(shards.groupBy("shard").applyInPandas(search, "node long, hub long"))
+    rows = dealt(distinct, tree, bits)
+    # a row for each shard: at most 2 ** GREATEST_DEPTH
+    held = rows.groupBy("shard").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v")).collect()
+    counts = spark.createDataFrame([(r["shard"], *cell_counts(r["h"], r["v"], points, queries)) for r in held], "shard int, own int, others int")
+    # a cell holds at most about CELL_POINTS and CELL_QUERIES fingerprints, 21 bytes each
+    cells = in_cells(rows, counts)
+    return components(cells.groupBy("shard", "cell").applyInPandas(search, "node long, hub long"))
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id for each row: fingerprints link at ``bits`` or fewer differing bits.
 
     ``component_id`` is the least doc_id reachable.  Rows without an id get a fingerprint; they link nothing that
-    no row with an id has, and their component is null if no row with an id shares their fingerprint.
+    no row with an id has, and their component is null if no row with an id shares their fingerprint.  Null, empty and
+    wordless texts all have fingerprint 0 and so hang together.  Repeated rows stay, an id with several texts has a row
+    for each.  Whole texts are read.  An empty table gives no rows.  ``keep`` names columns to carry along.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col))
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    fps = materialize(fingerprints(docs, id_col, text_col, keep=keep))
+    by = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    distinct = materialize(by.where("rep is not null"))
+    many = max(1000, fps.count() / HOT_KEYS)
     # an id may occur with several texts, so nodes are the fingerprints themselves
     linked = link_fingerprints(distinct.select("fp", F.col("fp").alias("node")), bits)
     lows = linked.join(distinct.select(F.col("fp").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
     named = linked.join(lows, "component").select(F.col("node").alias("fp"), "low")
-    by_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    out = fps.join(by_fp, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = materialize(distinct.join(named, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), (F.col("n") > many).alias("hot")))
+    out = split_join(fps, by_fp, "fp", "left")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(keep or []))
 
 
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, fingerprint, component_id."""
     return near_duplicates(table(spark, sf_dir, "documents"))
