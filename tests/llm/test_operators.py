@@ -462,7 +462,8 @@ def test_leaks_check_every_window(spark):
     assert [(r["doc_id"], [x["item_id"] for x in r["leaks"]]) for r in got] == [(1, [7])]
 
 
-def test_leaks_hold_all_that_the_check_takes(spark):
+def leak_cases():
+    """Items, and texts with halves and copies of them among rare words; and the leaks by brute force over all windows."""
     r = random.Random(12)
     items = [(k, prose(r.randint(3, 90), 800 + k).split()) for k in range(40)] + [(40, ["the"]), (41, prose(150, 850).split())]
     rows = []
@@ -473,20 +474,38 @@ def test_leaks_hold_all_that_the_check_takes(spark):
             text = [*prose(r.randint(0, 300), 900 + k).split(), *rare[:30], *copy, *rare[30:], *prose(r.randint(0, 90), 950 + k).split()]
             rows.append((len(rows), " ".join(text)))
     rows.append((len(rows), prose(3000, 990) + " the"))
+    df = Counter(t for _, x in rows for t in set(leaks.terms(x).tolist()))
+    square = lambda w, n: float(n * np.log1p(len(rows) / (df[int(leaks.terms(w.decode())[0])] + 0.5))) ** 2
     want = set()
     for i, t in rows:
         words = leaks.split_words(t)
         for k, w in items:
             w = leaks.split_words(" ".join(w))
+            weight = {x: square(x, n) for x, n in Counter(w).items()}
             for a in range(0, max(1, len(words) - leaks.STRIDE), leaks.STRIDE):
                 near = words[max(0, a - len(w)) : min(a + leaks.WINDOW, len(words)) + len(w)]
+                if sum(v for x, v in weight.items() if x in near) < leaks.COSINE**2 * sum(weight.values()):
+                    continue
                 share, found = leaks.lcs(w, near) / len(w), sum(x in near for x in w[-5:]) / len(w[-5:])
                 if share >= 0.7 or share >= 0.5 and found >= 0.8:
                     want.add((i, k))
-    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
-    got = leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).select("doc_id", F.explode("leaks").alias("x")).collect()
-    assert {(r["doc_id"], r["x"]["item_id"]) for r in got} == want and len(got) == len(want)
-    assert len(want) >= 80
+    return [(k, " ".join(w)) for k, w in items], rows, want
+
+
+def test_leaks_hold_all_that_the_check_takes(spark, monkeypatch):
+    items, rows, want = leak_cases()
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found():
+        got = leaks.find_leaks(docs, bench).select("doc_id", F.explode("leaks").alias("x")).collect()
+        assert len(got) == len({(r["doc_id"], r["x"]["item_id"]) for r in got})
+        return {(r["doc_id"], r["x"]["item_id"]) for r in got}
+
+    assert len(want) >= 80 and found() == want
+    # the same in several passes of several spaces
+    monkeypatch.setattr(leaks, "PASS_ITEMS", 15)
+    monkeypatch.setattr(leaks, "SPACE_ITEMS", 6)
+    assert found() == want
 
 
 def test_lcs_and_svd(spark):
@@ -500,8 +519,16 @@ def test_lcs_and_svd(spark):
         assert leaks.lcs(a, b) == grid[-1][-1]
     rng = np.random.default_rng(0)
     m = (rng.normal(size=(60, 6)) @ rng.normal(size=(6, 30))).astype(np.float32)
-    v = leaks.randomised_svd(spark, [(np.arange(30), row) for row in m], 30, 6)
+    used = np.arange(30) * 7
+    rows = [(False, used.astype(np.int32).tobytes(), row.tobytes()) for row in m]
+    v = leaks.randomised_svd(spark.createDataFrame(rows, "item boolean, cols binary, weights binary"), used, 6)
     assert np.allclose(m @ v @ v.T, m, atol=1e-2)
+    # hashed words, whole and over the cut of a long text, are those of split_words
+    long = prose(30_000, 8).replace(" ", "  \t", 40)
+    data = long.lower().encode()
+    b, first, last = leaks.located(data)
+    assert [data[x:y] for x, y in zip(first, last)] == leaks.split_words(long)
+    assert b.tolist() == [int(leaks.terms(w.decode())[0]) for w in leaks.split_words(long)]
 
 
 def test_hidden_queries_are_listed():
