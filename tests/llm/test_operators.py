@@ -104,21 +104,31 @@ def test_piece_codec(spark, awkward, empty):
     assert pieces.encode_documents(empty, path).count() == 0
 
 
+def slow_shard(i, tree):
+    """The descent by plain loops."""
+    key = 42 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+
+    def won(children):
+        draw = lambda name: -np.log(((xxhash.xxh64_intdigest(name, key) >> 11) + 0.5) / 2**53)
+        return min(children, key=lambda c: (draw(c[0]) / c[1], c[0]))[0]
+
+    below = lambda x: sum(map(below, x.values())) if isinstance(x, dict) else x
+    region = won([(r, below(x)) for r, x in tree.regions.items()] + [(f"+{k}/added/{s}", w) for k, (s, w) in enumerate(tree.added)])
+    if region[0] == "+":
+        return int(region.split("/")[-1])
+    rack = won([(f"{region}/{r}", below(x)) for r, x in tree.regions[region].items()])
+    return int(won([(f"{rack}/{s}", w) for s, w in tree.regions[region][rack.split("/")[1]].items()]).split("/")[-1])
+
+
 def test_shards(spark, awkward, empty):
     rows = shards.shard_documents(awkward).collect()
     assert len(rows) == len(AWKWARD)
-    key = lambda i: 42 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
-
-    def draw(i, s):
-        h = xxhash.xxh64_intdigest(f"shard-{s}", key(i) & (2**64 - 1))
-        return -np.log(((h >> 11) + 0.5) / 2**53)
-
+    tree = shards.uniform_tree(8)
     texts = {}
     for i, t in AWKWARD:
         texts.setdefault(i, []).append(t)
     for r in rows:
-        assert r["shard"] == min(range(8), key=lambda s: draw(r["doc_id"], s))
-        assert r["grown_shard"] in (r["shard"], 8)
+        assert r["shard"] == slow_shard(r["doc_id"], tree) and r["grown_shard"] == slow_shard(r["doc_id"], tree.grown())
         data = {((t or "").encode()) for t in texts[r["doc_id"]]}
         assert (r["size"] - 1, r["text_crc32"]) in {(len(d), zlib.crc32(d)) for d in data}
     for s in {r["shard"] for r in rows}:
@@ -127,15 +137,34 @@ def test_shards(spark, awkward, empty):
     many = shards.shard_documents(spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")))
     counts = {r["shard"]: r["n"] for r in many.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m")).where("m = n - 1").collect()}
     assert len(counts) == 8 and all(2200 < n < 2800 for n in counts.values())
-    assert 1800 < many.where("grown_shard = 8").count() < 2700
-    # a heavier shard takes rows only into itself
-    heavy = shards.uniform_tree(8)
-    heavy["region0"]["rack1"][3] = 2.0
-    moved = spark.range(5000).select(shards.tree_shard(F.col("id"), shards.uniform_tree(8)).alias("a"), shards.tree_shard(F.col("id"), heavy).alias("b")).where("a <> b")
-    assert {r["b"] for r in moved.collect()} == {3}
+    assert 1900 < many.where("grown_shard = 8").count() < 2550
+    assert many.where("grown_shard <> shard and grown_shard <> 8").count() == 0
     assert shards.shard_documents(empty).count() == 0
 
 
+def test_shards_of_uneven_trees(spark):
+    tree = shards.Tree({"a": {"p": {0: 1.0, 1: 3.0}, "q": {2: 2.0}}, "b": {"r": {3: 1.0}, "s": {4: 1.0, 5: 0.5}, "t": {6: 1.5}}})
+    ids = spark.range(12000)
+
+    def placed(t):
+        return {r["id"]: r["s"] for r in shards.with_shard(ids, "id", t, "s").collect()}
+
+    base = placed(tree)
+    assert all(base[i] == slow_shard(i, tree) for i in range(0, 12000, 40))
+    share = Counter(base.values())
+    assert all(abs(share[s] / 12000 - w / 10) < 0.02 for s, w in {0: 1, 1: 3, 2: 2, 3: 1, 4: 1, 5: 0.5, 6: 1.5}.items())
+    # a tree as given grows: rows move only into the new shard, in its share
+    grown = placed(tree.grown(weight=2.5))
+    assert {grown[i] for i in base if grown[i] != base[i]} == {7} and abs(Counter(grown.values())[7] / 12000 - 0.2) < 0.02
+    twice = placed(tree.grown(weight=2.5).grown(3))
+    assert {twice[i] for i in base if twice[i] != grown[i]} == {3}
+    # less weight in one rack: nothing moves between shards of other racks of the region, or of the other region
+    less = placed(shards.Tree({**tree.regions, "b": {**tree.regions["b"], "s": {4: 0.2, 5: 0.5}}}))
+    moved = {(base[i], less[i]) for i in base if base[i] != less[i]}
+    assert moved and all(was in (4, 5) or now in (4, 5) or (was > 2) != (now > 2) for was, now in moved)
+    assert not any(was < 3 and now < 3 or was in (3, 6) and now in (3, 6) for was, now in moved)
+
+
 def test_language(spark, awkward, empty):
     words = {"aa": "the and with that which".split(), "bb": "der und mit das nicht".split(), "ru": "это как что для".split()}
     r = random.Random(2)

@@ -1,61 +1,86 @@
 """Operator 6: sharding by a hierarchical weighted hash tree.
 
-A row descends region, rack and shard.  Each shard draws an exponential waiting time from a hash of the row's
-id and the shard's name, divided by the shard's weight; a rack's draw is the least of its shards', a region's
-the least of its racks'.  The least of independent exponentials is exponential with the summed rate, so at each
-level a child is chosen in proportion to the weight below it, and a draw changes only if a weight below it
-does: growing one shard can move rows only into that shard, and only along the path that leads to it.
+A row descends region, rack and shard.  At each node on its path, every child draws an exponential waiting time from a
+hash of the row's id and the child's name, divided by the weight below the child; the least draw wins, so a child is
+chosen in proportion to its weight.  A draw depends on one child alone: if weights change inside a subtree, rows move
+only out of it or into it, and in a node whose weights all stay as they were no row moves.
+
+A tree that grows by a shard must move rows into that shard only, from everywhere.  So a grown tree keeps the weights it
+had and draws at its root for each shard added since: a row that an added shard wins goes straight there, all others
+descend as before.
 """
 
 from __future__ import annotations
 
-import functools
+import dataclasses
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
+
+
+@dataclass(frozen=True)
+class Tree:
+    """region -> rack -> shard -> weight, and (shard, weight) added since, in order.  Weights are positive."""
+
+    regions: dict[str, dict[str, dict[int, float]]]
+    added: tuple[tuple[int, float], ...] = ()
+
+    def shards(self) -> list[int]:
+        return sorted({s for racks in self.regions.values() for shards in racks.values() for s in shards} | {s for s, _ in self.added})
+
+    def grown(self, shard: int | None = None, weight: float = 1.0) -> Tree:
+        """With one more shard (the next number), or with more weight for a given one; rows move only into it."""
+        return dataclasses.replace(self, added=(*self.added, (max(self.shards()) + 1 if shard is None else shard, weight)))
+
+    def children(self) -> dict[str, list[tuple[str, float]]]:
+        """(name, weight) of the children of the root, the regions and the racks, by the parent's name."""
+        out: dict[str, list[tuple[str, float]]] = {"": []}
+        for region, racks in self.regions.items():
+            out[""].append((region, sum(sum(x.values()) for x in racks.values())))
+            out[region] = [(f"{region}/{rack}", sum(shards.values())) for rack, shards in racks.items()]
+            for rack, shards in racks.items():
+                out[f"{region}/{rack}"] = [(f"{region}/{rack}/{s}", w) for s, w in shards.items()]
+        out[""] += [(f"+{k}/added/{s}", w) for k, (s, w) in enumerate(self.added)]
+        return out
 
-#: region -> rack -> shard -> weight
-Tree = dict[str, dict[str, dict[int, float]]]
 
 #: Sub-groups of a shard in which slots are numbered; their offsets (shards * this many) reach the driver.
 SLOT_GROUPS = 256
 
 
 def uniform_tree(n_shards: int, racks_per_region: int = 2, shards_per_rack: int = 2) -> Tree:
-    """Shards 0..n-1 of weight 1, filled rack by rack; shard ``n`` is the next that a growing tree gets."""
-    tree: Tree = {}
+    """Shards 0..n-1 of weight 1, filled rack by rack."""
+    regions: dict[str, dict[str, dict[int, float]]] = {}
     for s in range(n_shards):
         rack = s // shards_per_rack
-        tree.setdefault(f"region{rack // racks_per_region}", {}).setdefault(f"rack{rack}", {})[s] = 1.0
-    return tree
+        regions.setdefault(f"region{rack // racks_per_region}", {}).setdefault(f"rack{rack}", {})[s] = 1.0
+    return Tree(regions)
 
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    """-ln(u) / weight with u in (0, 1) from 53 bits of xxhash64(key, shard name)."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard-{shard}")), 11)
-    return -F.ln((bits.cast("double") + 0.5) / F.lit(float(2**53))) / F.lit(float(weight))
+def _winner(key: Column, children: Column) -> Column:
+    """The name of the child of least draw -ln(u) / weight, u in (0, 1) from 53 bits of xxhash64(key, name); ties: least name."""
+    bits = lambda c: F.shiftrightunsigned(F.xxhash64(key, c["name"]), 11).cast("double")
+    draw = lambda c: F.struct((-F.ln((bits(c) + 0.5) / F.lit(float(2**53))) / c["weight"]).alias("d"), c["name"].alias("name"))
+    return F.array_min(F.transform(children, draw))["name"]
 
 
-def tree_shard(key: Column, tree: Tree) -> Column:
-    """The shard of ``key``: the region of least draw, in it the rack, in it the shard (ties: smaller name).
+def with_shard(rows: DataFrame, key: str, tree: Tree, name: str) -> DataFrame:
+    """Add ``name``, the shard of column ``key``: region, rack and shard in turn, each from the children on the path only.
 
-    A null key draws as a key of its own.  Weights must be positive.
+    A null key descends as a key of its own.
     """
-
-    def least(cols: list[Column]) -> Column:
-        return functools.reduce(lambda a, b: F.least(a, b), cols)
-
-    regions = []
-    for region, racks in sorted(tree.items()):
-        in_region = []
-        for rack, shards in sorted(racks.items()):
-            draws = [F.struct(_draw(key, s, w).alias("d"), F.lit(s).alias("shard")) for s, w in sorted(shards.items())]
-            in_region.append(F.struct(least(draws).getField("d").alias("d"), F.lit(rack).alias("rack"), least(draws).getField("shard").alias("shard")))
-        won = least(in_region)
-        regions.append(F.struct(won.getField("d").alias("d"), F.lit(region).alias("region"), won.getField("shard").alias("shard")))
-    return least(regions).getField("shard")
+    array = lambda x: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("weight")) for n, w in sorted(x)])
+    known = tree.children()
+    inner = F.create_map(*[c for parent, x in sorted(known.items()) if parent for c in (F.lit(parent), array(x))])
+    path, out = fresh(rows, "_path"), rows
+    out = out.withColumn(path, _winner(F.col(key), array(known[""])))
+    for _ in range(2):
+        # an added shard has no children: its row has arrived
+        out = out.withColumn(path, F.when(F.col(path).contains("/added/"), F.col(path)).otherwise(_winner(F.col(key), F.element_at(inner, F.col(path)))))
+    return out.withColumn(name, F.element_at(F.split(path, "/"), -1).cast("int")).drop(path)
 
 
 def with_slots(df: DataFrame, group: str, order: list[str], groups: int = SLOT_GROUPS) -> DataFrame:
@@ -80,22 +105,22 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, tree: Tree | None = None
     """One row for each document: id, size, text_crc32, law, shard, slot and grown_shard.
 
     ``size`` is the text's UTF-8 bytes plus 1 and ``text_crc32`` the unsigned CRC-32 of those bytes (null text:
-    none, so 1 and 0).  The law is ``key``: id and tree alone decide the shard.  ``grown_shard`` is the shard
-    with one more.  Repeated rows get slots of their own; an empty table gives no rows.
+    none, so 1 and 0).  The law is ``key``: id and tree alone decide the shard.  ``grown_shard`` is the shard in the
+    tree (the given one, or the uniform one) grown by one shard.  Repeated rows go to one shard, null ids too, and get slots
+    of their own; whole texts of any length are read; other columns don't matter; an empty table gives no rows.
     """
     tree = tree or uniform_tree(n_shards)
-    grown = uniform_tree(n_shards + 1)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"),
         F.lit("key").alias("law"),
-        tree_shard(F.col(id_col), tree).cast("int").alias("shard"),
-        tree_shard(F.col(id_col), grown).cast("int").alias("grown_shard"),
     )
+    rows = with_shard(with_shard(rows, "doc_id", tree, "shard"), "doc_id", tree.grown(), "grown_shard")
     out = with_slots(rows, "shard", ["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     return shard_documents(table(spark, sf_dir, "documents"))
