@@ -22,6 +22,8 @@ from .common import add_columns, table, texts
 SPACE = "▁"
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 400_000
+#: Longer words, as whole lines of scripts without spaces are, aren't remembered: a table entry stays small.
+LONGEST = 64
 
 
 class PieceCodec:
@@ -155,22 +157,18 @@ class PieceCodec:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out)
 
-    def learn(self, chunk: str, key: str) -> None:
+    def coded(self, chunk: str, key: str) -> tuple[str, str | None]:
+        """Ids of a chunk, joined by commas, and its decoded text if that isn't a space and ``key``."""
         pieces, known = self.split(chunk), self.id
         try:
-            self.ids_of[key] = ",".join([str(known[p]) for p in pieces])
-            plain = chunk[1:] == key
+            ids = ",".join([str(known[p]) for p in pieces])
+            text = "".join(pieces).replace(SPACE, " ")
         except KeyError:
-            ids = self.ids(pieces)
-            self.ids_of[key] = ",".join(map(str, ids))
+            numbers = self.ids(pieces)
+            ids = ",".join(map(str, numbers))
             # decode() drops one mark at the start of a text; behind a piece that has none it drops nothing
-            text = self.decode([self.id["a"], *ids])[1:]
-            plain = text == " " + key
-            if not plain:
-                self.text_of[key] = text
-            return
-        if not plain:
-            self.text_of[key] = "".join(pieces).replace(SPACE, " ")
+            text = self.decode([self.id["a"], *numbers])[1:]
+        return ids, None if text == " " + key else text
 
     def report(self, text: str) -> tuple[int, str, str]:
         """Number of ids, decimal ids joined by commas, decoded text."""
@@ -179,19 +177,28 @@ class PieceCodec:
         words = text.split(" ")
         if "" in words or SPACE in text:
             words = self.chunks(text)  # keys that begin with a mark; no word of the other kind does
-        new = set(words).difference(self.ids_of)
+        ids_of, text_of = self.ids_of, self.text_of
+        new = set(words).difference(ids_of)
         if new:
-            if len(self.ids_of) + len(new) > CACHE_WORDS:
-                self.ids_of.clear()
-                self.text_of.clear()
+            if len(ids_of) + len(new) > CACHE_WORDS:
+                ids_of.clear()
+                text_of.clear()
                 new = set(words)
-            for w in new:
-                self.learn(w if w[0] == SPACE else SPACE + w, w)
-        ids = ",".join(map(self.ids_of.__getitem__, words))
-        if self.text_of.keys().isdisjoint(words):  # each word's ids decode to a space and the word
+            long = {w for w in new if len(w) > LONGEST}
+            for w in new - long:
+                ids_of[w], other = self.coded(w if w[0] == SPACE else SPACE + w, w)
+                if other is not None:
+                    text_of[w] = other
+            if long:
+                got = {w: self.coded(w if w[0] == SPACE else SPACE + w, w) for w in long}
+                ids_of = {w: got[w][0] if w in got else ids_of[w] for w in set(words)}
+                text_of = {w: got[w][1] if w in got else text_of.get(w) for w in ids_of}
+                text_of = {w: x for w, x in text_of.items() if x is not None}
+        ids = ",".join(map(ids_of.__getitem__, words))
+        if text_of.keys().isdisjoint(words):  # each word's ids decode to a space and the word
             decoded = " ".join(words)
         else:
-            decoded = "".join([self.text_of.get(w) or " " + w for w in words])
+            decoded = "".join([text_of.get(w) or " " + w for w in words])
             decoded = decoded[1:] if decoded[:1] == " " else decoded
         return ids.count(",") + 1, ids, decoded
 
@@ -208,7 +215,8 @@ def shared_codec(path: str) -> PieceCodec:
 def encode_documents(docs: DataFrame, model: str, text_col: str = "text", lists: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Add n_tokens, ids_sha256 and decoded_sha256, and with ``lists`` the ids and the decoded text themselves.
 
-    A null or empty text has no ids and decodes to the empty text.
+    A null or empty text has no ids and decodes to the empty text.  Whole texts are encoded, one at a time; repeated rows
+    stay; an empty table gives no rows; a column of the name of an added one is replaced.
     """
 
     def make():
@@ -242,5 +250,6 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
 
 
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
