@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import add_columns, small_batches, sum_packed, table, texts
 
 UNKNOWN = "und"
-#: Labelled documents that are looked at for each language: in expectation, by a hash of the id.
+#: Labelled documents that are looked at for each language: in expectation, by a hash of id and text.
 FIT_DOCS = 1500
 #: Buckets of hashed character 2- and 3-grams.
 BUCKETS = 1 << 16
@@ -57,7 +57,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     """
     lower = text.lower()
     if len(lower) != len(text):
-        lower = text  # so that positions hold
+        lower = "".join([c if len(c.lower()) != 1 else c.lower() for c in text])  # so that positions hold
     code = np.frombuffer(lower.encode("utf-32-le"), dtype=np.uint32)
     letter, _ = tables()
     x = np.zeros(len(code) + 2, dtype=np.uint32)
@@ -100,8 +100,9 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") ->
 def fit(docs: DataFrame, per_language: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from about ``per_language`` labelled documents of each language (the documented bound).
 
-    The tasks count hashed n-grams; one array for each language reaches the driver.
-    With no labelled row the model has no language and predicts ``und``.
+    The tasks count hashed n-grams; one array for each language reaches the driver.  Rows without a label or a text
+    are left out; copies of one row are drawn together.  With no labelled row the model has no language and predicts
+    ``und``.
     """
     small_batches(docs.sparkSession)
     rows = labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCS, id_col: str = "doc_id", t
     if not n:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.ones((len(NAMES), 0), dtype=bool))
     share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / n[k]))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_003)) < share * 1_000_003)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_003)) < share * 1_000_003)
     index = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,11 @@ def predict(text: str | None, model: Model) -> tuple[str, float]:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score``.  Null, empty and letterless texts get ``und`` and 0; whole texts are read."""
+    """Add ``lang_pred`` and ``score``.
+
+    Null, empty and letterless texts get ``und`` and 0; whole texts are read; of equally good languages the first by name
+    is taken; repeated rows stay; an empty table gives no rows; columns named as the added ones are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -205,7 +210,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return add_columns(docs, make, "lang_pred string, score double")
 
 
+def language_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Add ``spans``: the stretches of one language (start, end in code points, lang) of each text, empty for one without a
+    letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        return lambda batch: {"spans": [[{"start": a, "end": z, "lang": k} for a, z, k in spans(t, shared.value)] for t in texts(batch, text_col)]}
+
+    return add_columns(docs, make, "spans array<struct<start: long, end: long, lang: string>>")
+
+
 def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, held_out, lang_pred, score."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs)
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2

@@ -87,7 +87,8 @@ def quality(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
     """Add the base counts, the ratios and the verdict ``kept``.
 
     A null or empty text has counts of 0, fails the base rules and isn't kept.  Whole texts are read, one at a
-    time.
+    time; a rest of under a quarter of a chunk at the end is judged with the whole text only.  Repeated rows stay; an empty
+    table gives no rows; columns named as the added ones are replaced.
     """
 
     def make():
@@ -111,5 +112,6 @@ def quality(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
 
 
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, the base counts, ratios and verdicts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs).drop("text")
