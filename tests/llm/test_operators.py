@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -439,6 +440,18 @@ def test_pages_marked_wrappers_and_siblings():
     assert pages.extract(f"<body><article>{body}{body}</article>{body}</body>").count(want) == 3
 
 
+@pytest.mark.parametrize("unit, end", [("<a ", ""), ("<a '\">\"'", ""), ("<span>", "<li>"), ("<b><td><i>", "</b>"), ("<li><div><span>", "<li></li>"), ("<!", ">"), ("<a \"'>", ""), ("<div>", ""), ("<p>x,", "")])
+def test_hostile_pages_take_linear_time(unit, end):
+    def seconds(n):
+        page, began = unit * n + end * n, time.process_time()
+        pages.extract(page)
+        return time.process_time() - began
+
+    seconds(100)
+    n = 200_000 // len(unit)
+    assert seconds(4 * n) < 8 * max(seconds(n), 0.1)
+
+
 def test_licences(spark, awkward, empty):
     mit = licences.KNOWN[0][1]
     rows = [

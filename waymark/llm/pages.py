@@ -8,7 +8,8 @@ best element and those of its siblings that score well make up the article.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from .common import add_columns, table, texts
 
 #: HTML element names and the words of class, id and role that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes|noscript"
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav footer aside form button select option datalist dialog menu svg canvas object audio video map".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd figcaption h1 h2 h3 h4 h5 h6".split())
@@ -34,13 +35,16 @@ LAYOUT = frozenset("no has with without hide hides".split())
 #: A subtree marked by class, id, role or as a form stays if it holds more than this share of the page's points.
 MOST = 0.5
 
+#: Points that an element has by its name: they decide between blocks of a few words each.
+TAG_POINTS = {"article": 25.0, "main": 25.0}
 #: Points are divided by 1, 2, 4, 6, ...; from this divisor on they are nothing.
 LEVELS = 16
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: What begins a tag, comment or declaration, and the rest of a tag with its quoted values.
+START = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
+REST = re.compile(r"((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: Tags whose quotes don't close that are read so before quotes are ignored in the rest of a page: each costs a look at all of it.
+OPEN_QUOTES = 8
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
 WORD = re.compile(r"[a-z]+")
 
@@ -81,62 +85,100 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool | None:
     return None if likely else False
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, slash, tag, attributes) of each tag in turn, and at last (text, "", "", ""); comments, declarations and
+    what elements of raw text hold are left out.
+
+    Every character is looked at a bounded number of times: what follows the last ">" holds no tag.
+    """
+    at = here = 0
+    last, open_quotes = html.rfind(">") + 1, 0
+    parts: list[str] = []
+    while m := START.search(html, here):
+        slash, tag = m.group(1), m.group(2)
+        if m.group() == "<!--":
+            parts.append(html[at : m.start()])
+            end = html.find("-->", m.end())
+            at = here = len(html) if end < 0 else end + 3
+            continue
+        if m.start() >= last:
+            break
+        if tag is None:
+            parts.append(html[at : m.start()])
+            at = here = html.index(">", m.end()) + 1
+            continue
+        rest = REST.match(html, m.end()) if open_quotes < OPEN_QUOTES else None
+        if rest is None:
+            open_quotes += 1
+            end = html.find(">", m.end())
+            if end < 0:
+                break
+            attributes, here = html[m.end() : end], end + 1
+        else:
+            attributes, here = rest.group(1), rest.end()
+        before, tag = "".join([*parts, html[at : m.start()]]), tag.lower()
+        parts.clear()
+        at = here
+        if tag in RAW and not slash:
+            close = re.compile(rf"</{tag}\s*>", re.I).search(html, here)
+            at = here = close.end() if close else len(html)
+            parts.append(before)
+            continue
+        yield before, slash, tag, attributes
+    yield "".join([*parts, html[at:]]), "", "", ""
+
+
 def parse(html: str) -> Node:
     """Tree of elements and texts, without boilerplate.  Missing end tags are implied; any text parses."""
     root = Node("#root", None)
     stack = [root]
-    open_ = Counter()  # elements on the stack by name
+    skip = 0  # height of the stack at which left-out content began
+    at: defaultdict[str, list[int]] = defaultdict(list)  # places on the stack by name
+    walls: list[int] = []  # of cells, articles and main elements, which an inline end tag doesn't leave
+    others: list[int] = []  # of blocks but paragraphs and cells, which an implied end doesn't leave
 
     def close(k: int) -> None:
         nonlocal skip
         for x in stack[k:]:
-            open_[x.tag] -= 1
+            at[x.tag].pop()
         del stack[k:]
+        for places in (walls, others):
+            while places and places[-1] >= k:
+                places.pop()
         if skip >= len(stack):
             skip = 0
 
-    skip = 0  # height of the stack at which left-out content began
-    at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at and not skip:
-            stack[-1].children.append(unescape(html[at : m.start()]))
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
-            continue  # comments, declarations, elements of raw text
-        tag = tag.lower()
-        if m.group(2):
-            for k in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in ("td", "th", "article", "main") and tag not in BLOCKS:
-                    break
+    for before, slash, tag, attributes in tokens(html):
+        if before and not skip:
+            stack[-1].children.append(unescape(before))
+        if not tag:
+            break
+        if slash:
+            if at[tag] and (tag in BLOCKS or not walls or walls[-1] <= at[tag][-1]):
+                close(at[tag][-1])
             continue
-        attributes = m.group(4)
         if tag in VOID or attributes.endswith("/") and tag in DROPPED:
             if tag in ("br", "hr", "wbr", "img") and not skip:
                 stack[-1].children.append(" " if tag != "wbr" else "")
             continue
         closes = CLOSES.get(tag, {"p"} if tag in BLOCKS else ())
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in closes:
-                close(k)
-                break
-            if stack[k].tag in BLOCKS and stack[k].tag not in ("p", "td", "th"):
-                break
+        k = max((at[c][-1] for c in closes if at[c]), default=0)
+        if k and (not others or others[-1] <= k):
+            close(k)
         node = Node(tag, stack[-1])
         if not skip:
-            left_out = is_boilerplate(tag, attributes, open_["article"] + open_["main"] > 0)
+            left_out = is_boilerplate(tag, attributes, bool(at["article"] or at["main"]))
             if left_out:
                 skip = len(stack)
             else:
                 node.marked = left_out is None
                 stack[-1].children.append(node)
+        at[tag].append(len(stack))
+        if tag in ("td", "th", "article", "main"):
+            walls.append(len(stack))
+        if tag in BLOCKS and tag not in ("p", "td", "th"):
+            others.append(len(stack))
         stack.append(node)
-        open_[tag] += 1
-    if at < len(html) and not skip:
-        stack[-1].children.append(unescape(html[at:]))
     return root
 
 
@@ -204,7 +246,7 @@ def score(root: Node) -> list[Node]:
         while x is not None and level < LEVELS:
             if not x.scored:
                 x.scored = True
-                x.score = 25.0 if x.tag in ("article", "main") else 0.0
+                x.score = TAG_POINTS.get(x.tag, 0.0)
                 scored.append(x)
             x.score += own / level
             x, level = x.parent, level * 2 if level < 2 else level + 2
@@ -212,7 +254,7 @@ def score(root: Node) -> list[Node]:
 
 
 def chosen(root: Node) -> list[Node]:
-    """The best element, or the article or main element around it, and its good siblings, in page order."""
+    """The best element and its good siblings, in page order; ties go to the outermost, then to the first."""
     scored = score(root)
     if not scored:
         return []
@@ -220,13 +262,10 @@ def chosen(root: Node) -> list[Node]:
     for x in scored:
         chars, linked, _ = x.size
         worth[id(x)] = x.score * (1 - linked / chars if chars else 0)
-    best = max(scored, key=lambda x: worth[id(x)])  # ties: the first in page order
-    x = best
-    while x is not None:
-        if x.tag in ("article", "main"):
-            best = x
-            break
-        x = x.parent
+    best = max(scored, key=lambda x: worth[id(x)])
+    # an element that holds nothing else is as good as what it holds
+    while best.parent is not None and best.parent.parent is not None and best.parent.size[0] == best.size[0]:
+        best = best.parent
     if best.parent is None:
         return [best]
     least = max(10.0, 0.2 * worth.get(id(best), 0.0))
@@ -277,7 +316,11 @@ def extract(html: str) -> str:
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """Add ``text`` and ``n_chars`` (its code points).  A null or empty page has an empty text."""
+    """Add ``text`` and ``n_chars`` (its code points).
+
+    A null or empty page, and one without a paragraph, has an empty text.  Whole pages are read, in time that grows with
+    their length; repeated rows stay; an empty table gives no rows; columns named as the added ones are replaced.
+    """
 
     def make():
         def f(batch: pa.RecordBatch) -> dict[str, list]:
@@ -290,5 +333,6 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: list[str] | No
 
 
 def op3_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each page: page_id, url, text, n_chars."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html"))
     return extract_pages(pages, keep=["page_id", "url"])
