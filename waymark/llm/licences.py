@@ -1,7 +1,8 @@
 """Operator 4: licences by canonical digest, in DataFrame functions only.
 
-Case, punctuation, copyright lines and equivalent spellings are normalised away; the digest of the whole text,
-and of each line, is looked up among the digests of known licence texts and notices by a hash join.
+Case, punctuation, list marks, line breaks, copyright lines and equivalent spellings are normalised away; the digest of
+the whole text, of each paragraph and of each line is looked up among the digests of known licence texts and notices by
+a hash join.
 """
 
 from __future__ import annotations
@@ -50,7 +51,39 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution."""
 
-#: (licence, text): whole licences, and the notices that stand for one in a line.  More come as a table.
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to """
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def _gnu(what: str, name: str, version: str, mark: str) -> str:
+    return f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+
+
+#: Notices of several lines, as they stand in source files: each paragraph by itself.
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    *[(f"GPL-{v}.0-or-later", _gnu(w, "General Public License", v, m)) for v, m in (("2", ";"), ("3", ":")) for w in ("program", "file")],
+    *[(f"AGPL-{v}.0-or-later", _gnu("program", "Affero General Public License", v, ":")) for v in "3"],
+    *[(f"LGPL-{v}-or-later", _gnu(w, "Lesser General Public License", k, m)) for v, k, m in (("2.1", "2.1", ";"), ("3.0", "3", ":")) for w in ("library", "program")],
+]
+
+#: Fixed values.  (licence, text): whole licences, and the notices that stand for one in a line.  More come as a table.
 KNOWN = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
@@ -64,6 +97,10 @@ KNOWN = [
     ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_THIRD + _BSD_END),
     ("Zlib", _ZLIB),
     ("Zlib", "zlib License\n\n" + _ZLIB),
+    *[("Unlicense", _UNLICENSE + end) for end in ("<https://unlicense.org>", "<http://unlicense.org/>", "<https://unlicense.org/>")],
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST),
+    ("BSL-1.0", _BOOST),
+    *HEADERS,
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -78,76 +115,112 @@ KNOWN = [
 BROADCAST_DIGESTS = 100_000
 
 
-def canonical_lines(text: Column) -> Column:
-    """The text's lines: lower case, ASCII letters and digits, single spaces, usual spellings; no copyright lines."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9\n]+", " ")
+#: A mark of a list at the start of a line: bullets are punctuation, numbers and letters go like them.
+LIST_MARK = "(^|\n)[ \t]*[(]?([0-9]{1,2}|[a-z])[.)][ \t]+"
+PARAGRAPH = "\n *\n[ \n]*"
+
+
+def spelled(t: Column) -> Column:
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
+    return t
+
+
+def canonical_paragraphs(text: Column) -> Column:
+    """The text's paragraphs as arrays of lines: lower case, ASCII letters and digits, single spaces, without list marks and
+    copyright lines.  Paragraphs and lines without a letter or digit are left out."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), LIST_MARK, "$1")
+    t = F.regexp_replace(t, "[^a-z0-9\n]+", " ")
+    lines = lambda p: F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
+    return F.filter(F.transform(F.split(t, PARAGRAPH), lines), lambda p: F.size(p) > 0)
+
+
+def canonical_text(text: Column) -> Column:
+    """The whole text in its canonical form, in which line breaks don't matter."""
+    return spelled(F.array_join(F.flatten(canonical_paragraphs(text)), " "))
 
 
 def canonical(text: str) -> str:
     """The same in plain Python, for the few known texts."""
-    t = re.sub("[^a-z0-9\n]+", " ", text.lower())
+    t = re.sub("[^a-z0-9\n]+", " ", re.sub(LIST_MARK, r"\1", text.lower()))
+    t = " ".join(x.strip() for x in t.split("\n") if x.strip() and not re.search(COPYRIGHT_LINE, x.strip()))
     for a, b in SPELLINGS:
         t = t.replace(a, b)
-    return " ".join(x.strip() for x in t.split("\n") if x.strip() and not re.search(COPYRIGHT_LINE, x.strip()))
+    return t
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """digest, licence of the built-in texts, or of a table (licence, text); one licence for each digest."""
+    """digest, licence of the built-in texts, or of a table (licence, text); one licence for each digest, ties to the least
+    name.  A text of which nothing is left stands for no licence."""
     if known is None:
         return spark.createDataFrame(_known_rows(), "digest string, licence string")
-    lines = F.array_join(canonical_lines(F.col("text")), " ")
-    return known.where("text is not null and licence is not null").select(F.md5(lines).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    text = known.where("text is not null and licence is not null").select("licence", canonical_text(F.col("text")).alias("t"))
+    return text.where("t <> ''").select(F.md5("t").alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def _known_rows() -> list[tuple[str, str]]:
-    return sorted({hashlib.md5(canonical(t).encode()).hexdigest(): k for k, t in KNOWN}.items())
+    return sorted({hashlib.md5(canonical(t).encode()).hexdigest(): k for k, t in sorted(KNOWN, reverse=True)}.items())
 
 
 def scan_licences(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, whole_licence, line_licences (sorted, distinct), n_lines, n_licence_lines: one row for each id.
+    """doc_id, text_md5, whole_licence, notice_licences (sorted, distinct), n_lines, n_licence_lines, n_licence_paragraphs:
+    one row for each id and text.
 
-    whole_licence is the licence whose whole text the document is.  Documents without text have no lines and
-    null and empty results; rows of one id are counted together, null ids as one id.
+    whole_licence is the licence whose whole text the document is; notices are lines, and paragraphs of several lines.  Null
+    and empty texts have no lines and null and empty results.  Rows equal in id and text make one row, with counts of
+    each of them added up; a null id is an id.  Whole texts are read; other columns don't matter; an empty table gives no rows.
     """
     digests = known_digests(docs.sparkSession, known)
     # the built-in table is a constant; a given one is counted first
     if known is None or digests.count() <= BROADCAST_DIGESTS:
         digests = F.broadcast(digests)
-    lines = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
-    whole = F.struct(F.md5(F.array_join("lines", " ")).alias("digest"), F.lit(True).alias("whole"))
-    units = F.concat(F.array(whole), F.transform("lines", lambda x: F.struct(F.md5(x).alias("digest"), F.lit(False).alias("whole"))))
-    rows = lines.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.digest", "u.whole").join(digests, "digest", "left")
-    return rows.groupBy("doc_id").agg(
-        F.max(F.when(F.col("whole"), F.col("licence"))).alias("whole_licence"),
-        F.array_join(F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("licence")))), ",").alias("line_licences"),
-        F.count_if(~F.col("whole")).alias("n_lines"),
-        F.count_if(~F.col("whole") & F.col("licence").isNotNull()).alias("n_licence_lines"),
+    unit = lambda t, kind: F.struct(F.md5(spelled(t)).alias("digest"), F.lit(kind).alias("kind"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text_col).alias("text_md5"), canonical_paragraphs(F.col(text_col)).alias("ps"))
+    units = F.concat(
+        F.array(unit(F.array_join(F.flatten("ps"), " "), 0)),
+        F.transform(F.flatten("ps"), lambda x: unit(x, 1)),
+        F.transform(F.filter("ps", lambda p: F.size(p) > 1), lambda p: unit(F.array_join(p, " "), 2)),
+    )
+    found = rows.select("doc_id", "text_md5", F.explode(units).alias("u")).select("doc_id", "text_md5", "u.*").join(digests, "digest", "left")
+    kind, told = F.col("kind"), F.col("licence").isNotNull()
+    return found.groupBy("doc_id", "text_md5").agg(
+        F.max(F.when(kind == 0, F.col("licence"))).alias("whole_licence"),
+        F.array_join(F.sort_array(F.collect_set(F.when(kind > 0, F.col("licence")))), ",").alias("notice_licences"),
+        F.count_if(kind == 1).alias("n_lines"),
+        F.count_if((kind == 1) & told).alias("n_licence_lines"),
+        F.count_if((kind == 2) & told).alias("n_licence_paragraphs"),
     )
 
 
 def op4_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: the licences whose text or notice it holds."""
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
 def _sql() -> str:
-    t = "regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\n]+', ' ', 'g')"
-    for a, b in SPELLINGS:
-        t = f"replace({t}, '{a}', '{b}')"
+    quoted = lambda x: "'" + x.replace("\n", "\\n").replace("\t", "\\t") + "'"
+    t = f"regexp_replace(regexp_replace(lower(coalesce(text, '')), {quoted(LIST_MARK)}, '\\1', 'g'), '[^a-z0-9\\n]+', ' ', 'g')"
+
+    def told(x: str) -> str:
+        for a, b in SPELLINGS:
+            x = f"replace({x}, '{a}', '{b}')"
+        return f"md5({x})"
+
     values = ", ".join(f"('{d}', '{k}')" for d, k in _known_rows())
     return f"""
 WITH known(digest, licence) AS (VALUES {values}),
-lines AS (SELECT doc_id, list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)),
-                 lambda x: x <> '' AND NOT regexp_matches(x, '{COPYRIGHT_LINE}')) AS ls FROM documents),
-units AS (SELECT doc_id, md5(coalesce(array_to_string(ls, ' '), '')) AS digest, true AS whole FROM lines
-          UNION ALL SELECT doc_id, md5(x), false FROM (SELECT doc_id, unnest(ls) AS x FROM lines))
-SELECT doc_id, max(CASE WHEN whole THEN licence END) AS whole_licence,
-       coalesce(string_agg(DISTINCT CASE WHEN NOT whole THEN licence END, ',' ORDER BY CASE WHEN NOT whole THEN licence END), '') AS line_licences,
-       CAST(count(*) FILTER (NOT whole) AS BIGINT) AS n_lines,
-       CAST(count(*) FILTER (NOT whole AND licence IS NOT NULL) AS BIGINT) AS n_licence_lines
-FROM units LEFT JOIN known USING (digest) GROUP BY doc_id"""
+ps AS (SELECT doc_id, md5(text) AS text_md5, list_filter(list_transform(string_split_regex({t}, {quoted(PARAGRAPH)}),
+         lambda p: list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '{COPYRIGHT_LINE}'))),
+         lambda p: len(p) > 0) AS ps FROM documents),
+units AS (SELECT doc_id, text_md5, {told("coalesce(array_to_string(flatten(ps), ' '), '')")} AS digest, 0 AS kind FROM ps
+          UNION ALL SELECT doc_id, text_md5, {told("x")}, 1 FROM (SELECT doc_id, text_md5, unnest(flatten(ps)) AS x FROM ps)
+          UNION ALL SELECT doc_id, text_md5, {told("array_to_string(p, ' ')")}, 2 FROM (SELECT doc_id, text_md5, unnest(ps) AS p FROM ps) WHERE len(p) > 1)
+SELECT doc_id, text_md5, max(CASE WHEN kind = 0 THEN licence END) AS whole_licence,
+       coalesce(string_agg(DISTINCT CASE WHEN kind > 0 THEN licence END, ',' ORDER BY CASE WHEN kind > 0 THEN licence END), '') AS notice_licences,
+       CAST(count(*) FILTER (kind = 1) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (kind = 1 AND licence IS NOT NULL) AS BIGINT) AS n_licence_lines,
+       CAST(count(*) FILTER (kind = 2 AND licence IS NOT NULL) AS BIGINT) AS n_licence_paragraphs
+FROM units LEFT JOIN known USING (digest) GROUP BY doc_id, text_md5"""
 
 
 SQL = _sql()
