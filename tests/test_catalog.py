@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB, and the operators on small tables."""
 
+import json
 import math
 import sqlite3
 import struct
@@ -9,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.functions import codecs, geometry, text
 from waymark.operators import localize, matching, navigation, trajectories
@@ -51,6 +53,105 @@ def test_quaternion_branches(spark):
         assert all(abs(a - b) < 1e-9 for a, b in zip(q, r))
 
 
+def test_stride_takes_the_whole_part_of_each_step(spark):
+    sizes = [1, 49, 50, 51, 113, 150, 999, 1500]
+    df = spark.createDataFrame([(g, i) for g in sizes for i in range(g)], "g long, i long")
+    got = trajectories.stride_sample(df, "g", ["i"], 50).groupBy("g").agg(F.sort_array(F.collect_list("i")).alias("i")).collect()
+    assert {r["g"]: r["i"] for r in got} == {n: sorted({int(k * (n / 50)) for k in range(50)}) if n > 50 else list(range(n)) for n in sizes}
+
+
+def test_neighbours_in_blocks_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, size=(300, 8)).astype(float)
+    v[100:140] = v[7]  # ties go to the lesser id
+    df = spark.createDataFrame([(i, i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, 900, None)], "query_id long, point_id long, vec array<double>")
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(matching, "POINT_BLOCK", 11)
+    distance = {
+        "l2": lambda a, b: float(np.sqrt(((a - b) ** 2).sum())),
+        "hamming": lambda a, b: float(((a > 0) != (b > 0)).sum()),
+        "cosine": lambda a, b: 1 - float((a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b))),
+    }
+    for metric, f in distance.items():
+        got = matching.nearest(df.where("query_id % 10 = 0"), df, 3, metric, other_than_self=True).collect()
+        for q in range(0, 300, 10):
+            best = sorted((round(f(v[q], v[p]), 9), p) for p in range(300) if p != q)[:3]
+            mine = sorted((r["rank"], round(r["dist"], 9), r["point_id"]) for r in got if r["query_id"] == q)
+            assert [m[1] for m in mine] == [b[0] for b in best]
+            assert metric == "cosine" or [m[2] for m in mine] == [b[1] for b in best]
+
+
+def test_gate_with_rotations():
+    gate = trajectories.Gate(0.01, speed=5.0, turn=1.0)
+    still, turned = (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.0, 0.0, 0.0, math.sin(0.02), math.cos(0.02))
+    assert gate.reason(None, 0.0, still) is None and gate.reason((0.0, still), 1.0, still) == "near"
+    assert gate.step((0.0, still), 1.0, turned) and gate.reason((0.0, still), 0.1, (9.0, *still[1:])) == "fast"
+
+
+def test_gyro_turns_against_a_plain_fold(spark):
+    rows = [(0.0, 9.0, 9.0, 9.0), (0.1, 1.0, 0.5, -0.3), (0.3, -0.2, 0.1, 0.9)]
+    got = spark.range(1).select(geometry.turned_by_gyro(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, "txyz")]) for r in reversed(rows)])).alias("q")).first()["q"]
+    q, last = np.array([0, 0, 0, 1.0]), 0.0
+    for t, *w in rows:
+        a, b, c = (np.array(w) * (t - last) / 2).tolist()
+        last = t
+        # about y, then x, then z
+        for axis, h in ((2, c), (0, b), (1, a))[::-1]:
+            e = np.zeros(4)
+            e[axis], e[3] = math.sin(h), math.cos(h)
+            x, y, z, u = q
+            q = np.array([u * e[0] + x * e[3] + y * e[2] - z * e[1], u * e[1] - x * e[2] + y * e[3] + z * e[0], u * e[2] + x * e[1] - y * e[0] + z * e[3], u * e[3] - x * e[0] - y * e[1] - z * e[2]])
+    assert np.allclose(got, q, atol=1e-9)
+
+
+def test_localize_from_descriptors_to_floors(spark):
+    """Two images of a scene of two nodes: one is seen well, of the other only descriptors match."""
+    rng = np.random.default_rng(5)
+    world = rng.uniform(-3, 3, size=(60, 3))
+    vec = rng.normal(size=(60, 16))
+    shift = {1: np.zeros(3), 2: np.array([1.0, 2.0, 0.5])}
+    node = [1 + i % 2 for i in range(60)]
+    pts = [(i, node[i], *(map(float, world[i] - shift[node[i]]) if i < 55 else (None,) * 3), [float(x) for x in vec[i]]) for i in range(60)]
+    r, at = localize.turned(np.array([0.1, -0.2, 0.05])), np.array([0.2, 0.1, 8.0])
+    uv = localize.project(world, r, at) * 500 + 300
+    rows = [(i, 0, *map(float, uv[i]), [float(x) for x in vec[i]]) for i in range(60)]
+    rows += [(100 + i, 1, *map(float, rng.uniform(0, 600, 2)), [float(x) for x in vec[i] + 0.01]) for i in range(40, 60)]
+    queries = spark.createDataFrame(rows, "query_id long, image long, u double, v double, vec array<double>")
+    points = spark.createDataFrame(pts, "point_id long, node long, x double, y double, z double, vec array<double>")
+    eye = [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
+    poses = spark.createDataFrame([(k, [float(x) for x in eye], [float(x) for x in t]) for k, t in shift.items()], "node long, r array<double>, t array<double>")
+    for name in ("ratio", "mutual"):
+        got = {x["image"]: x for x in localize.localize(queries, points, poses, (500.0, 500.0, 300.0, 300.0), name).collect()}
+        assert got[0]["method"] == "pose" and got[0]["num_inliers"] == 55 and got[0]["num_matches"] == 60
+        assert np.allclose([got[0][c] for c in "xyz"], -r.T @ at, atol=0.02)
+        if name == "mutual":  # the other image's descriptors are nearer
+            assert 1 not in got
+            continue
+        assert got[1]["method"] == "votes" and got[1]["x"] is None and got[1]["confidence"] == 0.5
+    images = spark.createDataFrame([(0, 7), (1, 8)], "image long, building long")
+    floors = spark.createDataFrame([(7, 1), (7, 2), (8, 1)], "building long, level long")
+    run = lambda level: localize.localize(queries.where("image = 0" if level == 2 else "true"), points, poses, (500.0, 500.0, 300.0, 300.0))
+    best = {x["building"]: (x["level"], x["method"]) for x in localize.localize_on_floors(images, floors, "building", "level", run).collect()}
+    assert best == {7: (1, "pose"), 8: (1, "votes")}
+
+
+def test_chunk_streams(spark, tmp_path):
+    from waymark.streaming import ingest
+
+    frames = lambda c, n: json.dumps([{"session_id": "s", "chunk_index": c, "frame_index": c * 1000 + i, "at": f"2024-01-01T00:00:{c * 4 + i:02d}Z"} for i in range(n)])
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", frames(0, 3)), ("b", frames(1, 2)), ("again", frames(1, 2)), ("bad", "[{")):
+        (tmp_path / "in" / f"{name}.json").write_text(text)
+    schema = T.StructType().add("session_id", "string").add("chunk_index", "integer").add("frame_index", "integer").add("at", "timestamp")
+    stream = ingest.deduplicated(ingest.chunk_stream(spark, str(tmp_path / "in"), schema), "at")
+    q = stream.writeStream.format("memory").queryName("frames").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r["frame_index"] for r in spark.table("frames").collect()) == [0, 1, 2, 1000, 1001]
+    batch = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(str(tmp_path / "in"))
+    closed = ingest.closed_sessions(batch.dropDuplicates(["frame_index"]), "at", "3 seconds").collect()
+    assert [(r["total_frames"], r["total_chunks"]) for r in closed] == [(5, 2)]
+
+
 def test_gate_in_batch_and_stream(spark, tmp_path):
     rows = [(s, i, float(i), x) for s in (1, 2) for i, x in enumerate([0.0, 0.4, 0.9, 1.1, 1.5, 2.3, 2.2, 9.0])]
     df = spark.createDataFrame(rows, "s long, i long, t double, x double")

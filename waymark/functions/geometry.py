@@ -57,3 +57,53 @@ def projected(p: list[Column], fx: Column, fy: Column) -> tuple[Column, Column,
 
 def clamped(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+
+
+def l2_normalized(v: Column) -> Column:
+    """A vector over its length, to which 1e-8 is added so that a zero vector stays one."""
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x)) + 1e-8
+    return F.transform(v, lambda x: x / n)
+
+
+def hamming_words(a: Column, b: Column) -> Column:
+    """Different bits of two descriptors held as arrays of longs of one length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def mean_brightness(pixels: Column) -> Column:
+    return F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.nullif(F.size(pixels), F.lit(0))
+
+
+def rgb(y: Column, u: Column, v: Column) -> list[Column]:
+    """Red, green and blue of a video pixel, 0 to 255."""
+    parts = [y + 1.402 * (v - 128), y - 0.344136 * (u - 128) - 0.714136 * (v - 128), y + 1.772 * (u - 128)]
+    return [clamped(F.round(c), 0.0, 255.0).cast("int") for c in parts]
+
+
+def valid_intrinsics(k: list[Column]) -> Column:
+    """Whether all of fx, fy, cx, cy, width and height are positive."""
+    out = F.lit(True)
+    for c in k:
+        out = out & F.coalesce(c > 0, F.lit(False))
+    return out
+
+
+def turned_by_gyro(samples: Column) -> Column:
+    """Orientation (x, y, z, w) after gyroscope samples: an array of structs (t, x, y, z) in seconds and radians a second.
+
+    Each sample turns by its rate over the time since the one before; the first only starts the clock.
+    """
+    zero = F.struct(F.lit(None).cast("double").alias("t"), *[F.lit(v).alias(n) for n, v in zip("xyzw", (0.0, 0.0, 0.0, 1.0))])
+
+    def step(q: Column, s: Column) -> Column:
+        dt = F.coalesce(s["t"] - q["t"], F.lit(0.0))
+        a, b, c = (s[n] * dt / 2 for n in "xyz")
+        # yaw (rate x), pitch (rate y) and roll (rate z) as one quaternion
+        sa, sb, sc, ca, cb, cc = F.sin(a), F.sin(b), F.sin(c), F.cos(a), F.cos(b), F.cos(c)
+        e = [cc * sb * ca + sc * cb * sa, cc * cb * sa - sc * sb * ca, sc * cb * ca - cc * sb * sa, cc * cb * ca + sc * sb * sa]
+        x, y, z, w = (q[n] for n in "xyzw")
+        p = [w * e[0] + x * e[3] + y * e[2] - z * e[1], w * e[1] - x * e[2] + y * e[3] + z * e[0], w * e[2] + x * e[1] - y * e[0] + z * e[3], w * e[3] - x * e[0] - y * e[1] - z * e[2]]
+        n = F.sqrt(p[0] * p[0] + p[1] * p[1] + p[2] * p[2] + p[3] * p[3])
+        return F.struct(s["t"].alias("t"), *[(c / n).alias(k) for c, k in zip(p, "xyzw")])
+
+    return F.aggregate(F.array_sort(samples), zero, step, lambda q: F.array(*[q[n] for n in "xyzw"]))

@@ -43,3 +43,48 @@ def shortened(s: Column, most: int) -> Column:
 
 def frame_name(chunk: Column, i: Column) -> Column:
     return F.lpad((chunk * 1000 + i).cast("string"), 6, "0")
+
+
+def params_string(m: Column) -> Column:
+    """The 'k:v;k:v;' string of a map, in key order; the inverse of ``params_map``."""
+    entries = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(":"), e["value"], F.lit(";")))
+    return F.array_join(entries, "")
+
+
+def params_yaml(m: Column) -> Column:
+    """A line 'key: "value"' for each entry of a map, in key order."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(': "'), e["value"], F.lit('"'))), "\n")
+
+
+def in_namespaces(key: Column, namespaces: list[str]) -> Column:
+    """Whether a parameter's key is in one of the namespaces 'Name/'."""
+    return F.coalesce(F.greatest(*[key.startswith(n) for n in namespaces], F.lit(False)), F.lit(False))
+
+
+def ns_to_ms(ns: Column) -> Column:
+    """Whole milliseconds, towards zero."""
+    return F.call_function("div", ns, F.lit(1_000_000))
+
+
+def stamp_seconds(ms: Column) -> Column:
+    """Seconds of a millisecond stamp; 0 without a positive one."""
+    return F.when(ms > 0, ms / 1000.0).otherwise(F.lit(0.0))
+
+
+def pending(frames: Column, uploaded: Column) -> Column:
+    return F.greatest(frames - uploaded, F.lit(0))
+
+
+def tum_line(stamp: Column, place: list[Column], turn: list[Column]) -> Column:
+    """'ts tx ty tz qx qy qz qw' of a pose."""
+    return F.concat_ws(" ", *[c.cast("string") for c in (stamp, *place, *turn)])
+
+
+def session_id(at: Column, seed: Column) -> Column:
+    """session_<yyyyMMdd_HHmmss>_<8 hex digits> of a time and whatever tells sessions of one second apart."""
+    return F.concat(F.lit("session_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.md5(seed.cast("string")), 1, 8))
+
+
+def valid_request(name: Column, images: Column, most: int) -> Column:
+    """Whether a request has a name that isn't blank and 1 to ``most`` images."""
+    return F.coalesce((F.trim(name) != "") & F.size(images).between(1, most), F.lit(False))

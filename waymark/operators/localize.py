@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import canonical, quaternion
+from ..functions.geometry import affine, canonical, quaternion
+from .matching import best_by_votes, nearest, ratio_test
 
 #: Points that fix a projection matrix.
 SAMPLE = 6
@@ -182,3 +183,104 @@ def pose_log(rows: DataFrame, text: str) -> DataFrame:
     ok = F.col("_pose").isNotNull() & (F.col("_sure") >= 0.5)
     names = {"pose": "_pose", "num_matches": "_m", "confidence": "_sure"}
     return out.withColumns({new: F.when(ok, F.col(old)) for new, old in names.items()}).drop(*names.values())
+
+
+def world_points(matches: DataFrame, features: DataFrame, poses: DataFrame, feature: str, node: str, point: list[str]) -> DataFrame:
+    """Matches whose feature has a place in its camera and whose node has a pose, with the place x, y, z in the world.
+
+    ``poses`` has node, r (9 numbers) and t (3 numbers).
+    """
+    seen = features.where(" and ".join(f"`{c}` is not null" for c in point)).select(feature, node, *[F.col(c).alias(f"_{i}") for i, c in enumerate(point)])
+    rows = matches.join(seen, feature).join(poses.select(node, "r", "t"), node)
+    x = affine([F.col("r")[i] for i in range(9)], [F.col("t")[i] for i in range(3)], [F.col(f"_{i}") for i in range(3)])
+    return rows.withColumns(dict(zip("xyz", x))).drop("r", "t", "_0", "_1", "_2")
+
+
+def on_floors(images: DataFrame, floors: DataFrame, building: str) -> DataFrame:
+    """Each query image with every floor of its building."""
+    return images.join(floors, building)
+
+
+def best_candidate(results: DataFrame, group: str, image: str, rank: str) -> DataFrame:
+    """Of each group, the result with most inliers; ties go to the first image, then to its first candidate."""
+    order = F.struct("num_inliers", -F.col(image), -F.col(rank))
+    rest = [c for c in results.columns if c != group]
+    return results.groupBy(group).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(group, "_b.*")
+
+
+def best_floor(results: DataFrame, group: str, level: str) -> DataFrame:
+    """Of each group, the floor of greatest confidence, then most matches, then lowest level."""
+    order = F.struct("confidence", "num_matches", -F.col(level))
+    rest = [c for c in results.columns if c != group]
+    return results.groupBy(group).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(group, "_b.*")
+
+
+def nearest_keypoint(queries: DataFrame, points: DataFrame, node: str, query: str, point: str, xy: tuple[str, str], pixels: float = 8.0) -> DataFrame:
+    """query, point, dist: the keypoint of the same node nearest to each place, if at most ``pixels`` away; ties go to the
+    lesser id.  A node's keypoints are dealt to cells of that size, so a place meets those of nine cells only."""
+    x, y = xy
+    cell = lambda c: F.floor(F.col(c) / pixels).cast("long")
+    around = F.expr("explode(array(-1, 0, 1))")
+    asked = queries.select(node, query, F.col(x).alias("_qx"), F.col(y).alias("_qy")).withColumn("_dx", around).withColumn("_dy", around)
+    asked = asked.select(node, query, "_qx", "_qy", (cell("_qx") + F.col("_dx")).alias("_cx"), (cell("_qy") + F.col("_dy")).alias("_cy"))
+    there = points.select(node, point, x, y, cell(x).alias("_cx"), cell(y).alias("_cy"))
+    d = F.sqrt((F.col("_qx") - F.col(x)) ** 2 + (F.col("_qy") - F.col(y)) ** 2)
+    near = asked.join(there, [node, "_cx", "_cy"]).withColumn("dist", d).where(F.col("dist") <= pixels)
+    return near.groupBy(query).agg(F.min(F.struct("dist", point)).alias("_m")).select(query, f"_m.{point}", "_m.dist")
+
+
+#: Matchers by name: from query and point descriptors to matches (query_id, point_id).
+MATCHERS = {}
+
+
+def matcher(name: str):
+    """Register a matcher under a name."""
+
+    def add(f):
+        MATCHERS[name] = f
+        return f
+
+    return add
+
+
+@matcher("ratio")
+def ratio_matches(queries: DataFrame, points: DataFrame, metric: str = "l2", ratio: float = 0.75) -> DataFrame:
+    return ratio_test(nearest(queries, points, 2, metric), ratio).select("query_id", "point_id")
+
+
+@matcher("mutual")
+def mutual_matches(queries: DataFrame, points: DataFrame, metric: str = "l2") -> DataFrame:
+    """Pairs that are each other's nearest among all descriptors given, of whatever image."""
+    there = nearest(queries, points, 1, metric).select("query_id", "point_id")
+    turned_ = [points.select(F.col("point_id").alias("query_id"), "vec"), queries.select(F.col("query_id").alias("point_id"), "vec")]
+    back = nearest(*turned_, 1, metric).select(F.col("query_id").alias("point_id"), F.col("point_id").alias("query_id"))
+    return there.join(back, ["query_id", "point_id"])
+
+
+def localize(queries: DataFrame, points: DataFrame, poses: DataFrame, intrinsics: tuple[float, float, float, float], name: str = "ratio", pixels: float = 5.0, min_inliers: int = 20, **options) -> DataFrame:
+    """Where images were taken: descriptors matched, matches placed in the world, poses solved, votes where none is.
+
+    ``queries``: query_id, image, u, v, vec; ``points``: point_id, node, x, y, z (null: not known) in the node's camera, vec;
+    ``poses``: node, r, t.  Returns image, node, num_matches, the pose of ``solve_poses`` (null by votes), confidence and
+    method.  An image without a match has no row.
+    """
+    matches = MATCHERS[name](queries, points, **options).join(queries.select("query_id", "image", "u", "v"), "query_id")
+    placed = world_points(matches, points, poses, "point_id", "node", ["x", "y", "z"])
+    solved = solve_poses(placed, "image", intrinsics, pixels, min_inliers=min_inliers)
+    features = queries.groupBy("image").agg(F.count(F.lit(1)).alias("_features"))
+    voted = best_by_votes(matches.join(points.select("point_id", "node"), "point_id"), "image", "node", "query_id").join(features, "image")
+    voted = voted.withColumn("_by_votes", F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.col("votes") / F.col("_features")))).drop("_features")
+    out = voted.join(solved, "image", "left")
+    place = ["x", "y", "z", "qx", "qy", "qz", "qw"]
+    return out.select("image", "node", F.col("total").alias("num_matches"), "num_inliers", *place, F.coalesce("confidence", "_by_votes").alias("confidence"), F.when(F.col("confidence").isNotNull(), "pose").otherwise("votes").alias("method"))
+
+
+def localize_on_floors(images: DataFrame, floors: DataFrame, building: str, level: str, run) -> DataFrame:
+    """The best floor for each building's query: ``run(level)`` gives the results (image, confidence, num_matches, ...) on one
+    floor; an image is tried on all floors of its building."""
+    out = None
+    for r in floors.select(level).distinct().orderBy(level).collect():  # a building has few levels
+        got = run(r[0]).withColumn(level, F.lit(r[0]))
+        out = got if out is None else out.unionByName(got)
+    there = on_floors(images.select("image", building), floors.select(building, level), building)
+    return best_floor(out.join(there, ["image", level]), building, level)

@@ -13,46 +13,77 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 4096
 
 
+#: Points compared with a block of queries at once.
+POINT_BLOCK = 512
+#: What rounding may add to a product-form distance, as a share of the vectors' squared lengths.
+ROUNDING = 1e-9
+
+
 def sign_bits(v: np.ndarray) -> np.ndarray:
     return v > 0
 
 
-def _distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "l2":
-        return np.sqrt(((q[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+def _rough(q: np.ndarray, p: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of all pairs by one matrix product (of l2 the square), and how far each may be off."""
     if metric == "hamming":
-        return (sign_bits(q)[:, None, :] != sign_bits(p)[None, :, :]).sum(axis=2).astype(float)
+        a, b = sign_bits(q).astype(float), sign_bits(p).astype(float)
+        return a @ (1 - b).T + (1 - a) @ b.T, np.zeros((len(q), 1))
+    if metric == "l2":
+        a, b = (q * q).sum(axis=1), (p * p).sum(axis=1)
+        return a[:, None] + b[None, :] - 2 * (q @ p.T), ROUNDING * (a + b.max())[:, None] + 1e-300
     if metric == "cosine":
         norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :]
-        return 1 - (q @ p.T) / np.where(norm > 0, norm, np.inf)
+        return 1 - (q @ p.T) / np.where(norm > 0, norm, np.inf), np.full((len(q), 1), ROUNDING)
     raise ValueError(metric)
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "l2", query_id: str = "query_id", point_id: str = "point_id", vector: str = "vec") -> DataFrame:
+def _exact(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the pairs q[i], p[i]."""
+    if metric == "hamming":
+        return (sign_bits(q) != sign_bits(p)).sum(axis=1).astype(float)
+    if metric == "l2":
+        return np.sqrt(((q - p) ** 2).sum(axis=1))
+    norm = np.linalg.norm(q, axis=1) * np.linalg.norm(p, axis=1)
+    return 1 - (q * p).sum(axis=1) / np.where(norm > 0, norm, np.inf)
+
+
+def _best(row: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (query row, distance, point id), the k least of each row."""
+    order = np.lexsort((ids, dist, row))
+    row, dist, ids = row[order], dist[order], ids[order]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, dtype=int)
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    return row[rank < k], dist[rank < k], ids[rank < k]
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "l2", query_id: str = "query_id", point_id: str = "point_id", vector: str = "vec", other_than_self: bool = False) -> DataFrame:
     """query_id, point_id, dist, rank of the k nearest points; ties go to the smaller point id.
 
     The query set streams to the driver and goes out in blocks; a task keeps k rows for each query, so what is
-    shuffled grows with the queries and tasks and not with the points.
+    shuffled grows with the queries and tasks and not with the points.  With ``other_than_self`` a point isn't the
+    neighbour of a query of the same id.  Rows without a vector are left out.
     """
     out = None
     for qids, qs in _blocks(queries.select(query_id, vector)):
         shared = points.sparkSession.sparkContext.broadcast((qids, qs))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids_, qs_ = shared.value
-            best_d = np.zeros((len(qids_), 0))
-            best_i = np.zeros((len(qids_), 0), dtype=np.int64)
+            (qids_, qs_), same = shared.value, other_than_self
+            best = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))
             for batch in batches:
                 ids, vecs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                for lo in range(0, len(ids), 256):
-                    part = np.array(vecs.slice(lo, 256).to_pylist(), dtype=float)
-                    d = np.concatenate([best_d, _distances(qs_, part, metric)], axis=1)
-                    i = np.concatenate([best_i, np.tile(ids[lo : lo + 256], (len(qids_), 1))], axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            n = best_d.shape[1]
-            if n:
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(qids_, n), "point_id": best_i.ravel(), "dist": best_d.ravel()})
+                for lo in range(0, len(ids), POINT_BLOCK):
+                    own, part = ids[lo : lo + POINT_BLOCK], np.array(vecs.slice(lo, POINT_BLOCK).to_pylist(), dtype=float)
+                    d, off = _rough(qs_, part, metric)
+                    if same:
+                        d[qids_[:, None] == own[None, :]] = np.inf
+                    kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
+                    # all that rounding may have put behind the k-th; then exact distances
+                    i, j = np.nonzero((d <= kth + 2 * off) & np.isfinite(d))
+                    new = (i, _exact(qs_[i], part[j], metric), own[j])
+                    best = _best(*(np.concatenate(x) for x in zip(best, new)), k)
+            if len(best[0]):
+                yield pa.RecordBatch.from_pydict({"query_id": qids_[best[0]], "point_id": best[2], "dist": best[1]})
 
         rows = points.where(F.col(vector).isNotNull()).select(F.col(point_id).cast("long"), vector).mapInArrow(scan, "query_id long, point_id long, dist double")
         out = rows if out is None else out.unionByName(rows)

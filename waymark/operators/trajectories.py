@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,11 @@ def nearest_in_time(frames: DataFrame, samples: DataFrame, key: list[str], frame
     s = samples.groupBy(*key, time).agg(F.min(sample_id).alias("_sid"))
     both = frames.select(*key, time, F.col(frame_id).alias("_fid"), F.lit(None).cast("long").alias("_sid")).unionByName(s.select(*key, time, F.lit(None).cast("long").alias("_fid"), "_sid"))
     sample = F.when(F.col("_sid").isNotNull(), F.struct(F.col(time).alias("t"), F.col("_sid").alias("id")))
-    w = Window.partitionBy(*key).orderBy(time)
-    before = F.last(sample, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(sample, ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # running frames from both ends: each row is added once.  A sample comes before the frames of its time either way.
+    running = (Window.unboundedPreceding, Window.currentRow)
+    samples_first = F.col("_sid").isNull()
+    before = F.last(sample, ignorenulls=True).over(Window.partitionBy(*key).orderBy(time, samples_first).rowsBetween(*running))
+    after = F.last(sample, ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc(time), samples_first).rowsBetween(*running))
     rows = both.withColumn("_b", before).withColumn("_a", after).where("_fid is not null")
     db, da = F.col(time) - F.col("_b.t"), F.col("_a.t") - F.col(time)
     near = F.when(da.isNull() | (db <= da), F.col("_b")).otherwise(F.col("_a"))
@@ -39,13 +43,16 @@ def nearest_in_time(frames: DataFrame, samples: DataFrame, key: list[str], frame
 
 
 def stride_sample(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows of each group, evenly spread in ``order``: row floor(i * n / most) for each i."""
-    w = Window.partitionBy(group)
-    i = F.row_number().over(w.orderBy(*order)).cast("long") - 1
-    n = F.count(F.lit(1)).over(w)
-    # a row is picked if some i has floor(i * n / most) = row: the least such i is ceil(row * most / n)
-    pick = F.floor(F.ceil(F.col("_i") * most / F.col("_n")) * F.col("_n") / most) == F.col("_i")
-    return rows.withColumn("_i", i).withColumn("_n", n).where((F.col("_n") <= most) | pick).drop("_i", "_n")
+    """At most ``most`` rows of each group, evenly spread in ``order``: row int(i * (n / most)) for each i.
+
+    The picks are made from the groups' sizes alone, ``most`` for each large group, and joined with the numbered rows.
+    """
+    i, n = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long") - 1, F.col("_n")
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    step = n / F.lit(float(most))
+    picks = F.when(n > most, F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: (k * step).cast("long"))))
+    numbered = rows.withColumn("_i", i).join(sizes.select("_g", picks.alias("_p")), F.col(group).eqNullSafe(F.col("_g")))
+    return numbered.where(F.col("_p").isNull() | F.array_contains("_p", F.col("_i"))).drop("_i", "_g", "_p")
 
 
 def bounding_box(points: DataFrame, group: str, x: str, y: str, z: str) -> DataFrame:
@@ -55,6 +62,13 @@ def bounding_box(points: DataFrame, group: str, x: str, y: str, z: str) -> DataF
     return p.select(group, mid("x"), mid("y"), mid("z"), "min_y", "max_y", F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_z") - F.col("min_z"), F.lit(2.0)).alias("span"))
 
 
+def bounding_box_of_all(points: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """The same over all points in one row; without a point centre and heights are 0 and the span 5."""
+    one = bounding_box(points.withColumn("_one", F.lit(1)), "_one", x, y, z).drop("_one")
+    counted = points.agg(F.count(F.lit(1)).alias("n_points"))
+    return counted.join(one, F.lit(True), "left").select("n_points", *[F.coalesce(c, F.lit(5.0 if c == "span" else 0.0)).alias(c) for c in one.columns])
+
+
 def status_fold(sessions: DataFrame, building: str, status: str) -> DataFrame:
     """One status for each building: all completed, any failed, any processing, else uploaded; null is none of them."""
     s = F.coalesce(F.col(status), F.lit(""))
@@ -64,6 +78,46 @@ def status_fold(sessions: DataFrame, building: str, status: str) -> DataFrame:
     )
 
 
+def first_created(sessions: DataFrame, building: str, created: str) -> DataFrame:
+    """building, created_at: the earliest time as text, empty where none is known."""
+    return sessions.groupBy(building).agg(F.coalesce(F.date_format(F.min(created), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("created_at"))
+
+
+def latest(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """key, value: the last value in ``order`` that isn't null; null where there is none."""
+    return rows.groupBy(key).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias(value))
+
+
+def rates(samples: DataFrame, session: str, order: list[str], us: str) -> DataFrame:
+    """``samples`` with rate, one over the seconds since the sample before; null for the first and without time between."""
+    gap = F.col(us) - F.lag(us).over(Window.partitionBy(session).orderBy(*order))
+    return samples.withColumn("rate", 1000000.0 / F.nullif(gap, F.lit(0)))
+
+
+def renumbered(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """Rows numbered from 1 within each group, in ``order``."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(order)))
+
+
+def hues(points: DataFrame, group: str, height: str) -> DataFrame:
+    """``points`` with hue, 0.66 for the lowest of a group to 0 for the highest.  Two numbers of each group are joined back, so a
+    group is never gathered."""
+    low, high = F.min(height).alias("_lo"), F.max(height).alias("_hi")
+    ends = points.groupBy(F.col(group).alias("_g")).agg(low, high)
+    span = F.coalesce(F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(1.0))
+    out = points.join(ends, F.col(group).eqNullSafe(F.col("_g")))
+    return out.withColumn("hue", 0.66 - 0.66 * (F.col(height) - F.col("_lo")) / span).drop("_g", "_lo", "_hi")
+
+
+def confidence_band(percent: Column) -> Column:
+    return F.when(percent >= 80, "high").when(percent >= 60, "medium").otherwise("low")
+
+
+def quiet_sessions(frames: DataFrame, key: str, time: str, gap: str) -> DataFrame:
+    """key, opened, n_frames of runs of frames with less than ``gap`` between neighbours."""
+    return frames.groupBy(key, F.session_window(time, gap)).agg(F.min(time).alias("opened"), F.count(F.lit(1)).alias("n_frames")).drop("session_window")
+
+
 def line(n: Column, start: list[Column], end: list[Column]) -> Column:
     """Array of n points from start to end, both exact; fewer than 2 give the two ends."""
     last = F.greatest(n, F.lit(2)) - 1
@@ -71,35 +125,59 @@ def line(n: Column, start: list[Column], end: list[Column]) -> Column:
 
 
 class Gate:
-    """Keeps a sample if it is at least ``least`` away from the last kept one and not faster than ``speed``."""
+    """Keeps a sample that is ``least`` away from the last kept one, or turned by ``turn`` degrees, and no faster than
+    ``speed``.  With rotations a sample is refused only if it is both near and hardly turned."""
 
-    def __init__(self, least: float, speed: float = float("inf")):
-        self.least, self.speed = least, speed
+    def __init__(self, least: float, speed: float = float("inf"), turn: float | None = None):
+        self.least, self.speed, self.turn = least, speed, turn
 
-    def step(self, last: tuple | None, t: float, p: tuple) -> bool:
+    def reason(self, last: tuple | None, t: float, p: tuple) -> str | None:
+        """Why a sample is refused, None if it is kept.  With ``turn``, ``p`` ends in a unit quaternion."""
         if last is None:
-            return True
-        d = sum((a - b) ** 2 for a, b in zip(p, last[1])) ** 0.5
+            return None
+        n = len(p) - 4 if self.turn is not None else len(p)
+        d = sum((a - b) ** 2 for a, b in zip(p[:n], last[1][:n])) ** 0.5
+        turned = self.turn is not None and degrees_between(p[n:], last[1][n:]) >= self.turn
         dt = t - last[0]
-        return d >= self.least and (dt <= 0 or d / dt <= self.speed)
+        if d < self.least and not turned:
+            return "near"
+        return "fast" if dt > 0 and d / dt > self.speed else None
+
+    def step(self, last: tuple | None, t: float, p: tuple) -> bool:
+        return self.reason(last, t, p) is None
+
+
+def degrees_between(a: tuple, b: tuple) -> float:
+    return math.degrees(2 * math.acos(min(1.0, abs(sum(x * y for x, y in zip(a, b))))))
+
+
+def movement_status(blur: Column, speed: Column, moved: Column, turned: Column, sharp: float, fast: float, least: float, turn: float) -> Column:
+    """blurry (a known measure below ``sharp``), tooFast, tooSlow (neither moved nor turned enough) or good, in this order."""
+    return F.when(blur < sharp, "blurry").when(speed > fast, "tooFast").when((moved < least) & (turned < turn), "tooSlow").otherwise("good")
 
 
 def keyframe_gate(poses: DataFrame, session: str, order: str, time: str, coords: list[str], gate: Gate) -> DataFrame:
     """``session``, ``order`` and accepted: each sample against the last accepted one, which lag() can't express.
 
-    A session is one ordered fold: its samples are bounded by the recording.
+    Sessions are dealt by key and sorted on the JVM; a task folds them batch by batch and holds one accepted sample, so a
+    session of any length fits.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, last, out = frame.sort_values(order, kind="stable"), None, []
-        for t, *p in frame[[time, *coords]].itertuples(index=False):
-            ok = gate.step(last, t, tuple(p))
-            last = (t, tuple(p)) if ok else last
-            out.append(ok)
-        return pd.DataFrame({session: frame[session], order: frame[order], "accepted": out})
-
     schema = f"{session} {poses.schema[session].dataType.simpleString()}, {order} {poses.schema[order].dataType.simpleString()}, accepted boolean"
-    return poses.select(session, order, time, *coords).groupBy(session).applyInPandas(fold, schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for batch in batches:
+            out = []
+            for s, t, *p in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(2, batch.num_columns))):
+                if last is None or s != at:
+                    at, last = s, None
+                ok = gate.step(last, t, tuple(p))
+                last = (t, tuple(p)) if ok else last
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=[session, order, "accepted"])
+
+    rows = poses.select(session, order, time, *coords).repartition(session).sortWithinPartitions(session, order)
+    return rows.mapInArrow(fold, schema)
 
 
 def gate_stream(poses: DataFrame, session: str, order: str, time: str, coords: list[str], gate: Gate) -> DataFrame:

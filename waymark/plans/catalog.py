@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import localize as L
+from ..operators import mapping as B
 from ..operators import matching as M
 from ..operators import navigation as N
 from ..operators import trajectories as R
@@ -51,7 +52,7 @@ VEC = "(SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUB
 
 
 def knn_sql(dist: str) -> str:
-    return f"""d AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label AS node, {dist} AS dist FROM {VEC} q, {VEC} p WHERE q.vec_id % 10 = 0 AND p.vec_id % 10 <> 0),
+    return f"""d AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label AS node, {dist} AS dist FROM {VEC} q, {VEC} p WHERE q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM d)"""
 
 
@@ -60,7 +61,7 @@ L2 = knn_sql("list_distance(q.v, p.v)")
 
 def neighbours(spark: SparkSession, d: str, k: int, metric: str) -> DataFrame:
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("point_id"), F.col("embedding").alias("vec"))
-    return M.nearest(e.where("query_id % 10 = 0"), e.where("point_id % 10 <> 0"), k, metric)
+    return M.nearest(e.where("query_id % 100 = 0"), e, k, metric, other_than_self=True)
 
 
 @query(f"WITH {L2} SELECT query_id, point_id, CAST(rank AS INT) AS rank, round(dist, 4) AS dist FROM k WHERE rank <= 2")
@@ -90,10 +91,10 @@ def ratio_test(spark, d):
 def votes(spark: SparkSession, d: str) -> DataFrame:
     m = M.ratio_test(neighbours(spark, d, 2, "l2"), RATIO)
     nodes = t(spark, d, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").alias("node"))
-    return M.best_by_votes(m.join(nodes, "point_id").withColumn("image", F.expr("query_id div 100")), "image", "node", "query_id")
+    return M.best_by_votes(m.join(nodes, "point_id").withColumn("image", F.expr("query_id div 500")), "image", "node", "query_id")
 
 
-VOTES = f"""{TWO}, v AS (SELECT query_id // 100 AS image, node, count(*) AS votes, min(query_id) AS f FROM m GROUP BY ALL),
+VOTES = f"""{TWO}, v AS (SELECT query_id // 500 AS image, node, count(*) AS votes, min(query_id) AS f FROM m GROUP BY ALL),
 best AS (SELECT image, arg_max(node, (votes, -f)) AS node, max(votes) AS votes, sum(votes) AS total FROM v GROUP BY image)"""
 
 
@@ -186,7 +187,8 @@ def status_fold(spark, d):
 @query(f"SELECT building_id, min(created_at) AS first_created, arg_max(id, (created_at, id)) FILTER (status IS NOT NULL) AS latest_id FROM {S} GROUP BY building_id")
 def building_metadata(spark, d):
     s = sessions(spark, d)
-    return s.groupBy("building_id").agg(F.min("created_at").alias("first_created"), F.max_by(F.when(F.col("status").isNotNull(), F.col("id")), F.when(F.col("status").isNotNull(), F.struct("created_at", "id"))).alias("latest_id"))
+    last = R.latest(s.withColumn("latest_id", F.when(F.col("status").isNotNull(), F.col("id"))), "building_id", "latest_id", ["created_at", "id"])
+    return s.groupBy("building_id").agg(F.min("created_at").alias("first_created")).join(last, "building_id")
 
 
 @query("SELECT p_partkey, p_name AS poi_name, round(sqrt((p_size - 25.0) ^ 2 + (p_retailprice / 100 - 10) ^ 2 + (p_partkey % 7 - 3.0) ^ 2), 4)::DOUBLE AS distance FROM part WHERE p_name IS NOT NULL AND sqrt((p_size - 25.0) ^ 2 + (p_retailprice / 100 - 10) ^ 2 + (p_partkey % 7 - 3.0) ^ 2) <= 5.0")
@@ -197,28 +199,27 @@ def radius_poi(spark, d):
 
 @query("SELECT event_id, round(1000000.0 / nullif(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 8)::DOUBLE AS rate FROM events")
 def frame_rate(spark, d):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t(spark, d, "events").select("event_id", "user_id", "ts", us.alias("us")).select("event_id", F.round(1000000.0 / F.nullif(gap, F.lit(0)), 8).alias("rate"))
+    e = t(spark, d, "events").select("event_id", "user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return R.rates(e, "user_id", ["ts", "event_id"], "us").select("event_id", F.round("rate", 8).alias("rate"))
 
 
 @query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS frame_no FROM events WHERE value > 10")
 def renumber_accepted(spark, d):
-    return t(spark, d, "events").where("value > 10").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("frame_no"))
+    return R.renumbered(t(spark, d, "events").where("value > 10"), "user_id", "event_id", "frame_no").select("event_id", "frame_no")
 
 
 @query("SELECT role, count(*) AS total_frames, CAST(max(conv_id) + 1 AS BIGINT) AS total_chunks FROM conversations GROUP BY role")
 def chunk_totals(spark, d):
-    return t(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("total_frames"), (F.max("conv_id") + 1).alias("total_chunks"))
+    return B.chunk_totals(t(spark, d, "conversations"), "role", "conv_id")
 
 
 @query("SELECT turn % 5 AS stem, CAST(max(conv_id * 1000 + turn) AS BIGINT) AS last_frame, arg_max(role, (conv_id, turn)) AS role FROM conversations GROUP BY turn % 5")
 def last_wins_metadata(spark, d):
-    c = t(spark, d, "conversations")
-    return c.groupBy((F.col("turn") % 5).alias("stem")).agg(F.max(F.col("conv_id") * 1000 + F.col("turn")).alias("last_frame"), F.max_by("role", F.struct("conv_id", "turn")).alias("role"))
+    c = t(spark, d, "conversations").withColumn("last_frame", F.col("conv_id") * 1000 + F.col("turn"))
+    return B.last_by_stem(c, F.col("turn") % 5, [F.col("conv_id"), F.col("turn")], ["last_frame", "role"])
 
 
-@query("WITH n AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber FROM n WHERE n <= 50 OR i IN (SELECT unnest(list_transform(range(50), lambda k: CAST(floor(k * n / 50) AS BIGINT))))")
+@query("WITH n AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber FROM n WHERE n <= 50 OR i IN (SELECT unnest(list_transform(range(50), lambda k: CAST(floor(k * (n / 50.0::DOUBLE)) AS BIGINT))))")
 def point_cloud_stride(spark, d):
     return R.stride_sample(t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey", ["l_orderkey", "l_linenumber"], 50)
 
@@ -234,9 +235,9 @@ def asof_imu_nearest(spark, d):
     return R.nearest_in_time(frames, samples, ["user_id"], "frame_id", "us", "sample_id", HALF_HOUR_US)
 
 
-@query("SELECT o_orderkey, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, round(CASE WHEN cos(radians((o_orderkey % 360) / 2.0)) < -1e-9 THEN -1 ELSE 1 END * sin(radians((o_orderkey % 360) / 2.0)), 4) AS qz, round(abs(cos(radians((o_orderkey % 360) / 2.0))), 4) AS qw FROM orders WHERE o_orderkey % 360 <> 180")
+@query("SELECT o_orderkey, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, round(CASE WHEN o_orderkey % 360 > 180 THEN -1 ELSE 1 END * sin(radians((o_orderkey % 360) / 2.0)), 4) AS qz, round(abs(cos(radians((o_orderkey % 360) / 2.0))), 4) AS qw FROM orders")
 def quat_from_matrix(spark, d):
-    p = node_poses(spark, d).where("o_orderkey % 360 <> 180")
+    p = node_poses(spark, d)
     c, s, zero, one = F.cos("a"), F.sin("a"), F.lit(0.0), F.lit(1.0)
     q = G.canonical(G.quaternion([c, -s, zero, s, c, zero, zero, zero, one]))
     return p.select("o_orderkey", *[(F.round(x, 4) + 0.0).alias(n) for x, n in zip(q, ("qx", "qy", "qz", "qw"))])
@@ -293,15 +294,13 @@ def pose_string_parse(spark, d):
 
 @query(f"SELECT event_id, round(0.66 - 0.66 * (y - min(y) OVER w) / coalesce(nullif(max(y) OVER w - min(y) OVER w, 0), 1), 4)::DOUBLE AS hue FROM {P} WINDOW w AS (PARTITION BY user_id)")
 def hue_by_height(spark, d):
-    w = Window.partitionBy("user_id")
-    lo, span = F.min("y").over(w), F.max("y").over(w) - F.min("y").over(w)
-    return poses(spark, d).select("event_id", F.round(0.66 - 0.66 * (F.col("y") - lo) / F.coalesce(F.nullif(span, F.lit(0.0)), F.lit(1.0)), 4).alias("hue"))
+    return R.hues(poses(spark, d), "user_id", "y").select("event_id", F.round("hue", 4).alias("hue"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity * 2) AS INT) AS percent, CASE WHEN floor(l_quantity * 2) >= 80 THEN 'high' WHEN floor(l_quantity * 2) >= 60 THEN 'medium' ELSE 'low' END AS band FROM lineitem")
 def confidence_band(spark, d):
     p = F.floor(F.col("l_quantity") * 2).cast("int")
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", p.alias("percent"), F.when(p >= 80, "high").when(p >= 60, "medium").otherwise("low").alias("band"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", p.alias("percent"), R.confidence_band(p).alias("band"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN '<' || length(text) || ' chars>' ELSE text END AS text FROM conversations")
@@ -312,7 +311,7 @@ def log_sanitize(spark, d):
 @query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS opened, count(*) AS n_frames FROM s GROUP BY user_id, k")
 def session_quiescence(spark, d):
     e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.min("ts").cast("timestamp_ntz").alias("opened"), F.count("*").alias("n_frames")).select("user_id", "opened", "n_frames")
+    return R.quiet_sessions(e, "user_id", "ts", "6 hours").withColumn("opened", F.col("opened").cast("timestamp_ntz"))
 
 
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM nation WHERE p_size BETWEEN n_nationkey AND n_nationkey + 2 AND n_regionkey = p_partkey % 5)")
@@ -381,3 +380,251 @@ def navigation_answers(spark, d):
     start = {c: F.lit(0.0) for c in ("sx", "sy", "sz")}
     goal = {"gx": F.lit(100.0), "gy": F.lit(50.0), "gz": F.lit(0.0)}
     return N.navigate(poses(spark, d).withColumns({**start, **goal}), "user_id", "event_id")
+
+
+# ---------------------------------------------------------------- maps and their building
+
+CHUNKS = "(SELECT conv_id, turn, role, encode(text) AS b, text FROM conversations)"
+
+
+@query("""WITH u AS (SELECT conv_id % 50 AS session, conv_id // 50 AS chunk, turn, text FROM conversations),
+f AS (SELECT session, chunk, list(CASE WHEN turn % 4 = 3 THEN 'not base64!' ELSE to_base64(encode(text)) END ORDER BY turn) AS fs FROM u WHERE chunk < 1000 GROUP BY ALL),
+e AS (SELECT session, chunk, unnest(fs) AS x, generate_subscripts(fs, 1) - 1 AS i FROM f)
+SELECT session, CAST(chunk * 1000 + i AS BIGINT) AS frame_index, lpad(CAST(chunk * 1000 + i AS VARCHAR), 6, '0') AS name, md5(decode(from_base64(x))) AS image_md5 FROM e WHERE x <> 'not base64!'""")
+def saved_frames(spark, d):
+    """Chunks of base64 frames, each sent twice; the first sending of each was cut short."""
+    image = F.when(F.col("turn") % 4 == 3, "not base64!").otherwise(F.base64(F.encode("text", "utf-8")))
+    u = t(spark, d, "conversations").select((F.col("conv_id") % 50).alias("session"), F.expr("conv_id div 50").alias("chunk"), "turn", image.alias("x")).where("chunk < 1000")
+    whole = u.groupBy("session", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda e: e["x"]).alias("frames"))
+    sent = whole.withColumn("at", F.lit(2)).unionByName(whole.withColumn("at", F.lit(1)).withColumn("frames", F.slice("frames", 1, 1)))
+    out = B.saved_frames(sent, "session", "chunk", "at", "frames")
+    return out.select("session", "frame_index", "name", F.md5("image").alias("image_md5"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN u.st IS NOT NULL THEN u.st ELSE s_name END AS status, CASE WHEN u.n IS NOT NULL THEN u.n ELSE s_acctbal END AS total FROM supplier
+LEFT JOIN (SELECT l_suppkey, arg_max(l_returnflag, (l_orderkey, l_linenumber)) FILTER (l_returnflag <> 'N') AS st, arg_max(l_quantity, (l_orderkey, l_linenumber)) FILTER (l_linenumber = 7) AS n FROM lineitem GROUP BY l_suppkey) u ON s_suppkey = l_suppkey""")
+def upserted_sessions(spark, d):
+    base = t(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("status"), F.col("s_acctbal").alias("total"))
+    line = t(spark, d, "lineitem").join(base.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    updates = line.select(F.col("l_suppkey").alias("s_suppkey"), F.struct("l_orderkey", "l_linenumber").alias("at"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("status"), F.when(F.col("l_linenumber") == 7, F.col("l_quantity")).alias("total"))
+    return B.upserted(base, updates, "s_suppkey", "at")
+
+
+@query(f"SELECT building_id, id, CASE WHEN bool_or(coalesce(status = 'FAILED', false)) OVER (PARTITION BY building_id) THEN 'FAILED' ELSE status END AS status FROM {S}")
+def failed_buildings(spark, d):
+    return B.building_status(sessions(spark, d), "building_id", "id", "status")
+
+
+@query(f"SELECT building_id, arg_max(id, (created_at, id)) FILTER (status IS NOT NULL) AS id FROM {S} GROUP BY building_id")
+def building_map(spark, d):
+    """The last session with a map stands for the building."""
+    s = sessions(spark, d).withColumn("id", F.when(F.col("status").isNotNull(), F.col("id"))).withColumn("k", F.col("id"))
+    return R.latest(s, "building_id", "id", ["created_at", "k"])
+
+
+@query("SELECT o_custkey AS building_id, CASE WHEN min(CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END) IS NULL THEN '' ELSE strftime(min(CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END), '%Y-%m-%dT%H:%M:%S') END AS created_at FROM orders GROUP BY o_custkey")
+def first_created(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("building_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("at"))
+    return R.first_created(o, "building_id", "at")
+
+
+def recording(spark, d):
+    o = t(spark, d, "orders")
+    images = o.select(F.col("o_orderkey").alias("stem"), F.col("o_custkey").alias("recording"))
+    depths = t(spark, d, "lineitem").where("l_linenumber = 3").groupBy(F.col("l_orderkey").alias("stem")).agg(F.max("l_quantity").alias("depth"))
+    metadata = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("stem"), (F.col("o_custkey") * 1000 - 20000).alias("ms"))
+    return images, depths, metadata
+
+
+STAMP = "CASE WHEN o_orderstatus = 'F' AND o_custkey * 1000 - 20000 > 0 THEN (o_custkey * 1000 - 20000) / 1000.0 ELSE 0 END::DOUBLE"
+
+
+@query("SELECT o_orderkey AS stem, o_custkey AS recording, l_quantity AS depth FROM orders JOIN (SELECT l_orderkey, max(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber = 3 GROUP BY 1) ON o_orderkey = l_orderkey")
+def paired_images(spark, d):
+    images, depths, _ = recording(spark, d)
+    return B.paired_images(images, depths, "stem")
+
+
+@query(f"SELECT o_orderkey AS stem, o_custkey AS recording, {STAMP} AS stamp FROM orders")
+def stamped_images(spark, d):
+    images, depths, metadata = recording(spark, d)
+    return B.with_stamps(B.paired_images(images, depths, "stem", monocular=True), metadata, "stem", "ms")
+
+
+@query(f"SELECT o_orderkey AS stem, o_custkey AS recording, l_quantity AS depth, {STAMP} AS stamp, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS node_id FROM orders JOIN (SELECT l_orderkey, max(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber = 3 GROUP BY 1) ON o_orderkey = l_orderkey")
+def map_rows(spark, d):
+    return B.map_rows(*recording(spark, d), "recording", "stem", "ms")
+
+
+@query("""WITH l AS (SELECT conv_id, list(turn ORDER BY turn) AS a, list(turn * 10 ORDER BY turn) FILTER (role = 'user') AS b, list(turn * 7 ORDER BY turn) FILTER (turn % 3 = 0) AS c FROM conversations GROUP BY conv_id),
+u AS (SELECT conv_id, a, b, c, unnest(range(len(a))) AS i FROM l)
+SELECT conv_id, CAST(i AS INT) AS place, a[i + 1] AS image, b[i + 1] AS depth, coalesce(c[i + 1], 0) AS stamp FROM u""")
+def zipped_uploads(spark, d):
+    turn = F.col("turn")
+    lists = t(spark, d, "conversations").groupBy("conv_id").agg(*[F.array_sort(F.collect_list(x)).alias(n) for n, x in (("a", turn), ("b", F.when(F.col("role") == "user", turn * 10)), ("c", F.when(turn % 3 == 0, turn * 7)))])
+    return lists.select("conv_id", F.explode(B.zipped(F.col("a"), F.col("b"), F.col("c"))).alias("z")).select("conv_id", "z.*")
+
+
+@query("SELECT vec_id FROM embeddings WHERE list_max(list_transform(embedding[1:3], lambda x: CASE WHEN x < 0.1 THEN 0 ELSE x END)) > 0")
+def with_depth(spark, d):
+    """Images of three pixels, dark ones zero."""
+    pixels = F.transform(F.slice("embedding", 1, 3), lambda x: F.when(x < 0.1, 0.0).otherwise(x))
+    return t(spark, d, "embeddings").where(B.has_depth(pixels)).select("vec_id")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 6) AS brightness FROM embeddings")
+def mean_brightness(spark, d):
+    return t(spark, d, "embeddings").select("vec_id", F.round(G.mean_brightness(F.col("embedding")), 6).alias("brightness"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) + 1e-8), 5) AS length, round(embedding[1] / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) + 1e-8), 5)::DOUBLE AS first FROM embeddings")
+def l2_normalized(spark, d):
+    v = t(spark, d, "embeddings").select("vec_id", G.l2_normalized(F.col("embedding")).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return v.select("vec_id", F.round(length, 5).alias("length"), F.round(F.col("v")[0], 5).cast("double").alias("first"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(bit_count(xor(CAST(l_orderkey AS BIGINT), CAST(l_partkey AS BIGINT))) + bit_count(xor(CAST(l_suppkey AS BIGINT), CAST(l_linenumber AS BIGINT))) AS INT) AS bits FROM lineitem")
+def hamming_words(spark, d):
+    long = lambda *c: F.array(*[F.col(x).cast("long") for x in c])
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.hamming_words(long("l_orderkey", "l_suppkey"), long("l_partkey", "l_linenumber")).alias("bits"))
+
+
+@query("SELECT p_partkey, CAST(least(greatest(round(p_size * 5 + 1.402 * (p_partkey % 256 - 128)), 0), 255) AS INT) AS r, CAST(least(greatest(round(p_size * 5 - 0.344136 * (p_partkey % 200 - 128) - 0.714136 * (p_partkey % 256 - 128)), 0), 255) AS INT) AS g, CAST(least(greatest(round(p_size * 5 + 1.772 * (p_partkey % 200 - 128)), 0), 255) AS INT) AS b FROM part")
+def yuv_to_rgb(spark, d):
+    c = G.rgb(F.col("p_size") * 5.0, (F.col("p_partkey") % 200).cast("double"), (F.col("p_partkey") % 256).cast("double"))
+    return t(spark, d, "part").select("p_partkey", *[x.alias(n) for x, n in zip(c, "rgb")])
+
+
+@query("SELECT p_partkey FROM part WHERE p_size - 5 > 0 AND p_retailprice > 0 AND p_partkey % 3 > 0")
+def valid_intrinsics(spark, d):
+    one = F.lit(1.0)
+    return t(spark, d, "part").where(G.valid_intrinsics([F.col("p_size") - 5, F.col("p_retailprice"), one, one, F.col("p_partkey") % 3, one])).select("p_partkey")
+
+
+@query("SELECT conv_id, count(*) AS images, trim(min(role)) <> '' AND count(*) BETWEEN 1 AND 5 AS valid FROM conversations GROUP BY conv_id")
+def valid_requests(spark, d):
+    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("images"), F.min("role").alias("id"))
+    return c.select("conv_id", F.size("images").cast("long").alias("images"), X.valid_request(F.col("id"), F.col("images"), 5).alias("valid"))
+
+
+@query("SELECT p_partkey, regexp_matches(p_name, '^(a|b|small)') AS inside FROM part")
+def in_namespaces(spark, d):
+    return t(spark, d, "part").select("p_partkey", X.in_namespaces(F.col("p_name"), ["a", "b", "small"]).alias("inside"))
+
+
+@query("SELECT event_id, 'user:' || user_id || ';value:' || event_type || ';' AS params, 'user: \"' || user_id || '\"' || chr(10) || 'value: \"' || event_type || '\"' AS yaml FROM events")
+def params_written(spark, d):
+    m = F.create_map(F.lit("value"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
+    return t(spark, d, "events").select("event_id", X.params_string(m).alias("params"), X.params_yaml(m).alias("yaml"))
+
+
+@query("SELECT event_id, CAST(epoch_us(ts) * 1000 // 1000000 AS BIGINT) AS ms, greatest(event_id % 10 - user_id % 10, 0) AS pending FROM events")
+def capture_clock(spark, d):
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return t(spark, d, "events").select("event_id", X.ns_to_ms(ns).alias("ms"), X.pending(F.col("event_id") % 10, F.col("user_id") % 10).alias("pending"))
+
+
+@query("SELECT o_orderkey, o_custkey || '.5 ' || o_orderkey || '.0 0.0 0.0 0.0 0.0 0.0 1.0' AS line FROM orders WHERE o_custkey < 100000 AND o_orderkey < 1000000")
+def tum_lines(spark, d):
+    zero, one = F.lit(0.0), F.lit(1.0)
+    o = t(spark, d, "orders").where("o_custkey < 100000 and o_orderkey < 1000000")
+    return o.select("o_orderkey", X.tum_line(F.col("o_custkey") + 0.5, [F.col("o_orderkey").cast("double"), zero, zero], [zero, zero, zero, one]).alias("line"))
+
+
+@query("""SELECT o_custkey AS map_id, count(*) AS num_nodes, min(o_orderkey) FILTER (o_orderstatus = 'F') AS first_calibrated,
+coalesce(any_value(k), 0) AS num_loops, coalesce(any_value(f), 0) AS num_features, coalesce(any_value(z), 0) AS num_3d FROM orders
+LEFT JOIN (SELECT o_custkey AS c1, count(*) AS k FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c1 = o_custkey
+LEFT JOIN (SELECT o_custkey AS c2, count(*) AS f, count(*) FILTER (l_tax > 0.02) AS z FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1) ON c2 = o_custkey GROUP BY o_custkey""")
+def map_summaries(spark, d):
+    o = t(spark, d, "orders").withColumnRenamed("o_custkey", "map_id")
+    nodes = o.select("map_id", F.col("o_orderkey").alias("node_id"), F.when(F.col("o_orderstatus") == "F", F.lit(b"x")).alias("calibration"))
+    links = o.select("map_id", F.when(F.col("o_orderstatus") == "P", 2).otherwise(0).alias("type"))
+    features = t(spark, d, "lineitem").join(o.select("map_id", "o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("map_id", F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("depth_x"))
+    return B.summary(nodes, links, features, "map_id")
+
+
+def turning(spark, d, where="true"):
+    """Poses of nodes as r and t."""
+    c, s, zero, one = F.cos("a"), F.sin("a"), F.lit(0.0), F.lit(1.0)
+    p = node_poses(spark, d).where(where)
+    return p.select("o_orderkey", F.array(c, -s, zero, s, c, zero, zero, zero, one).alias("r"), F.array(F.col("tx"), F.col("ty"), zero).alias("t"))
+
+
+@query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+p AS (SELECT * FROM n WHERE n <= 50 OR i IN (SELECT unnest(list_transform(range(50), lambda k: CAST(floor(k * (n / 50.0::DOUBLE)) AS BIGINT)))))
+SELECT l_suppkey, l_orderkey, l_linenumber, {WX} AS wx, {WY} AS wy FROM p JOIN {POSE} ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'""")
+def point_clouds(spark, d):
+    f = t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_discount", "l_tax")
+    out = B.point_cloud(f, turning(spark, d, "o_orderstatus <> 'P'"), "l_suppkey", "o_orderkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], ["l_quantity", "l_discount", "l_tax"], 50)
+    return out.select("l_suppkey", "l_orderkey", "l_linenumber", F.round("wx", 6).alias("wx"), F.round("wy", 6).alias("wy"))
+
+
+@query(f"SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS feature, CAST(l_partkey AS BIGINT) AS query_id, {WX} AS x, {WY} AS y FROM lineitem JOIN {POSE} ON l_orderkey = o_orderkey WHERE l_tax > 0.02 AND o_orderstatus = 'O' AND l_partkey % 5 = 0")
+def matched_points(spark, d):
+    f = t(spark, d, "lineitem").select((F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("feature"), F.col("l_partkey").cast("long").alias("query_id"), F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_discount", F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("l_tax"))
+    out = L.world_points(f.where("query_id % 5 = 0").select("feature", "query_id"), f, turning(spark, d, "o_orderstatus = 'O'"), "feature", "o_orderkey", ["l_quantity", "l_discount", "l_tax"])
+    return out.select("feature", "query_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("""WITH q AS (SELECT l_orderkey AS node, l_linenumber AS q, l_quantity + 3 AS x, l_partkey % 40 + 0.0 AS y FROM lineitem WHERE l_linenumber <= 2),
+c AS (SELECT q.node, q.q, l_linenumber AS p, sqrt((q.x - l_quantity) ^ 2 + (q.y - l_partkey % 40) ^ 2) AS dist FROM q JOIN lineitem ON l_orderkey = q.node),
+r AS (SELECT *, row_number() OVER (PARTITION BY node, q ORDER BY dist, p) AS r FROM c WHERE dist <= 8)
+SELECT node * 10 + q AS query, CAST(p AS INT) AS point, round(dist, 6) AS dist FROM r WHERE r = 1""")
+def nearest_keypoint(spark, d):
+    k = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_linenumber").cast("int").alias("point"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_partkey") % 40).cast("double").alias("y"))
+    q = k.where("point <= 2").select("node", (F.col("node") * 10 + F.col("point")).alias("query"), (F.col("x") + 3).alias("x"), "y")
+    return L.nearest_keypoint(q, k, "node", "query", "point", ("x", "y")).withColumn("dist", F.round("dist", 6))
+
+
+@query("SELECT s_suppkey AS image, n_regionkey AS building, n_nationkey AS level FROM supplier JOIN nation ON s_suppkey % 5 = n_regionkey")
+def on_floors(spark, d):
+    images = t(spark, d, "supplier").select(F.col("s_suppkey").alias("image"), (F.col("s_suppkey") % 5).cast("int").alias("building"))
+    floors = t(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("building"), F.col("n_nationkey").alias("level"))
+    return L.on_floors(images, floors, "building").select("image", F.col("building").cast("long").alias("building"), "level")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS r FROM lineitem)
+SELECT l_suppkey, l_orderkey AS image, l_linenumber AS candidate, l_quantity AS num_inliers FROM r WHERE r = 1""")
+def best_candidate(spark, d):
+    c = t(spark, d, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("candidate"), F.col("l_quantity").alias("num_inliers"))
+    return L.best_candidate(c, "l_suppkey", "image", "candidate")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_quantity DESC, l_linenumber) AS r FROM lineitem)
+SELECT l_orderkey AS image, l_linenumber AS level, l_discount AS confidence, l_quantity AS num_matches FROM r WHERE r = 1""")
+def best_floor(spark, d):
+    c = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("level"), F.col("l_discount").alias("confidence"), F.col("l_quantity").alias("num_matches"))
+    return L.best_floor(c, "image", "level")
+
+
+@query("""SELECT o_orderkey, coalesce(a, b, c) AS path FROM orders LEFT JOIN (SELECT l_orderkey AS ka, min('db/' || l_partkey) AS a FROM lineitem WHERE l_linenumber = 5 GROUP BY 1) ON ka = o_orderkey
+LEFT JOIN (SELECT l_orderkey AS kb, min('map/' || l_partkey) AS b FROM lineitem WHERE l_linenumber = 4 GROUP BY 1) ON kb = o_orderkey LEFT JOIN (SELECT o_orderkey AS kc, 'meta/' || o_custkey AS c FROM orders WHERE o_orderstatus = 'F') ON kc = o_orderkey""")
+def resolved_paths(spark, d):
+    part = lambda n, folder: t(spark, d, "lineitem").where(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit(folder), F.col("l_partkey").cast("string")).alias("path"))
+    meta = t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.concat(F.lit("meta/"), F.col("o_custkey").cast("string")).alias("path"))
+    return B.resolved_paths(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", [part(5, "db/"), part(4, "map/"), meta])
+
+
+@query(f"""WITH w AS (SELECT *, sqrt((x - lag(x) OVER v) ^ 2 + (y - lag(y) OVER v) ^ 2) AS moved, event_id % 7 * 10 AS blur, event_id % 3 AS turned FROM {P} WINDOW v AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, CASE WHEN event_id % 7 > 0 AND blur < 20 THEN 'blurry' WHEN moved > 60 THEN 'tooFast' WHEN moved < 15 AND turned < 1 THEN 'tooSlow' ELSE 'good' END AS status FROM w""")
+def movement_status(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    moved = G.distance(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w), F.lit(0.0))
+    e = poses(spark, d).withColumn("moved", moved)
+    blur = F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 7 * 10)
+    return e.select("event_id", R.movement_status(blur, F.col("moved"), F.col("moved"), F.col("event_id") % 3, 20, 60, 15, 1).alias("status"))
+
+
+@query("SELECT count(*) AS n_points, coalesce((min(value) + max(value)) / 2, 0) AS centre_x, 0.0::DOUBLE AS centre_y, 0.0::DOUBLE AS centre_z, 0.0::DOUBLE AS min_y, 0.0::DOUBLE AS max_y, CASE WHEN count(*) = 0 THEN 5 ELSE greatest(max(value) - min(value), 2.0) END::DOUBLE AS span FROM events WHERE value < -1")
+def empty_bounds(spark, d):
+    e = t(spark, d, "events").where("value < -1").select(F.col("value").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return R.bounding_box_of_all(e, "x", "y", "z")
+
+
+@query(None)
+def gyro_turns(spark, d):
+    """Devices turned by the rates of their first samples: an ordered fold, tested by a plain one."""
+    e = t(spark, d, "events").where("event_id % 20 < 3").groupBy("user_id").agg(F.collect_list(F.struct((F.col("event_id") / 1000.0).alias("t"), (F.col("value") / 10).alias("x"), F.lit(0.1).alias("y"), F.lit(-0.2).alias("z"))).alias("s"))
+    q = G.turned_by_gyro(F.slice(F.array_sort("s"), 1, 200))
+    return e.select("user_id", q.alias("q")).select("user_id", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("qx", "qy", "qz", "qw"))])
