@@ -581,7 +581,7 @@ def nearest_keypoint(spark, d):
 def on_floors(spark, d):
     images = t(spark, d, "supplier").select(F.col("s_suppkey").alias("image"), (F.col("s_suppkey") % 5).cast("int").alias("building"))
     floors = t(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("building"), F.col("n_nationkey").alias("level"))
-    return L.on_floors(images, floors, "building").select("image", F.col("building").cast("long").alias("building"), "level")
+    return L.on_floors(images, floors, "building").select("image", "building", "level")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS r FROM lineitem)
