@@ -24,8 +24,8 @@ MAX_CHUNK = 256
 #: Least words of a run of repeated chunks.  A passage loses at most its first and last partial chunk to the
 #: search, 25 words at the very most in prose, so 20 finds passages of 50 words; common short phrases stay.
 MIN_WORDS = 20
-#: One document in so many tells which chunks are common.
-SAMPLE = 16
+#: One document in so many tells which chunks are common, and into how many groups those are dealt.
+SAMPLE, SALTS = 16, 64
 
 #: Gear values by rule: Knuth's multiplicative hash of the byte, 32 bits.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(2654435761) >> np.uint64(3)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) * np.uint32(0x9E3779B1)
@@ -152,25 +152,24 @@ def cut(text: str, repeated: list[tuple[int, int]], min_words: int = MIN_WORDS)
 def repeated_chunks(lists: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, size of every chunk but the first in (doc_id, text_hash, start) order of each digest.
 
-    Chunks that hold more than a share of those of a sample of documents are common: at most HOT_KEYS digests.  Their
-    first occurrences are found by partial aggregation and broadcast, so their rows stay where they are.  All others
-    are sorted by digest and order.
+    Rows are sorted by digest and order.  Chunks that hold more than a share of those of a sample of documents are common:
+    at most HOT_KEYS digests.  Their rows are dealt to SALTS groups each; all but the first of a group are repeats, and the
+    firsts, at most HOT_KEYS * SALTS rows, are ranked among themselves.
     """
-    rows = chunk_rows(lists)
-    sample = chunk_rows(lists.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SAMPLE)) == 0))
-    counts = sample.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    n = lists.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SAMPLE)) == 0).agg(F.sum(F.size("digests"))).first()[0] or 0
+    some = lists.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SAMPLE)) == 0)
+    counts = chunk_rows(some).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    n = some.agg(F.sum(F.size("digests"))).first()[0] or 0
     hot = materialize(counts.where(F.col("n") > max(8, n / HOT_KEYS)).select(F.col("digest").alias("hot")))
-    told = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
-    order = F.struct("doc_id", "text_hash", "start")
-    common = told.where("hot is not null")
-    first = common.groupBy("digest").agg(F.min(order).alias("first"))
-    again = common.join(F.broadcast(first), "digest").where(order != F.col("first"))
+    common = F.col("hot").isNotNull()
+    salt = F.when(common, F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS))).otherwise(0)
+    told = chunk_rows(lists).join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left").withColumn("common", common).withColumn("salt", salt)
     # equal rows are one document: dense_rank gives them one rank
-    rank = F.dense_rank().over(Window.partitionBy("digest").orderBy("doc_id", "text_hash", "start"))
-    rest = told.where("hot is null").withColumn("r", rank).where("r > 1")
-    keep = ["doc_id", "text_hash", "start", "size"]
-    return again.select(keep).unionByName(rest.select(keep))
+    order = ["doc_id", "text_hash", "start"]
+    rank = F.dense_rank().over(Window.partitionBy("digest", "salt").orderBy(*order))
+    ranked = materialize(told.withColumn("r", rank).where("r > 1 or common").select(*order, "size", "digest", "r"))
+    among = F.dense_rank().over(Window.partitionBy("digest").orderBy(*order))
+    firsts = ranked.where("r = 1").withColumn("r", among)
+    return ranked.where("r > 1").unionByName(firsts.where("r > 1")).select(*order, "size")
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
