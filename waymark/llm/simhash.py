@@ -271,9 +271,10 @@ def link_fingerprints(distinct: DataFrame, bits: int = BITS, depth: int | None =
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, fingerprint, component_id for each row: fingerprints link at ``bits`` or fewer differing bits.
+    """doc_id, fingerprint, component_id, component_fp for each row: fingerprints link at ``bits`` or fewer differing bits.
 
-    ``component_id`` is the least doc_id reachable.  Rows without an id get a fingerprint; they link nothing that
+    ``component_id`` is the least doc_id reachable; ``component_fp`` is one fingerprint of the component and tells apart
+    components whose least ids are equal because an id has several texts.  Rows without an id get a fingerprint; they link nothing that
     no row with an id has, and their component is null if no row with an id shares their fingerprint.  Null, empty and
     wordless texts all have fingerprint 0 and so hang together.  Repeated rows stay, an id with several texts has a row
     for each.  Whole texts are read.  An empty table gives no rows.  ``keep`` names columns to carry along.
@@ -285,12 +286,14 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", t
     # an id may occur with several texts, so nodes are the fingerprints themselves
     linked = link_fingerprints(distinct.select("fp", F.col("fp").alias("node")), bits)
     lows = linked.join(distinct.select(F.col("fp").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
-    named = linked.join(lows, "component").select(F.col("node").alias("fp"), "low")
-    by_fp = materialize(distinct.join(named, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), (F.col("n") > many).alias("hot")))
+    named = linked.join(lows, "component").select(F.col("node").alias("fp"), "low", "component")
+    joined = distinct.join(named, "fp", "left")
+    by_fp = materialize(joined.select("fp", F.coalesce("low", "rep").alias("component_id"), F.coalesce("component", "fp").alias("component_fp"), (F.col("n") > many).alias("hot")))
     out = split_join(fps, by_fp, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(keep or []))
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias("fingerprint" if c == "fp" else c)
+    return out.select("doc_id", digits("fp"), "component_id", digits("component_fp"), *(keep or []))
 
 
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: doc_id, fingerprint, component_id."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("component_fp")
