@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, language, leaks, licences, pages, pieces, quality, shards, simhash, tokens
+from . import chunks, language, leaks, licences, pages, pieces, quality, shards, simhash, spelling, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_latent_leaks": leaks.op1_latent_leaks,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_components": simhash.op8_simhash_components,
     "op9_compression_bands": quality.op9_compression_bands,
     "op10_piece_codec": pieces.op10_piece_codec,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_licence_digests": licences.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_licence_digests": licences.SQL, "op11_spelling_variants": spelling.SQL}
