@@ -54,11 +54,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/waymark-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends, nothing is computed twice."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.waymark_path = path
     return out
