@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, collocations, language, leaks, licences, pages, pieces, quality, shards, simhash, spelling, tokens
+from . import chunks, collocations, language, leaks, licences, pages, pieces, quality, shards, simhash, spelling, tokens, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_latent_leaks": leaks.op1_latent_leaks,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_codec": pieces.op10_piece_codec,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_collocations": collocations.op12_collocations,
+    "op13_rotated_codes": vectors.op13_rotated_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_licence_digests": licences.SQL, "op11_spelling_variants": spelling.SQL, "op12_collocations": collocations.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_licence_digests": licences.SQL, "op11_spelling_variants": spelling.SQL, "op12_collocations": collocations.SQL, "op13_rotated_codes": vectors.SQL}
