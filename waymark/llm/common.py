@@ -192,26 +192,28 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def in_blocks(rows: DataFrame, key: list[str], item: str, points: int, queries: int) -> DataFrame:
     """``rows`` with ``cell``, the part of their group ``key`` that they go to, so that no part holds much more than
-    ``points`` rows that are searched (``home``) and ``queries`` that ask; ``home`` is then the row's part in that cell.
+    ``points`` rows that are searched (``home``) and ``queries`` that ask; ``home`` is then the row's part in that cell, and
+    ``among`` tells whether the cell's homes are also to be compared with each other.
 
     A group within both bounds is one cell, 0.  A larger one has its homes and askers dealt into blocks by a hash of
-    ``item``: all pairs of two homes, and of a home with an asker, meet in exactly one cell.  The sizes of large groups
-    are joined on the key, which Spark splits where a key is hot.
+    ``item``: all pairs of two homes, and of a home with an asker, are compared in exactly one cell.  The sizes of large
+    groups are joined on the key, which Spark splits where a key is hot.
     """
     sizes = rows.groupBy(*key).agg(F.count_if("home").alias("_h"), F.count_if(~F.col("home")).alias("_v")).where((F.col("_h") > points) | (F.col("_v") > queries))
     split = sizes.select(*key, F.ceil(F.col("_h") / points).cast("int").alias("_own"), F.ceil(F.col("_v") / queries).cast("int").alias("_others"))
     n, m = F.greatest(F.col("_own"), F.lit(1)), F.col("_others")
     own = F.pmod(F.xxhash64(item, F.lit(1)), n).cast("int")
     other = F.pmod(F.xxhash64(item, F.lit(2)), F.greatest(m, F.lit(1))).cast("int")
-    at = lambda cell, home: F.struct(cell.cast("int").alias("cell"), F.lit(home).alias("home"))
+    at = lambda cell, home, among=False: F.struct(cell.cast("int").alias("cell"), F.lit(home).alias("home"), F.lit(among).alias("among"))
     every, each = F.sequence(F.lit(0), n - 1), F.slice(F.sequence(F.lit(0), m), 1, m)
     mine = F.concat(
-        F.transform(F.filter(every, lambda j: j >= own), lambda j: at(own * n + j, True)),
+        F.array(at(own * n + own, True, True)),
+        F.transform(F.filter(every, lambda j: j > own), lambda j: at(own * n + j, True)),
         F.transform(F.filter(every, lambda i: i < own), lambda i: at(i * n + own, False)),
         F.transform(each, lambda v: at(n * n + own * m + v, True)),
     )
     theirs = F.transform(every, lambda i: at(n * n + i * m + other, False))
-    whole = F.array(F.struct(F.lit(0).alias("cell"), F.col("home").alias("home")))
+    whole = F.array(F.struct(F.lit(0).alias("cell"), F.col("home").alias("home"), F.lit(True).alias("among")))
     cells = F.when(F.col("_own").isNull(), whole).when(F.col("home"), mine).otherwise(theirs)
     rest = [c for c in rows.columns if c not in (*key, "home")]
-    return rows.join(split, key, "left").select(*key, *rest, F.explode(cells).alias("_at")).select(*key, "_at.cell", "_at.home", *rest)
+    return rows.join(split, key, "left").select(*key, *rest, F.explode(cells).alias("_at")).select(*key, "_at.cell", "_at.home", "_at.among", *rest)

@@ -176,7 +176,8 @@ def searched(cell: pa.Table) -> dict[str, list] | None:
     best = np.full(len(word), len(word))
     pairs: list[np.ndarray] = []  # a word has few near words: one edit of a word of this alphabet
     own = np.flatnonzero(home)
-    for ask, same in ((own, True), (np.flatnonzero(~home & (place == length)), False), (np.flatnonzero(~home & (place > length)), False)):
+    among = own if cell.column("among")[0].as_py() else own[:0]
+    for ask, same in ((among, True), (np.flatnonzero(~home & (place == length)), False), (np.flatnonzero(~home & (place > length)), False)):
         for i, j in near_pairs(band, length, [word[k] for k in own], mask[own], [word[k] for k in ask], mask[ask], same):
             if len(i):
                 pairs += [own[i], ask[j]]
@@ -221,7 +222,7 @@ def near_words(words: DataFrame, points: int | None = None, queries: int | None
     rows = rows.withColumn("size", F.col("size") - F.col("_less")).withColumn("home", F.col("_less") == 0).drop("_less")
     cells = in_blocks(rows, ["band", "value", "size"], "id", points or CELL_POINTS, queries or CELL_QUERIES)
     keys = ["band", "value", "size", "cell"]
-    dealt = cells.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "home", "id", "word", "n", "mask")
+    dealt = cells.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "home", "among", "id", "word", "n", "mask")
     found = dealt.mapInArrow(search, "id long, near long, other string, other_n long")
     best = F.min(F.struct((-F.col("other_n")).alias("m"), "other"))
     return found.groupBy("id").agg(F.sum("near").alias("n_near"), best.alias("_b")).select("id", "n_near", F.col("_b.other").alias("other"), (-F.col("_b.m")).alias("other_n"))

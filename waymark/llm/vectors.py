@@ -118,10 +118,10 @@ def earlier(x: np.ndarray, table_: int) -> np.ndarray:
     return out
 
 
-def close_codes(code: np.ndarray, own: np.ndarray, ask: np.ndarray, table_: int) -> np.ndarray:
-    """Which rows have a candidate: own ones among each other, and with those that ask."""
+def close_codes(code: np.ndarray, own: np.ndarray, asks: list[np.ndarray], table_: int) -> np.ndarray:
+    """Which rows have a candidate: own ones with those that ask, which may be themselves."""
     found = np.zeros(len(code), dtype=bool)
-    for other in (own, ask):
+    for other in asks:
         for lo in range(0, len(own), ROWS):
             mine = own[lo : lo + ROWS]
             for at in range(lo if other is own else 0, len(other), COLUMNS):
@@ -135,10 +135,10 @@ def close_codes(code: np.ndarray, own: np.ndarray, ask: np.ndarray, table_: int)
     return found
 
 
-def linked_rows(vec: np.ndarray, code: np.ndarray, times: np.ndarray, own: np.ndarray, ask: np.ndarray, table_: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def linked_rows(vec: np.ndarray, code: np.ndarray, times: np.ndarray, own: np.ndarray, asks: list[np.ndarray], table_: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """For each row the number of vectors linked to it here, and the root of those that hang together."""
     links, forest, u = np.zeros(len(code), dtype=np.int64), Forest(len(code)), unit(vec)
-    for other in (own, ask):
+    for other in asks:
         for lo in range(0, len(own), ROWS):
             mine = own[lo : lo + ROWS]
             for at in range(lo if other is own else 0, len(other), COLUMNS):
@@ -171,9 +171,10 @@ def link_vectors(distinct: DataFrame, cosine: float = COSINE, points: int | None
             got = codes.of(numbers(batch.column(3), batch.column(4).to_numpy(zero_copy_only=False), codes.dim)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(got)], names=["label", "dim", "node", "code"])
 
-    def roles(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def roles(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], int]:
         home = cell.column("home").to_numpy()
-        return cell.column("code").to_numpy().view(np.uint64), np.flatnonzero(home), np.flatnonzero(~home), cell.column("table")[0].as_py()
+        own = np.flatnonzero(home)
+        return cell.column("code").to_numpy().view(np.uint64), own, [np.flatnonzero(~home)] + [own] * cell.column("among")[0].as_py(), cell.column("table")[0].as_py()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in groups(batches, len(CELL)):
@@ -186,8 +187,8 @@ def link_vectors(distinct: DataFrame, cosine: float = COSINE, points: int | None
         for cell in groups(batches, len(CELL)):
             if cell.num_rows > 1:
                 vec = numbers(cell.column("vec"), cell.column("wide").to_numpy())
-                code, own, ask, at = roles(cell)
-                links, root = linked_rows(vec, code, cell.column("n").to_numpy(), own, ask, at, cosine)
+                code, own, asks, at = roles(cell)
+                links, root = linked_rows(vec, code, cell.column("n").to_numpy(), own, asks, at, cosine)
                 node, hit = cell.column("node").to_numpy(), links > 0
                 if hit.any():
                     yield pa.RecordBatch.from_pydict({"node": node[hit], "links": links[hit], "hub": node[root[hit]]})
@@ -197,9 +198,9 @@ def link_vectors(distinct: DataFrame, cosine: float = COSINE, points: int | None
     rows = coded.select("label", "dim", F.posexplode(F.array(*[byte(t) for t in range(TABLES)])).alias("table", "value"), "node", "code").withColumn("home", F.lit(True))
     cells = in_blocks(rows, CELL[:4], "node", points or CELL_POINTS, queries or CELL_QUERIES)
     together = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL)
-    dealt = together(cells.select(*CELL, "home", "node", "code"))
-    need = materialize(dealt.mapInArrow(candidates, T.StructType([*key.fields, *T._parse_datatype_string("home boolean, node long, code long").fields])))
-    fetched = need.join(distinct.select("node", "vec", "wide", "n"), "node").select(*CELL, "home", "node", "code", "vec", "wide", "n")
+    dealt = together(cells.select(*CELL, "home", "among", "node", "code"))
+    need = materialize(dealt.mapInArrow(candidates, T.StructType([*key.fields, *T._parse_datatype_string("home boolean, among boolean, node long, code long").fields])))
+    fetched = need.join(distinct.select("node", "vec", "wide", "n"), "node").select(*CELL, "home", "among", "node", "code", "vec", "wide", "n")
     found = materialize(together(fetched).mapInArrow(rerank, "node long, links long, hub long"))
     forget(need)
     return found.groupBy("node").agg(F.sum("links").alias("links")), found.select("node", "hub")
