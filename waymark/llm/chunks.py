@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, add_columns, fresh, materialize, small_batches, table, texts
+from .common import HOT_KEYS, add_columns, forget, fresh, materialize, small_batches, table, texts
 
 #: A hash ends a chunk if none of REACH bytes before and after has one as small: a chunk is 31 bytes on average.
 REACH = 15
@@ -167,6 +167,7 @@ def repeated_chunks(lists: DataFrame) -> DataFrame:
     order = ["doc_id", "text_hash", "start"]
     rank = F.dense_rank().over(Window.partitionBy("digest", "salt").orderBy(*order))
     ranked = materialize(told.withColumn("r", rank).where("r > 1 or common").select(*order, "size", "digest", "r"))
+    forget(hot)
     among = F.dense_rank().over(Window.partitionBy("digest").orderBy(*order))
     firsts = ranked.where("r = 1").withColumn("r", among)
     return ranked.where("r > 1").unionByName(firsts.where("r > 1")).select(*order, "size")

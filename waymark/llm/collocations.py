@@ -96,11 +96,11 @@ def named(blocks: DataFrame, keys: list[str], least: int) -> DataFrame:
     A gram has a row for each block that holds it, with its count there, so a group grows with the number of blocks and not
     of occurrences.  Its id is the place of its first row in block order, which is fixed since blocks are written.
     """
-    rows = blocks.select("block", F.posexplode("grams").alias("_i", "_g")).select("block", (F.col("_i") + 1).alias("code"), "_g.*")
-    uid = F.shiftleft("block", 31) + F.col("code")
+    rows = blocks.select("block", F.posexplode("grams").alias("_i", "_g")).select((F.shiftleft("block", 31) + F.col("_i") + 1).alias("_u"), "_g.*")
     w = Window.partitionBy(*keys)
-    every = rows.withColumn("_u", uid).withColumn("f", F.sum("n").over(w)).withColumn("id", F.min("_u").over(w))
-    return every.where(F.col("f") >= least).select("block", "code", "id", *keys, "f", (F.col("_u") == F.col("id")).alias("first"))
+    every = rows.withColumn("f", F.sum("n").over(w)).withColumn("id", F.min("_u").over(w)).where(F.col("f") >= least)
+    block, code = F.shiftright("_u", 31), F.col("_u").bitwiseAND((1 << 31) - 1)
+    return every.select(block.alias("block"), code.alias("code"), "id", *keys, "f", (F.col("_u") == F.col("id")).alias("first"))
 
 
 def paired(blocks: DataFrame, names: DataFrame, last: bool) -> DataFrame:

@@ -23,14 +23,17 @@ def components(members: DataFrame) -> DataFrame:
     while True:
         hubs = members.join(labels, "node").groupBy("hub").agg(F.min("label").alias("low"))
         hubs = hubs.join(F.broadcast(hot), "hub", "left").select("hub", "low", F.coalesce("hot", F.lit(False)).alias("hot"))
-        near = split_join(members, materialize(hubs), "hub").groupBy("node").agg(F.min("low").alias("low"))
+        hubs = materialize(hubs)
+        near = split_join(members, hubs, "hub").groupBy("node").agg(F.min("low").alias("low"))
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         fresh = materialize(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")))
         changed = fresh.where("label <> was").limit(1).count()
         forget(labels)
+        forget(hubs)
         if not changed:
             forget(members)
+            forget(hot)
             return fresh.select("node", F.col("label").alias("component"))
         labels = fresh.drop("was")
         labels.waymark_path = fresh.waymark_path

@@ -485,6 +485,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 forget(written)
             shared.destroy()
             written = out
+    forget(sample)
     return out
 
 

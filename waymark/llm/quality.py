@@ -16,7 +16,7 @@ from .common import add_columns, table, texts
 
 LEVEL = 3
 CHUNK = 4096
-#: Share of a text's chunks that may lie outside their band.
+#: Share of a text's bytes that may lie in chunks outside their band.
 MAX_BAD_CHUNKS = 0.25
 #: (bytes from, least ratio, greatest ratio).  Prose of one to a few thousand bytes compresses to 0.4 - 0.6.
 BANDS = [
@@ -64,22 +64,19 @@ def base(text: str, data: bytes) -> tuple[int, int, int, int, int]:
 
 
 def judge(data: bytes, size_of: Callable[[bytes], int]) -> tuple[float, float, bool]:
-    """Ratio of the whole text, share of its chunks out of band, and whether both rules hold."""
+    """Ratio of the whole text, share of its bytes in chunks out of band, and whether both rules hold."""
     if not data:
         return 0.0, 0.0, False
     n = len(data)
     ratio = size_of(data) / n
     lo, hi = band(n)
-    ok, bad, chunks = lo <= ratio <= hi, 0, 0
+    ok, bad = lo <= ratio <= hi, 0
     if n > CHUNK:
         for at in range(0, n, CHUNK):
             part = data[at : at + CHUNK]
-            if len(part) < CHUNK // 4:
-                continue  # a short rest says little; the whole-text ratio covers it
             a, b = band(len(part))
-            bad += not a <= size_of(part) / len(part) <= b
-            chunks += 1
-    share = bad / max(1, chunks)
+            bad += 0 if a <= size_of(part) / len(part) <= b else len(part)
+    share = bad / n
     return ratio, share, ok and share <= MAX_BAD_CHUNKS
 
 
@@ -87,8 +84,8 @@ def quality(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
     """Add the base counts, the ratios and the verdict ``kept``.
 
     A null or empty text has counts of 0, fails the base rules and isn't kept.  Whole texts are read, one at a
-    time; a rest of under a quarter of a chunk at the end is judged with the whole text only.  Repeated rows stay; an empty
-    table gives no rows; columns named as the added ones are replaced.
+    time; a rest behind the last whole chunk is judged by the band of its own length and counts by its bytes.  Repeated rows
+    stay; an empty table gives no rows; columns named as the added ones are replaced.
     """
 
     def make():

@@ -49,6 +49,8 @@ class Tree:
 
 #: Sub-groups of a shard in which slots are numbered; their offsets (shards * this many) reach the driver.
 SLOT_GROUPS = 256
+#: Copies of one row that are numbered by one task.
+SLOT_STEP = 100_000
 
 
 def uniform_tree(n_shards: int, racks_per_region: int = 2, shards_per_rack: int = 2) -> Tree:
@@ -83,22 +85,30 @@ def with_shard(rows: DataFrame, key: str, tree: Tree, name: str) -> DataFrame:
     return out.withColumn(name, F.element_at(F.split(path, "/"), -1).cast("int")).drop(path)
 
 
-def with_slots(df: DataFrame, group: str, order: list[str], groups: int = SLOT_GROUPS) -> DataFrame:
+def with_slots(df: DataFrame, group: str, order: list[str], groups: int = SLOT_GROUPS, step: int = SLOT_STEP) -> DataFrame:
     """Add ``slot``: 0, 1, ... within each ``group``, without ever sorting a whole group in one task.
 
-    Rows of a group are dealt by hash to ``groups`` sub-groups and numbered there; a sub-group starts after all
-    earlier ones.  Rows equal in all ``order`` columns are interchangeable.
+    Rows equal in all columns become one row with a count first, so a row repeated any number of times is numbered once.
+    Rows of a group are dealt by hash to ``groups`` sub-groups and numbered there; a sub-group starts after all earlier
+    ones.  Then a row comes back as often as it was there; one of over ``step`` copies is dealt out in parts of that size.
     """
     from pyspark.sql import Window
 
-    sub = df.withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
-    counts = sub.groupBy(group, "_sub").agg(F.count(F.lit(1)).alias("_n"))
+    columns = df.columns
+    sub = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
+    counts = sub.groupBy(group, "_sub").agg(F.sum("_n").alias("_c"))
+    before = (Window.unboundedPreceding, -1)
     # one row for each group and sub-group: its size does not depend on the number of rows
-    start = Window.partitionBy(group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(start), F.lit(0))).drop("_n")
-    own = Window.partitionBy(group, "_sub").orderBy(*order)
-    numbered = sub.withColumn("_row", F.row_number().over(own).cast("long") - 1)
-    return numbered.join(F.broadcast(counts), [group, "_sub"]).withColumn("slot", F.col("_start") + F.col("_row")).drop("_sub", "_row", "_start")
+    start = Window.partitionBy(group).orderBy("_sub").rowsBetween(*before)
+    counts = counts.withColumn("_start", F.coalesce(F.sum("_c").over(start), F.lit(0))).drop("_c")
+    own = Window.partitionBy(group, "_sub").orderBy(*order, *[c for c in columns if c not in order]).rowsBetween(*before)
+    numbered = sub.withColumn("_row", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(F.broadcast(counts), [group, "_sub"])
+    rows = numbered.select(*columns, "_n", (F.col("_start") + F.col("_row")).alias("_at"))
+    copies = lambda r, first, last: r.select(*columns, F.explode(F.sequence(F.col("_at") + first, F.col("_at") + last)).alias("slot"))
+    last = F.col("_n") - 1
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or these few short rows would be put together again
+    many = rows.where(F.col("_n") > step).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long")))).repartition(tasks, F.col("_at") + F.col("_from"))
+    return copies(rows.where(F.col("_n") <= step), F.lit(0).cast("long"), last).unionByName(copies(many, F.col("_from"), F.least(F.col("_from") + (step - 1), last)))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, tree: Tree | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,6 +126,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, tree: Tree | None = None
         F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
+    # rows equal in id, size and digest are interchangeable: their other columns follow from these
     rows = with_shard(with_shard(rows, "doc_id", tree, "shard"), "doc_id", tree.grown(), "grown_shard")
     out = with_slots(rows, "shard", ["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
