@@ -128,11 +128,6 @@ def test_localize_from_descriptors_to_floors(spark):
             assert 1 not in got
             continue
         assert got[1]["method"] == "votes" and got[1]["x"] is None and got[1]["confidence"] == 0.5
-    images = spark.createDataFrame([(0, 7), (1, 8)], "image long, building long")
-    floors = spark.createDataFrame([(7, 1), (7, 2), (8, 1)], "building long, level long")
-    run = lambda level: localize.localize(queries.where("image = 0" if level == 2 else "true"), points, poses, (500.0, 500.0, 300.0, 300.0))
-    best = {x["building"]: (x["level"], x["method"]) for x in localize.localize_on_floors(images, floors, "building", "level", run).collect()}
-    assert best == {7: (1, "pose"), 8: (1, "votes")}
 
 
 def test_chunk_streams(spark, tmp_path):

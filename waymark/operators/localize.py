@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import affine, canonical, quaternion
 from .matching import best_by_votes, nearest, ratio_test
 
-#: Points that fix a projection matrix.
-SAMPLE = 6
+#: Points that fix a pose: three leave up to four of them, the fourth tells which.
+SAMPLE = 4
 #: Sure to this degree that a sample without outliers was drawn.
 SURE = 0.999
 
@@ -32,24 +32,61 @@ def project(points: np.ndarray, r: np.ndarray, t: np.ndarray) -> np.ndarray:
     return c[:, :2] / np.where(c[:, 2:] > 1e-9, c[:, 2:], np.nan)
 
 
-def linear_pose(points: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Rotation and translation of the projection matrix that fits best; None where points don't fix one."""
-    mid = points.mean(axis=0)
-    spread = float(np.linalg.norm(points - mid, axis=1).mean())
-    if spread == 0:
-        return None
-    h = np.c_[(points - mid) / spread, np.ones(len(points))]
-    a = np.zeros((2 * len(points), 12))
-    a[0::2, :4], a[0::2, 8:] = h, -image[:, :1] * h
-    a[1::2, 4:8], a[1::2, 8:] = h, -image[:, 1:] * h
-    _, s, v = np.linalg.svd(a)
-    if s[-2] < 1e-9 * s[0]:
-        return None
-    p = v[-1].reshape(3, 4)
-    u, s, w = np.linalg.svd(p[:, :3])
-    sign = np.sign(np.linalg.det(u @ w))
-    r, t = sign * (u @ w), sign * p[:, 3] / s.mean() * spread
-    return r, t - r @ mid
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotation and translation that bring the points ``a`` nearest to ``b``."""
+    p, q = a.mean(axis=0), b.mean(axis=0)
+    u, _, w = np.linalg.svd((b - q).T @ (a - p))
+    r = u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ w))]) @ w
+    return r, q - r @ p
+
+
+def three_point_poses(points: np.ndarray, image: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The poses from which three points are seen where they are, by the distances to them.
+
+    With the sides a, b, c of the triangle and the cosines between the three rays, the law of cosines gives a quartic in
+    the ratio of the third distance to the first.  None where the points lie on a line.
+    """
+    rays = np.c_[image, np.ones(3)]
+    rays /= np.linalg.norm(rays, axis=1)[:, None]
+    ca, cb, cc = rays[1] @ rays[2], rays[0] @ rays[2], rays[0] @ rays[1]
+    a, b, c = (float(np.sum((points[i] - points[j]) ** 2)) for i, j in ((1, 2), (0, 2), (0, 1)))
+    area = np.linalg.norm(np.cross(points[1] - points[0], points[2] - points[0]))
+    if area <= 1e-9 * max(a, b, c):
+        return []
+    m, p, q = (a - c) / b, (a + c) / b, c / b
+    quartic = [
+        (m - 1) ** 2 - 4 * q * ca**2,
+        4 * (m * (1 - m) * cb - (1 - p) * ca * cc + 2 * q * ca**2 * cb),
+        2 * (m**2 - 1 + 2 * m**2 * cb**2 + 2 * (b - c) / b * ca**2 - 4 * p * ca * cb * cc + 2 * (b - a) / b * cc**2),
+        4 * (-m * (1 + m) * cb + 2 * a / b * cc**2 * cb - (1 - p) * ca * cc),
+        (1 + m) ** 2 - 4 * a / b * cc**2,
+    ]
+    out = []
+    for root in np.roots(quartic) if np.isfinite(quartic).all() else ():
+        v = root.real
+        if abs(root.imag) > 1e-4 * max(1.0, abs(v)) or v <= 0:
+            continue
+        first, under = np.sqrt(b / (1 + v * v - 2 * v * cb)), 2 * (cc - v * ca)
+        # the second distance from the quadratic's difference, or, where that says nothing, from side c itself
+        if abs(under) > 1e-6:
+            ratios = [((m - 1) * v * v - 2 * m * cb * v + 1 + m) / under]
+        else:
+            ratios = [x.real for x in np.roots([1, -2 * cc, 1 - c / first**2]) if abs(x.imag) < 1e-6]
+        for u in ratios:
+            if u > 0:
+                out.append(aligned(points, rays * (first * np.array([1.0, u, v]))[:, None]))
+    return out
+
+
+def minimal_pose(points: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pose of the first three of four points that sees all four best; None where points don't fix one.  The points may
+    lie in one plane."""
+    best, least = None, np.inf
+    for r, t in three_point_poses(points[:3], image[:3]):
+        off = float(np.sum((project(points, r, t) - image) ** 2))
+        if off < least:
+            best, least = (r, t), off
+    return best
 
 
 def turned(v: np.ndarray) -> np.ndarray:
@@ -97,7 +134,7 @@ def solve(points: np.ndarray, image: np.ndarray, within: float, rounds: int, see
     while k < min(need, rounds):
         k += 1
         some = rng.choice(n, SAMPLE, replace=False)
-        got = linear_pose(points[some], image[some])
+        got = minimal_pose(points[some], image[some])
         if got is None:
             continue
         ok = agree(*got)
@@ -116,14 +153,15 @@ def solve(points: np.ndarray, image: np.ndarray, within: float, rounds: int, see
     return r, t, ok
 
 
-def solve_poses(matches: DataFrame, key: str, intrinsics: tuple[float, float, float, float], pixels: float = 5.0, rounds: int = 300, min_inliers: int = 20) -> DataFrame:
+def solve_poses(matches: DataFrame, key: str | list[str], intrinsics: tuple[float, float, float, float], pixels: float = 5.0, rounds: int = 300, min_inliers: int = 20, bounds: tuple[float, float] = (0.1, 0.95)) -> DataFrame:
     """Camera pose of each image from its matches (key, u, v in pixels, x, y, z in the world).
 
-    Returns key, num_inliers, num_correspondences, confidence, the position x, y, z and the rotation qx..qw of the
-    camera in map axes (x forward, y up, z right), qw >= 0.  Images with fewer than ``min_inliers`` agreeing
-    points, or fewer than six matches, have no row; matches with a null in any column don't count.  Points all in
-    one plane fix no pose here.  An image's matches are bounded by its features, so a group fits a task.
+    Returns key, num_inliers, num_correspondences, confidence (the share of inliers, within ``bounds``), the position x, y, z
+    and the rotation qx..qw of the camera in map axes (x forward, y up, z right), qw >= 0.  Four matches fix a pose, in one
+    plane or not; images with fewer, or with fewer than ``min_inliers`` agreeing points, have no row; matches with a null in any
+    column don't count.  An image's matches are bounded by its features, so a group fits a task.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     fx, fy, cx, cy = intrinsics
     within = pixels / ((fx + fy) / 2)
     names = ["r" + str(i) for i in range(9)]
@@ -133,21 +171,21 @@ def solve_poses(matches: DataFrame, key: str, intrinsics: tuple[float, float, fl
         image = np.c_[(frame["u"] - cx) / fx, (frame["v"] - cy) / fy]
         got = solve(frame[["x", "y", "z"]].to_numpy(), image, within, rounds)
         if got is None:
-            return pd.DataFrame({c: [] for c in (key, "n", "k", *names, "t0", "t1", "t2")})
+            return pd.DataFrame({c: [] for c in (*keys, "n", "k", *names, "t0", "t1", "t2")})
         r, t, ok = got
-        return pd.DataFrame([[frame[key].iloc[0], int(ok.sum()), len(frame), *r.ravel(), *t]], columns=[key, "n", "k", *names, "t0", "t1", "t2"])
+        return pd.DataFrame([[*(frame[c].iloc[0] for c in keys), int(ok.sum()), len(frame), *r.ravel(), *t]], columns=[*keys, "n", "k", *names, "t0", "t1", "t2"])
 
     doubles = ", ".join(f"{c} double" for c in (*names, "t0", "t1", "t2"))
-    schema = f"`{key}` {matches.schema[key].dataType.simpleString()}, n long, k long, {doubles}"
-    rows = matches.select(key, *[F.col(c).cast("double").alias(c) for c in ("u", "v", "x", "y", "z")]).dropna()
-    found = rows.groupBy(key).applyInPandas(one, schema).where(F.col("n") >= min_inliers)
+    schema = ", ".join(f"`{c}` {matches.schema[c].dataType.simpleString()}" for c in keys) + f", n long, k long, {doubles}"
+    rows = matches.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("u", "v", "x", "y", "z")]).dropna()
+    found = rows.groupBy(*keys).applyInPandas(one, schema).where(F.col("n") >= min_inliers)
     r = [F.col(c) for c in names]
     # camera to world is the transpose; map axes: forward is the third optical axis, up minus the second, right the first
     turn = [r[6], -r[3], r[0], r[7], -r[4], r[1], r[8], -r[5], r[2]]
     at = [-(r[i] * F.col("t0") + r[3 + i] * F.col("t1") + r[6 + i] * F.col("t2")) for i in range(3)]
-    confidence = F.least(F.lit(0.95), F.greatest(F.lit(0.1), F.col("n") / F.col("k")))
+    confidence = F.least(F.lit(bounds[1]), F.greatest(F.lit(bounds[0]), F.col("n") / F.col("k")))
     q = canonical(quaternion(turn))
-    return found.select(key, F.col("n").alias("num_inliers"), F.col("k").alias("num_correspondences"), confidence.alias("confidence"), *[c.alias(n) for c, n in zip(at, "xyz")], *[c.alias(n) for c, n in zip(q, ("qx", "qy", "qz", "qw"))])
+    return found.select(*keys, F.col("n").alias("num_inliers"), F.col("k").alias("num_correspondences"), confidence.alias("confidence"), *[c.alias(n) for c, n in zip(at, "xyz")], *[c.alias(n) for c, n in zip(q, ("qx", "qy", "qz", "qw"))])
 
 
 def pose_of_line(line: Column) -> Column:
@@ -185,13 +223,15 @@ def pose_log(rows: DataFrame, text: str) -> DataFrame:
     return out.withColumns({new: F.when(ok, F.col(old)) for new, old in names.items()}).drop(*names.values())
 
 
-def world_points(matches: DataFrame, features: DataFrame, poses: DataFrame, feature: str, node: str, point: list[str]) -> DataFrame:
+def world_points(matches: DataFrame, features: DataFrame, poses: DataFrame, feature: str, node: str, point: list[str], within: list[str] | None = None) -> DataFrame:
     """Matches whose feature has a place in its camera and whose node has a pose, with the place x, y, z in the world.
 
-    ``poses`` has node, r (9 numbers) and t (3 numbers).
+    ``poses`` has node, r (9 numbers) and t (3 numbers); ``within`` names columns that matches, features and poses share, the
+    map for one.
     """
-    seen = features.where(" and ".join(f"`{c}` is not null" for c in point)).select(feature, node, *[F.col(c).alias(f"_{i}") for i, c in enumerate(point)])
-    rows = matches.join(seen, feature).join(poses.select(node, "r", "t"), node)
+    keys = within or []
+    seen = features.where(" and ".join(f"`{c}` is not null" for c in point)).select(*keys, feature, node, *[F.col(c).alias(f"_{i}") for i, c in enumerate(point)])
+    rows = matches.join(seen, [*keys, feature]).join(poses.select(*keys, node, "r", "t"), [*keys, node])
     x = affine([F.col("r")[i] for i in range(9)], [F.col("t")[i] for i in range(3)], [F.col(f"_{i}") for i in range(3)])
     return rows.withColumns(dict(zip("xyz", x))).drop("r", "t", "_0", "_1", "_2")
 
@@ -215,17 +255,18 @@ def best_floor(results: DataFrame, group: str, level: str) -> DataFrame:
     return results.groupBy(group).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(group, "_b.*")
 
 
-def nearest_keypoint(queries: DataFrame, points: DataFrame, node: str, query: str, point: str, xy: tuple[str, str], pixels: float = 8.0) -> DataFrame:
+def nearest_keypoint(queries: DataFrame, points: DataFrame, node: str | list[str], query: str, point: str, xy: tuple[str, str], pixels: float = 8.0) -> DataFrame:
     """query, point, dist: the keypoint of the same node nearest to each place, if at most ``pixels`` away; ties go to the
     lesser id.  A node's keypoints are dealt to cells of that size, so a place meets those of nine cells only."""
     x, y = xy
+    node = [node] if isinstance(node, str) else node
     cell = lambda c: F.floor(F.col(c) / pixels).cast("long")
     around = F.expr("explode(array(-1, 0, 1))")
-    asked = queries.select(node, query, F.col(x).alias("_qx"), F.col(y).alias("_qy")).withColumn("_dx", around).withColumn("_dy", around)
-    asked = asked.select(node, query, "_qx", "_qy", (cell("_qx") + F.col("_dx")).alias("_cx"), (cell("_qy") + F.col("_dy")).alias("_cy"))
-    there = points.select(node, point, x, y, cell(x).alias("_cx"), cell(y).alias("_cy"))
+    asked = queries.select(*node, query, F.col(x).alias("_qx"), F.col(y).alias("_qy")).withColumn("_dx", around).withColumn("_dy", around)
+    asked = asked.select(*node, query, "_qx", "_qy", (cell("_qx") + F.col("_dx")).alias("_cx"), (cell("_qy") + F.col("_dy")).alias("_cy"))
+    there = points.select(*node, point, x, y, cell(x).alias("_cx"), cell(y).alias("_cy"))
     d = F.sqrt((F.col("_qx") - F.col(x)) ** 2 + (F.col("_qy") - F.col(y)) ** 2)
-    near = asked.join(there, [node, "_cx", "_cy"]).withColumn("dist", d).where(F.col("dist") <= pixels)
+    near = asked.join(there, [*node, "_cx", "_cy"]).withColumn("dist", d).where(F.col("dist") <= pixels)
     return near.groupBy(query).agg(F.min(F.struct("dist", point)).alias("_m")).select(query, f"_m.{point}", "_m.dist")
 
 
@@ -244,43 +285,82 @@ def matcher(name: str):
 
 
 @matcher("ratio")
-def ratio_matches(queries: DataFrame, points: DataFrame, metric: str = "l2", ratio: float = 0.75) -> DataFrame:
-    return ratio_test(nearest(queries, points, 2, metric), ratio).select("query_id", "point_id")
+def ratio_matches(queries: DataFrame, points: DataFrame, metric: str = "l2", ratio: float = 0.75, within: list[str] | None = None) -> DataFrame:
+    keys = within or []
+    return ratio_test(nearest(queries, points, 2, metric, within=keys), ratio, keys).select(*keys, "query_id", "point_id")
 
 
 @matcher("mutual")
-def mutual_matches(queries: DataFrame, points: DataFrame, metric: str = "l2") -> DataFrame:
-    """Pairs that are each other's nearest among all descriptors given, of whatever image."""
-    there = nearest(queries, points, 1, metric).select("query_id", "point_id")
-    turned_ = [points.select(F.col("point_id").alias("query_id"), "vec"), queries.select(F.col("query_id").alias("point_id"), "vec")]
-    back = nearest(*turned_, 1, metric).select(F.col("query_id").alias("point_id"), F.col("point_id").alias("query_id"))
-    return there.join(back, ["query_id", "point_id"])
+def mutual_matches(queries: DataFrame, points: DataFrame, metric: str = "l2", within: list[str] | None = None) -> DataFrame:
+    """Pairs that are each other's nearest among the descriptors given, or among those equal in ``within``."""
+    keys = within or []
+    there = nearest(queries, points, 1, metric, within=keys).select(*keys, "query_id", "point_id")
+    turned_ = [points.select(*keys, F.col("point_id").alias("query_id"), "vec"), queries.select(*keys, F.col("query_id").alias("point_id"), "vec")]
+    back = nearest(*turned_, 1, metric, within=keys).select(*keys, F.col("query_id").alias("point_id"), F.col("point_id").alias("query_id"))
+    return there.join(back, [*keys, "query_id", "point_id"])
 
 
-def localize(queries: DataFrame, points: DataFrame, poses: DataFrame, intrinsics: tuple[float, float, float, float], name: str = "ratio", pixels: float = 5.0, min_inliers: int = 20, **options) -> DataFrame:
+def localize(queries: DataFrame, points: DataFrame, poses: DataFrame, intrinsics: tuple[float, float, float, float], name: str = "ratio", pixels: float = 5.0, min_inliers: int = 20, pairs: DataFrame | None = None, **options) -> DataFrame:
     """Where images were taken: descriptors matched, matches placed in the world, poses solved, votes where none is.
 
     ``queries``: query_id, image, u, v, vec; ``points``: point_id, node, x, y, z (null: not known) in the node's camera, vec;
     ``poses``: node, r, t.  Returns image, node, num_matches, the pose of ``solve_poses`` (null by votes), confidence and
-    method.  An image without a match has no row.
+    method.  An image without a match has no row.  With ``pairs`` (map, image), points and poses have a map, an image is
+    matched with the points of its maps only, and each (map, image) has a row.
     """
-    matches = MATCHERS[name](queries, points, **options).join(queries.select("query_id", "image", "u", "v"), "query_id")
-    placed = world_points(matches, points, poses, "point_id", "node", ["x", "y", "z"])
-    solved = solve_poses(placed, "image", intrinsics, pixels, min_inliers=min_inliers)
+    keys = [] if pairs is None else ["map"]
+    asked = queries if pairs is None else queries.join(pairs.select("map", "image").distinct(), "image")
+    matches = MATCHERS[name](asked, points, within=keys, **options).join(asked.select(*keys, "query_id", "image", "u", "v"), [*keys, "query_id"])
+    placed = world_points(matches, points, poses, "point_id", "node", ["x", "y", "z"], keys)
+    solved = solve_poses(placed, [*keys, "image"], intrinsics, pixels, min_inliers=min_inliers)
     features = queries.groupBy("image").agg(F.count(F.lit(1)).alias("_features"))
-    voted = best_by_votes(matches.join(points.select("point_id", "node"), "point_id"), "image", "node", "query_id").join(features, "image")
+    voted = best_by_votes(matches.join(points.select(*keys, "point_id", "node"), [*keys, "point_id"]), [*keys, "image"], "node", "query_id").join(features, "image")
     voted = voted.withColumn("_by_votes", F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.col("votes") / F.col("_features")))).drop("_features")
-    out = voted.join(solved, "image", "left")
+    out = voted.join(solved, [*keys, "image"], "left")
     place = ["x", "y", "z", "qx", "qy", "qz", "qw"]
-    return out.select("image", "node", F.col("total").alias("num_matches"), "num_inliers", *place, F.coalesce("confidence", "_by_votes").alias("confidence"), F.when(F.col("confidence").isNotNull(), "pose").otherwise("votes").alias("method"))
-
-
-def localize_on_floors(images: DataFrame, floors: DataFrame, building: str, level: str, run) -> DataFrame:
-    """The best floor for each building's query: ``run(level)`` gives the results (image, confidence, num_matches, ...) on one
-    floor; an image is tried on all floors of its building."""
-    out = None
-    for r in floors.select(level).distinct().orderBy(level).collect():  # a building has few levels
-        got = run(r[0]).withColumn(level, F.lit(r[0]))
-        out = got if out is None else out.unionByName(got)
-    there = on_floors(images.select("image", building), floors.select(building, level), building)
-    return best_floor(out.join(there, ["image", level]), building, level)
+    return out.select(*keys, "image", "node", F.col("total").alias("num_matches"), "num_inliers", *place, F.coalesce("confidence", "_by_votes").alias("confidence"), F.when(F.col("confidence").isNotNull(), "pose").otherwise("votes").alias("method"))
+
+
+def floor_results(requests: DataFrame, floors: DataFrame, run) -> DataFrame:
+    """A row for each request and floor of its building: the result of the request's best image there, nulls where no image
+    has one.
+
+    ``requests``: request, building, image; ``floors``: building, level, map.  ``run`` gets the pairs (map, image) that
+    belong together and returns map, image, num_matches, confidence and more: so an image is only ever tried on the maps of its
+    own building, all floors in one plan.  Of several images the one with most matches counts, of equal ones the first.
+    """
+    pairs = on_floors(requests.select("request", "building", "image"), floors.select("building", "level", "map"), "building").dropDuplicates()
+    found = run(pairs.select("map", "image").distinct())
+    rest = [c for c in found.columns if c not in ("map", "image")]
+    rows = pairs.join(found, ["map", "image"], "left")
+    ok = F.col("confidence").isNotNull()
+    best = F.max_by(F.struct("map", "image", *rest), F.when(ok, F.struct("num_matches", -F.col("image"), F.xxhash64("map"))))
+    return rows.groupBy("request", "building", "level").agg(best.alias("_b")).select("request", "building", "level", "_b.*")
+
+
+def localize_on_floors(requests: DataFrame, floors: DataFrame, run) -> DataFrame:
+    """The best floor of each request (see ``floor_results``): greatest confidence, then most matches, then lowest level.
+
+    A request for which all floors fail, or whose building has none, has a row with ``error`` and nulls.
+    """
+    every = floor_results(requests, floors, run)
+    best = best_floor(every.where("confidence is not null"), "request", "level")
+    known = floors.select("building").distinct().withColumn("_known", F.lit(True))
+    asked = requests.groupBy("request").agg(F.min("building").alias("_asked")).join(known.withColumnRenamed("building", "_asked"), "_asked", "left")
+    told = F.when(F.col("_known").isNull(), "no map of the building").when(F.col("confidence").isNull(), "failed on all floors")
+    return asked.join(best, "request", "left").withColumn("building", F.col("_asked")).withColumn("error", told).drop("_asked", "_known")
+
+
+def best_debug_floor(results: DataFrame, group: str, level: str) -> DataFrame:
+    """Of each group, the floor with most matches to its best node; of equal ones the lowest."""
+    rest = [c for c in results.columns if c != group]
+    return results.groupBy(group).agg(F.max_by(F.struct(*rest), F.struct("num_node_matches", -F.col(level))).alias("_b")).select(group, "_b.*")
+
+
+def match_debug(matches: DataFrame, points: DataFrame, within: list[str]) -> DataFrame:
+    """within, node, num_good_matches, num_node_matches, pairs: for each image the node with most matches, how many matches there
+    are in all and with it, and those with it: (query_id, point_id) in query order."""
+    placed = matches.join(points.select("point_id", "node"), "point_id")
+    best = best_by_votes(placed, within, "node", "query_id")
+    own = placed.join(best, [*within, "node"]).groupBy(*within, "node").agg(F.array_sort(F.collect_list(F.struct("query_id", "point_id"))).alias("pairs"))
+    return best.join(own, [*within, "node"]).select(*within, "node", F.col("total").alias("num_good_matches"), F.col("votes").alias("num_node_matches"), "pairs")

@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import affine
-from ..functions.text import stamp_seconds
+from ..functions.text import CHUNK_FRAMES, frame_name, stamp_seconds
 from .trajectories import stride_sample
 
 
 def saved_frames(chunks: DataFrame, session: str, chunk: str, upload: str, frames: str) -> DataFrame:
     """session, frame_index, name, image of uploaded chunks: of each chunk the last upload stays, frames whose image isn't
-    base64 are skipped.  ``frames`` is an array of base64 strings; an index is chunk * 1000 + place."""
+    base64 are skipped.  ``frames`` is an array of base64 strings; an index is chunk * 1000 + place.  Frames from place 1000
+    on would take the names of the next chunk's: they are left out here and told by ``overfull_chunks``."""
     last = chunks.groupBy(session, chunk).agg(F.max_by(frames, upload).alias("_frames"))
-    rows = last.select(session, chunk, F.posexplode("_frames").alias("_i", "_image"))
-    index = F.col(chunk) * 1000 + F.col("_i")
+    rows = last.select(session, chunk, F.posexplode("_frames").alias("_i", "_image")).where(F.col("_i") < CHUNK_FRAMES)
+    index = F.col(chunk).cast("long") * CHUNK_FRAMES + F.col("_i")
     image = F.try_to_binary("_image", F.lit("base64"))
-    return rows.select(session, index.alias("frame_index"), F.lpad(index.cast("string"), 6, "0").alias("name"), image.alias("image")).where("image is not null")
+    return rows.select(session, index.alias("frame_index"), frame_name(index).alias("name"), image.alias("image")).where("image is not null")
+
+
+def overfull_chunks(chunks: DataFrame, session: str, chunk: str, frames: str) -> DataFrame:
+    """session, chunk, n_frames of the uploads with more frames than a chunk may hold."""
+    return chunks.select(session, chunk, F.size(frames).alias("n_frames")).where(F.col("n_frames") > CHUNK_FRAMES)
 
 
 def chunk_totals(frames: DataFrame, session: str, chunk: str) -> DataFrame:
@@ -52,9 +58,10 @@ def paired_images(images: DataFrame, depths: DataFrame, stem: str, monocular: bo
     return images if monocular else images.join(depths, stem)
 
 
-def with_stamps(images: DataFrame, metadata: DataFrame, stem: str, ms: str) -> DataFrame:
-    """Images with ``stamp``, the seconds of their metadata's milliseconds, 0 where there are none."""
-    return images.join(metadata.select(stem, ms), stem, "left").withColumn("stamp", stamp_seconds(F.col(ms))).drop(ms)
+def with_stamps(images: DataFrame, metadata: DataFrame, stem: str, ms: str, order: str | None = None) -> DataFrame:
+    """Images with ``stamp``, the seconds of their metadata's milliseconds, 0 where there are none; of several metadata rows of a
+    stem the last in ``order`` (without one: the greatest) counts, so no image comes twice."""
+    return images.join(metadata.groupBy(stem).agg(F.max_by(ms, order or ms).alias(ms)), stem, "left").withColumn("stamp", stamp_seconds(F.col(ms))).drop(ms)
 
 
 def zipped(images: Column, depths: Column, stamps: Column) -> Column:

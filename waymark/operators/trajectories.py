@@ -43,16 +43,19 @@ def nearest_in_time(frames: DataFrame, samples: DataFrame, key: list[str], frame
 
 
 def stride_sample(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows of each group, evenly spread in ``order``: row int(i * (n / most)) for each i.
+    """At most ``most`` rows of each group, evenly spread in ``order``: row int(k * (n / most)) for each k.
 
-    The picks are made from the groups' sizes alone, ``most`` for each large group, and joined with the numbered rows.
+    Whether row i is picked is told by arithmetic: k is about i over the step, and it or a neighbour must come out at i.
     """
-    i, n = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long") - 1, F.col("_n")
+    n, i = F.col("_n"), F.col("_i")
+    at = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long") - 1
     sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = rows.withColumn("_i", at).join(sizes, F.col(group).eqNullSafe(F.col("_g")))
     step = n / F.lit(float(most))
-    picks = F.when(n > most, F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: (k * step).cast("long"))))
-    numbered = rows.withColumn("_i", i).join(sizes.select("_g", picks.alias("_p")), F.col(group).eqNullSafe(F.col("_g")))
-    return numbered.where(F.col("_p").isNull() | F.array_contains("_p", F.col("_i"))).drop("_i", "_g", "_p")
+    k = F.floor(i / step)
+    hit = lambda x: (x >= 0) & (x < most) & ((x * step).cast("long") == i)
+    picked = hit(k - 1) | hit(k) | hit(k + 1)
+    return numbered.where((n <= most) | picked).drop("_i", "_g", "_n")
 
 
 def bounding_box(points: DataFrame, group: str, x: str, y: str, z: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..operators import learned as Q
 from ..operators import localize as L
 from ..operators import mapping as B
 from ..operators import matching as M
@@ -51,8 +52,8 @@ P = "(SELECT user_id, event_id, ts, value AS x, CAST(json_extract(props, '$.k')
 VEC = "(SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings)"
 
 
-def knn_sql(dist: str) -> str:
-    return f"""d AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label AS node, {dist} AS dist FROM {VEC} q, {VEC} p WHERE q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id),
+def knn_sql(dist: str, vectors: str = VEC) -> str:
+    return f"""d AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label AS node, {dist} AS dist FROM {vectors} q, {vectors} p WHERE p.vec_id <> q.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM d)"""
 
 
@@ -60,8 +61,13 @@ L2 = knn_sql("list_distance(q.v, p.v)")
 
 
 def neighbours(spark: SparkSession, d: str, k: int, metric: str) -> DataFrame:
-    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("point_id"), F.col("embedding").alias("vec"))
-    return M.nearest(e.where("query_id % 100 = 0"), e, k, metric, other_than_self=True)
+    return neighbours_of(t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec")), k, metric)
+
+
+def neighbours_of(vectors: DataFrame, k: int, metric: str) -> DataFrame:
+    """Every vector's nearest others."""
+    e = vectors.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("point_id"), "vec")
+    return M.nearest(e, e, k, metric, other_than_self=True)
 
 
 @query(f"WITH {L2} SELECT query_id, point_id, CAST(rank AS INT) AS rank, round(dist, 4) AS dist FROM k WHERE rank <= 2")
@@ -79,22 +85,42 @@ def topk_cosine(spark, d):
     return neighbours(spark, d, 5, "cosine").select("query_id", "point_id", "rank", F.round(1 - F.col("dist"), 4).alias("similarity"))
 
 
-TWO = f"""{L2}, m AS (SELECT a.query_id, a.point_id, a.node, a.dist AS d1, b.dist AS d2 FROM k a JOIN k b USING (query_id) WHERE a.rank = 1 AND b.rank = 2 AND a.dist < {RATIO} * b.dist)"""
+def packed_signs(v) -> F.Column:
+    """The signs of 64 numbers as eight bytes."""
+    bits = F.aggregate(F.transform(v, lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x))
+    return F.unhex(F.lpad(F.hex(bits), 16, "0"))
+
+
+BITS = "(SELECT vec_id, label, list_reduce(list_concat([0::UBIGINT], list_transform(embedding, lambda x: CAST(x > 0 AS UBIGINT))), lambda a, x: ((a & 9223372036854775807) << 1) | x) AS v FROM embeddings)"
+
+
+@query(f"WITH {knn_sql('bit_count(xor(q.v, p.v))', BITS)} SELECT query_id, point_id, CAST(rank AS INT) AS rank, CAST(dist AS DOUBLE) AS dist FROM k WHERE rank <= 3")
+def knn3_bits(spark, d):
+    """Descriptors of packed bits, as binary columns hold them."""
+    return neighbours_of(t(spark, d, "embeddings").select("vec_id", packed_signs(F.col("embedding")).alias("vec")), 3, "hamming").select("query_id", "point_id", "rank", "dist")
+
+
+#: Coarse vectors, so that many distances tie.
+COARSE = "(SELECT vec_id, label, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE) * 4) / 4) AS v FROM embeddings)"
+TWO = f"""{knn_sql("list_distance(q.v, p.v)", COARSE)}, m AS (SELECT a.query_id, a.point_id, a.node, a.dist AS d1, b.dist AS d2 FROM k a JOIN k b USING (query_id) WHERE a.rank = 1 AND b.rank = 2 AND a.dist < {RATIO} * b.dist)"""
+
+
+def coarse_matches(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 4) / 4).alias("vec"))
+    return M.ratio_test(neighbours_of(e, 2, "l2"), RATIO)
 
 
 @query(f"WITH {TWO} SELECT query_id, point_id, round(d1, 4) AS d1, round(d2, 4) AS d2 FROM m")
 def ratio_test(spark, d):
-    m = M.ratio_test(neighbours(spark, d, 2, "l2"), RATIO)
-    return m.select("query_id", "point_id", F.round("d1", 4).alias("d1"), F.round("d2", 4).alias("d2"))
+    return coarse_matches(spark, d).select("query_id", "point_id", F.round("d1", 4).alias("d1"), F.round("d2", 4).alias("d2"))
 
 
 def votes(spark: SparkSession, d: str) -> DataFrame:
-    m = M.ratio_test(neighbours(spark, d, 2, "l2"), RATIO)
     nodes = t(spark, d, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").alias("node"))
-    return M.best_by_votes(m.join(nodes, "point_id").withColumn("image", F.expr("query_id div 500")), "image", "node", "query_id")
+    return M.best_by_votes(coarse_matches(spark, d).join(nodes, "point_id").withColumn("image", F.expr("query_id div 5")), "image", "node", "query_id")
 
 
-VOTES = f"""{TWO}, v AS (SELECT query_id // 500 AS image, node, count(*) AS votes, min(query_id) AS f FROM m GROUP BY ALL),
+VOTES = f"""{TWO}, v AS (SELECT query_id // 5 AS image, node, count(*) AS votes, min(query_id) AS f FROM m GROUP BY ALL),
 best AS (SELECT image, arg_max(node, (votes, -f)) AS node, max(votes) AS votes, sum(votes) AS total FROM v GROUP BY image)"""
 
 
@@ -103,14 +129,79 @@ def vote_best_node(spark, d):
     return votes(spark, d)
 
 
-@query(f"WITH {VOTES} SELECT CAST(image AS BIGINT) AS image, node, CAST(votes AS BIGINT) AS votes, round(greatest(0.1, least(0.9, votes / 10.0)), 4)::DOUBLE AS confidence FROM best")
+@query(f"WITH {VOTES} SELECT CAST(image AS BIGINT) AS image, node, CAST(votes AS BIGINT) AS votes, round(greatest(0.1, least(0.9, votes / 3.0)), 4)::DOUBLE AS confidence FROM best")
 def vote_confidence(spark, d):
-    return votes(spark, d).select("image", "node", "votes", F.round(M.vote_confidence(F.col("votes"), 10), 4).alias("confidence"))
+    return votes(spark, d).select("image", "node", "votes", F.round(M.vote_confidence(F.col("votes"), 3), 4).alias("confidence"))
 
 
-@query(f"WITH {VOTES} SELECT CAST(image % 2 AS BIGINT) AS building, CAST(arg_max(image, (votes, -image)) AS BIGINT) AS best_image, CAST(max(votes) AS BIGINT) AS votes FROM best GROUP BY image % 2")
+@query(f"WITH {VOTES} SELECT CAST(image % 20 AS BIGINT) AS building, CAST(arg_max(image, (votes, -image)) AS BIGINT) AS best_image, CAST(max(votes) AS BIGINT) AS votes FROM best GROUP BY image % 20")
 def best_query(spark, d):
-    return votes(spark, d).groupBy((F.col("image") % 2).alias("building")).agg(F.max_by("image", F.struct("votes", -F.col("image"))).alias("best_image"), F.max("votes").alias("votes"))
+    return votes(spark, d).groupBy((F.col("image") % 20).alias("building")).agg(F.max_by("image", F.struct("votes", -F.col("image"))).alias("best_image"), F.max("votes").alias("votes"))
+
+
+# ---------------------------------------------------------------- learned features: labels are maps, vectors keyframes
+
+#: Eight keypoints of each keyframe, eight numbers each.
+PARTS = "(SELECT vec_id, label, i, vec_id * 8 + i AS id, list_transform(embedding[i * 8 + 1:i * 8 + 8], lambda v: CAST(v AS DOUBLE)) AS s FROM embeddings, range(8) r(i))"
+#: An image looks like a keyframe read backwards.
+LIKE = f"""l AS (SELECT q.label AS map, q.vec_id AS image, p.vec_id AS node, list_cosine_similarity(list_reverse(q.v), p.v) AS similarity FROM {VEC} q JOIN {VEC} p ON q.label = p.label),
+c AS (SELECT *, row_number() OVER (PARTITION BY map, image ORDER BY 1 - similarity, node) AS rank FROM l QUALIFY rank <= 5)"""
+PAIRED = f"""{LIKE}, d AS (SELECT c.map, c.image, c.node, c.rank, q.id AS query_id, p.id AS point_id, list_distance(q.s, p.s) AS dist FROM c JOIN {PARTS} q ON q.vec_id = c.image JOIN {PARTS} p ON p.vec_id = c.node AND p.label = c.map),
+g AS (SELECT *, row_number() OVER (PARTITION BY map, image, node, query_id ORDER BY dist, point_id) AS a, row_number() OVER (PARTITION BY map, image, node, point_id ORDER BY dist, query_id) AS b FROM d),
+m AS (SELECT map, image, node, rank, query_id, point_id FROM g WHERE a = 1 AND b = 1)"""
+
+
+def keyframes(spark, d):
+    e = t(spark, d, "embeddings")
+    parts = e.select(F.col("label").alias("map"), F.col("vec_id").alias("node"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))).alias("i", "vec"))
+    points = parts.select("map", "node", (F.col("node") * 8 + F.col("i")).alias("point_id"), "vec")
+    frames = e.select(F.col("label").alias("map"), F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
+    images = e.select(F.col("label").alias("map"), F.col("vec_id").alias("image"), F.reverse("embedding").alias("vec"))
+    return frames, points, images, points.select(F.col("node").alias("image"), F.col("point_id").alias("query_id"), "vec")
+
+
+@query(f"WITH {LIKE} SELECT map, image, node, CAST(rank AS INT) AS rank, round(similarity, 4) AS similarity FROM c")
+def learned_candidates(spark, d):
+    frames, _, images, _ = keyframes(spark, d)
+    return Q.candidates(images, frames).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(f"WITH {PAIRED} SELECT map, image, node, query_id, point_id FROM m")
+def learned_matches(spark, d):
+    frames, points, images, queries = keyframes(spark, d)
+    return Q.pair_matches(queries, points, Q.candidates(images, frames))
+
+
+@query(f"WITH {PAIRED}, n AS (SELECT map, image, node, rank, count(*) AS num_inliers FROM m GROUP BY ALL) SELECT map, image, arg_max(node, (num_inliers, -rank)) AS node, CAST(arg_max(rank, (num_inliers, -rank)) AS INT) AS rank, max(num_inliers) AS num_inliers FROM n GROUP BY map, image")
+def learned_best(spark, d):
+    """Of an image's candidates the one with most matches, of equal ones the likest."""
+    frames, points, images, queries = keyframes(spark, d)
+    pairs = Q.candidates(images, frames)
+    n = Q.pair_matches(queries, points, pairs).groupBy("map", "image", "node").agg(F.count(F.lit(1)).alias("num_inliers")).join(pairs.select("map", "image", "node", "rank"), ["map", "image", "node"])
+    return L.best_candidate(n.withColumn("_k", F.struct("map", "image")).drop("map"), "_k", "image", "rank").select("_k.map", "image", "node", "rank", "num_inliers")
+
+
+@query("""WITH f AS (SELECT s_nationkey AS building, s_suppkey % 4 AS level, s_suppkey AS map FROM supplier),
+q AS (SELECT o_custkey AS request, CAST(o_custkey % 30 AS INT) AS building, o_orderkey AS image FROM orders),
+x AS (SELECT l_suppkey AS map, l_orderkey AS image, max(l_discount) AS confidence, CAST(max(l_quantity) AS BIGINT) AS num_matches FROM lineitem GROUP BY ALL HAVING max(l_discount) >= 0.03),
+r AS (SELECT q.request, q.building, f.level, f.map, q.image, x.confidence, x.num_matches FROM q JOIN f ON q.building = f.building JOIN x ON x.map = f.map AND x.image = q.image),
+b AS (SELECT *, row_number() OVER (PARTITION BY request, building, level ORDER BY num_matches DESC, image, map) AS k FROM r),
+z AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY confidence DESC, num_matches DESC, level) AS j FROM b WHERE k = 1)
+SELECT u.request, u.building, level, image, confidence, num_matches, CASE WHEN u.building NOT IN (SELECT building FROM f) THEN 'no map of the building' WHEN confidence IS NULL THEN 'failed on all floors' END AS error
+FROM (SELECT DISTINCT request, building FROM q) u LEFT JOIN (SELECT * FROM z WHERE j = 1) z ON z.request = u.request""")
+def floors_of_requests(spark, d):
+    """Customers ask in the building of their number; what was found on a map is told by lines, in all or on some floors."""
+    floors = t(spark, d, "supplier").select(F.col("s_nationkey").alias("building"), (F.col("s_suppkey") % 4).alias("level"), F.col("s_suppkey").alias("map"))
+    requests = t(spark, d, "orders").select(F.col("o_custkey").alias("request"), (F.col("o_custkey") % 30).cast("int").alias("building"), F.col("o_orderkey").alias("image"))
+    results = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("map"), F.col("l_orderkey").alias("image")).agg(F.max("l_discount").alias("confidence"), F.max("l_quantity").cast("long").alias("num_matches")).where("confidence >= 0.03")
+    return L.localize_on_floors(requests, floors, lambda pairs: pairs.join(results, ["map", "image"])).drop("map")
+
+
+@query("""WITH g AS (SELECT o_custkey AS building, o_orderkey % 7 AS level, o_orderkey % 50 AS num_node_matches, o_totalprice FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY building ORDER BY num_node_matches DESC, level) AS r FROM g)
+SELECT building, level, num_node_matches FROM r WHERE r = 1""")
+def debug_floor(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("building"), (F.col("o_orderkey") % 7).alias("level"), (F.col("o_orderkey") % 50).alias("num_node_matches"))
+    return L.best_debug_floor(o, "building", "level")
 
 
 POSE = "(SELECT o_orderkey, o_orderstatus, radians(o_orderkey % 360) AS a, CAST(o_custkey % 100 AS DOUBLE) AS tx, o_totalprice / 1000 AS ty FROM orders)"
@@ -387,14 +478,14 @@ def navigation_answers(spark, d):
 CHUNKS = "(SELECT conv_id, turn, role, encode(text) AS b, text FROM conversations)"
 
 
-@query("""WITH u AS (SELECT conv_id % 50 AS session, conv_id // 50 AS chunk, turn, text FROM conversations),
-f AS (SELECT session, chunk, list(CASE WHEN turn % 4 = 3 THEN 'not base64!' ELSE to_base64(encode(text)) END ORDER BY turn) AS fs FROM u WHERE chunk < 1000 GROUP BY ALL),
+@query("""WITH u AS (SELECT conv_id % 50 AS session, conv_id // 50 + 999 AS chunk, turn, text FROM conversations),
+f AS (SELECT session, chunk, list(CASE WHEN turn % 4 = 3 THEN 'not base64!' ELSE to_base64(encode(text)) END ORDER BY turn) AS fs FROM u GROUP BY ALL),
 e AS (SELECT session, chunk, unnest(fs) AS x, generate_subscripts(fs, 1) - 1 AS i FROM f)
-SELECT session, CAST(chunk * 1000 + i AS BIGINT) AS frame_index, lpad(CAST(chunk * 1000 + i AS VARCHAR), 6, '0') AS name, md5(decode(from_base64(x))) AS image_md5 FROM e WHERE x <> 'not base64!'""")
+SELECT session, CAST(chunk * 1000 + i AS BIGINT) AS frame_index, lpad(CAST(chunk * 1000 + i AS VARCHAR), CAST(greatest(6, length(CAST(chunk * 1000 + i AS VARCHAR))) AS INT), '0') AS name, md5(decode(from_base64(x))) AS image_md5 FROM e WHERE x <> 'not base64!'""")
 def saved_frames(spark, d):
     """Chunks of base64 frames, each sent twice; the first sending of each was cut short."""
     image = F.when(F.col("turn") % 4 == 3, "not base64!").otherwise(F.base64(F.encode("text", "utf-8")))
-    u = t(spark, d, "conversations").select((F.col("conv_id") % 50).alias("session"), F.expr("conv_id div 50").alias("chunk"), "turn", image.alias("x")).where("chunk < 1000")
+    u = t(spark, d, "conversations").select((F.col("conv_id") % 50).alias("session"), F.expr("conv_id div 50 + 999").alias("chunk"), "turn", image.alias("x"))
     whole = u.groupBy("session", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda e: e["x"]).alias("frames"))
     sent = whole.withColumn("at", F.lit(2)).unionByName(whole.withColumn("at", F.lit(1)).withColumn("frames", F.slice("frames", 1, 1)))
     out = B.saved_frames(sent, "session", "chunk", "at", "frames")
@@ -465,10 +556,10 @@ def zipped_uploads(spark, d):
     return lists.select("conv_id", F.explode(B.zipped(F.col("a"), F.col("b"), F.col("c"))).alias("z")).select("conv_id", "z.*")
 
 
-@query("SELECT vec_id FROM embeddings WHERE list_max(list_transform(embedding[1:3], lambda x: CASE WHEN x < 0.1 THEN 0 ELSE x END)) > 0")
+@query("SELECT vec_id FROM embeddings WHERE list_max(list_transform(embedding, lambda x: CASE WHEN x < 0.3 THEN 0 ELSE x END)) > 0")
 def with_depth(spark, d):
-    """Images of three pixels, dark ones zero."""
-    pixels = F.transform(F.slice("embedding", 1, 3), lambda x: F.when(x < 0.1, 0.0).otherwise(x))
+    """Images of which dark pixels are zero."""
+    pixels = F.transform("embedding", lambda x: F.when(x < 0.3, 0.0).otherwise(x))
     return t(spark, d, "embeddings").where(B.has_depth(pixels)).select("vec_id")
 
 
@@ -508,9 +599,9 @@ def valid_requests(spark, d):
     return c.select("conv_id", F.size("images").cast("long").alias("images"), X.valid_request(F.col("id"), F.col("images"), 5).alias("valid"))
 
 
-@query("SELECT p_partkey, regexp_matches(p_name, '^(a|b|small)') AS inside FROM part")
+@query("SELECT p_partkey, regexp_matches(replace(p_name, ' ', '/'), '^(red|large|small)/') AS inside FROM part")
 def in_namespaces(spark, d):
-    return t(spark, d, "part").select("p_partkey", X.in_namespaces(F.col("p_name"), ["a", "b", "small"]).alias("inside"))
+    return t(spark, d, "part").select("p_partkey", X.in_namespaces(F.replace("p_name", F.lit(" "), F.lit("/")), ["red", "large/", "small"]).alias("inside"))
 
 
 @query("SELECT event_id, 'user:' || user_id || ';value:' || event_type || ';' AS params, 'user: \"' || user_id || '\"' || chr(10) || 'value: \"' || event_type || '\"' AS yaml FROM events")
@@ -525,11 +616,21 @@ def capture_clock(spark, d):
     return t(spark, d, "events").select("event_id", X.ns_to_ms(ns).alias("ms"), X.pending(F.col("event_id") % 10, F.col("user_id") % 10).alias("pending"))
 
 
-@query("SELECT o_orderkey, o_custkey || '.5 ' || o_orderkey || '.0 0.0 0.0 0.0 0.0 0.0 1.0' AS line FROM orders WHERE o_custkey < 100000 AND o_orderkey < 1000000")
+@query("""SELECT o_orderkey, (1700000000.25::DOUBLE + o_custkey) || ' ' || (o_totalprice / 7) || ' ' || (o_orderkey::DOUBLE * 1e13) || ' ' || (o_custkey / -3e7::DOUBLE) || ' 0.0 0.0 ' || (o_orderkey / 1e5::DOUBLE) || ' 1.0' AS line FROM orders""")
 def tum_lines(spark, d):
-    zero, one = F.lit(0.0), F.lit(1.0)
-    o = t(spark, d, "orders").where("o_custkey < 100000 and o_orderkey < 1000000")
-    return o.select("o_orderkey", X.tum_line(F.col("o_custkey") + 0.5, [F.col("o_orderkey").cast("double"), zero, zero], [zero, zero, zero, one]).alias("line"))
+    """Stamps of today, and numbers on both sides of where exponents begin."""
+    zero, one, key, cust = F.lit(0.0), F.lit(1.0), F.col("o_orderkey").cast("double"), F.col("o_custkey").cast("double")
+    place = [F.col("o_totalprice") / 7, key * 1e13, cust / F.lit(-3e7)]
+    return t(spark, d, "orders").select("o_orderkey", X.tum_line(F.lit(1700000000.25) + cust, place, [zero, zero, key / F.lit(1e5), one]).alias("line"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) > 60 THEN '<' || length(text) || ' chars>' ELSE text END AS said, role AS who, '<' || strlen(text) || ' bytes>' AS raw FROM conversations""")
+def log_sanitize_nested(spark, d):
+    """Long values inside structs, arrays, maps and binaries."""
+    row = F.struct(F.array(F.create_map(F.lit("text"), "text")).alias("parts"), F.struct("role", F.encode("text", "utf-8").alias("raw")).alias("head"))
+    c = t(spark, d, "conversations").select("conv_id", "turn", row.alias("row"))
+    clean = X.sanitized(F.col("row"), c.schema["row"].dataType, 60)
+    return c.withColumn("row", clean).select("conv_id", "turn", F.col("row.parts")[0]["text"].alias("said"), F.col("row.head.role").alias("who"), F.col("row.head.raw").alias("raw"))
 
 
 @query("""SELECT o_custkey AS map_id, count(*) AS num_nodes, min(o_orderkey) FILTER (o_orderstatus = 'F') AS first_calibrated,
@@ -560,10 +661,13 @@ def point_clouds(spark, d):
     return out.select("l_suppkey", "l_orderkey", "l_linenumber", F.round("wx", 6).alias("wx"), F.round("wy", 6).alias("wy"))
 
 
-@query(f"SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS feature, CAST(l_partkey AS BIGINT) AS query_id, {WX} AS x, {WY} AS y FROM lineitem JOIN {POSE} ON l_orderkey = o_orderkey WHERE l_tax > 0.02 AND o_orderstatus = 'O' AND l_partkey % 5 = 0")
+FEATURE = "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS feature, CAST(l_partkey AS BIGINT) AS query_id"
+
+
+@query(f"SELECT feature, m.query_id, {WX} AS x, {WY} AS y FROM (SELECT {FEATURE} FROM lineitem) m JOIN (SELECT *, {FEATURE.replace('query_id', 'own')} FROM lineitem) USING (feature) JOIN {POSE} ON l_orderkey = o_orderkey WHERE l_tax > 0.02 AND o_orderstatus = 'O'")
 def matched_points(spark, d):
     f = t(spark, d, "lineitem").select((F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("feature"), F.col("l_partkey").cast("long").alias("query_id"), F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_discount", F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("l_tax"))
-    out = L.world_points(f.where("query_id % 5 = 0").select("feature", "query_id"), f, turning(spark, d, "o_orderstatus = 'O'"), "feature", "o_orderkey", ["l_quantity", "l_discount", "l_tax"])
+    out = L.world_points(f.select("feature", "query_id"), f, turning(spark, d, "o_orderstatus = 'O'"), "feature", "o_orderkey", ["l_quantity", "l_discount", "l_tax"])
     return out.select("feature", "query_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
@@ -624,7 +728,7 @@ def empty_bounds(spark, d):
 
 @query(None)
 def gyro_turns(spark, d):
-    """Devices turned by the rates of their first samples: an ordered fold, tested by a plain one."""
-    e = t(spark, d, "events").where("event_id % 20 < 3").groupBy("user_id").agg(F.collect_list(F.struct((F.col("event_id") / 1000.0).alias("t"), (F.col("value") / 10).alias("x"), F.lit(0.1).alias("y"), F.lit(-0.2).alias("z"))).alias("s"))
-    q = G.turned_by_gyro(F.slice(F.array_sort("s"), 1, 200))
+    """Devices turned by the rates of their samples: an ordered fold, tested by a plain one."""
+    e = t(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.struct((F.col("event_id") / 1000.0).alias("t"), (F.col("value") / 10).alias("x"), F.lit(0.1).alias("y"), F.lit(-0.2).alias("z"))).alias("s"))
+    q = G.turned_by_gyro(F.array_sort("s"))
     return e.select("user_id", q.alias("q")).select("user_id", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("qx", "qy", "qz", "qw"))])
