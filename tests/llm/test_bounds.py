@@ -7,7 +7,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from waymark.llm import common, components, quality, shards
+from waymark.llm import common, components, pages, quality, shards
 
 from .test_operators import AWKWARD, prose
 
@@ -62,3 +62,53 @@ def test_near_duplicates_with_a_map_column(spark):
     docs = spark.createDataFrame([(1, text, {"a": 2}, "x"), (1, text, {"a": 1}, "y"), (2, text, None, "z"), (3, prose(80, 6), {}, "w")], "doc_id long, text string, m map<string,int>, ab string")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((r["doc_id"], str(r["m"])) for r in got) == [(1, "{'a': 1}"), (3, "{}")]
+
+
+# ---------------------------------------------------------------- main text of pages
+
+
+def paragraph(n, seed, words=40):
+    return [prose(words, 100 * seed + k) for k in range(n)]
+
+
+def html_of(blocks):
+    return "".join(f"<p>{b}</p>" for b in blocks)
+
+
+@pytest.mark.parametrize("inside", [True, False])
+@pytest.mark.parametrize("unit", ["div class=comment", "article class='comment-body'", "li"])
+def test_comments_longer_than_the_article_go(inside, unit):
+    article, said = paragraph(3, 1), paragraph(12, 2)
+    tag = unit.split()[0]
+    thread = "<section class='comments'>" + "".join(f"<{unit}><b>reader</b> <time>2024-01-0{k % 9 + 1}</time><p>{t}</p></{tag}>" for k, t in enumerate(said)) + "</section>"
+    page = f"<body><nav><a href=a>Menu</a></nav><article><h1>Title of it</h1>{html_of(article)}{thread if inside else ''}</article>{'' if inside else thread}<footer>c</footer></body>"
+    assert pages.extract(page) == "\n\n".join(["Title of it", *article])
+
+
+def test_wrappers_named_as_boilerplate_stay():
+    article = paragraph(4, 3)
+    for name in ("main-sidebar-wrapper", "widget", "comments-page", "newsletter content"):
+        page = f"<body><nav><a href=a>Menu</a></nav><div class='{name}'><h1>Title of it</h1>{html_of(article)}<div class='comment-list'><div><p>{prose(30, 9)}</p></div></div></div></body>"
+        assert pages.extract(page) == "\n\n".join(["Title of it", *article])
+
+
+def test_doubtful_names_keep_their_paragraphs():
+    article = paragraph(3, 4)
+    for name in ("share-of-voice", "search-engine-history", "social-policy", "comment-culture", "ad-hoc-networks"):
+        page = f"<body><article>{html_of(article[:1])}<div class='{name}'>{html_of(article[1:2])}</div>{html_of(article[2:])}</article></body>"
+        assert pages.extract(page) == "\n\n".join(article)
+        links = "".join(f"<a href=x>{w}</a> " for w in prose(30, 5).split())
+        for junk in (f"<p>{links}</p>", "<p>Like us!</p>"):
+            page = f"<body><article>{html_of(article[:2])}<div class='{name}'>{junk}</div>{html_of(article[2:])}</article></body>"
+            assert pages.extract(page) == "\n\n".join(article)
+    for name in ("share-buttons", "search-box", "social", "comment-list", "related-posts"):
+        page = f"<body><article>{html_of(article)}<div class='{name}'><p>{prose(30, 6)}</p></div></article></body>"
+        assert pages.extract(page) == "\n\n".join(article)
+
+
+def test_short_last_blocks_in_containers_stay():
+    article = paragraph(4, 7)
+    page = "<body>" + "".join(f"<div class=b>{html_of([t])}</div>" for t in article) + "<div class=b><p>Short closing words.</p></div></body>"
+    assert pages.extract(page) == "\n\n".join([*article, "Short closing words."])
+    page = f"<body><div><div>{html_of(article)}</div><div class=b><p>Short closing words.</p></div><div><p><a href=x>Read on.</a></p></div></div></body>"
+    assert pages.extract(page) == "\n\n".join([*article, "Short closing words."])

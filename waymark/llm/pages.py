@@ -26,6 +26,9 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 PARAGRAPHS = frozenset("p pre td blockquote li dd figcaption h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist cookie cookies consent disqus footer form header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion related reply replies respond search share sharing shares sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar toc warning widget widgets".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Words that only say what part of a page a name means: a name of these and of words of boilerplate leaves no doubt.
+STRUCTURE = frozenset("area article articles bar block body bottom box button buttons cell col column container content count counter entry feed field group head heading holder icon icons inner item items left line link links list main message module outer page panel post posts region right row section site slot story text thread title top unit wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form note".split())
 KEPT_ALWAYS = frozenset(("html", "body", "article", "main"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -34,6 +37,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 LAYOUT = frozenset("no has with without hide hides".split())
 #: A subtree marked by class, id, role or as a form stays if it holds more than this share of the page's points.
 MOST = 0.5
+#: Comments go, however many, if the rest of the page has so many points.
+OTHER_POINTS = 1.0
+#: A name that holds a word of boilerplate among others goes only with this share of text in links, or without a paragraph of
+#: so many characters.
+DOUBTFUL_LINKS, PARAGRAPH = 0.33, 80
 
 #: Points that an element has by its name: they decide between blocks of a few words each.
 TAG_POINTS = {"article": 25.0, "main": 25.0}
@@ -47,42 +55,53 @@ REST = re.compile(r"((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 OPEN_QUOTES = 8
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
 WORD = re.compile(r"[a-z]+")
+#: What a sentence ends with.
+ENDS = (".", "!", "?", "…", ":", ";", "。", "！", "？", '"', "”", "»", "’", ")")
+
+
+#: How sure a name is that an element is boilerplate.
+NO, MAYBE, SURELY = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "scored", "size", "marked")
+    __slots__ = ("tag", "parent", "children", "score", "scored", "size", "marked", "comments")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.score, self.scored, self.marked = 0.0, False, False
+        self.score, self.scored, self.marked, self.comments = 0.0, False, NO, False
         self.size = (0, 0, 0)  # characters, characters in links, commas
 
 
-def names_boilerplate(value: str) -> bool:
-    """Whether a name of a class or id has a word of boilerplate that no word of LAYOUT stands before."""
+def names_boilerplate(value: str) -> int:
+    """Whether a name of a class or id has a word of boilerplate that no word of LAYOUT stands before: SURELY if its other
+    words are such or of STRUCTURE, else MAYBE (share-of-voice)."""
+    found = NO
     for name in value.split():
         words = WORD.findall(name)
         if any(w in BOILERPLATE and LAYOUT.isdisjoint(words[:i]) for i, w in enumerate(words)):
-            return True
-    return False
+            found = max(found, SURELY if all(w in BOILERPLATE or w in STRUCTURE for w in words) else MAYBE)
+    return found
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool | None:
-    """Whether an element and all it holds is left out by its name or as hidden; None if its form, role, class or id
-    only makes that likely."""
+def judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, bool]:
+    """Whether an element and all it holds is left out by its name or as hidden; how sure its form, role, class or id makes
+    it boilerplate; and whether those name comments."""
     if tag in DROPPED and tag != "form" or tag == "header" and not in_article:
-        return True
-    likely = tag == "form"
-    if not attributes or tag in KEPT_ALWAYS:
-        return None if likely else False
-    for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
+        return True, SURELY, False
+    mark, comments = SURELY if tag == "form" else NO, False
+    for name, a, b, c, hidden in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), (a or b or c).lower()
         if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value in ROLES or name in ("class", "id") and names_boilerplate(value):
-            likely = True
-    return None if likely else False
+            if tag not in KEPT_ALWAYS:
+                return True, SURELY, False
+        if name == "role" and value in ROLES:
+            mark = SURELY
+        if name in ("class", "id"):
+            sure = names_boilerplate(value)
+            mark = max(mark, sure)
+            comments |= sure == SURELY and not COMMENTS.isdisjoint(WORD.findall(value))
+    return False, NO if tag in KEPT_ALWAYS else mark, comments
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
@@ -167,11 +186,10 @@ def parse(html: str) -> Node:
             close(k)
         node = Node(tag, stack[-1])
         if not skip:
-            left_out = is_boilerplate(tag, attributes, bool(at["article"] or at["main"]))
+            left_out, node.marked, node.comments = judged(tag, attributes, bool(at["article"] or at["main"]))
             if left_out:
                 skip = len(stack)
             else:
-                node.marked = left_out is None
                 stack[-1].children.append(node)
         at[tag].append(len(stack))
         if tag in ("td", "th", "article", "main"):
@@ -217,20 +235,39 @@ def points(p: Node) -> float:
 
 
 def prune(root: Node) -> None:
-    """Take out the marked subtrees that don't hold most of the page's paragraph points."""
+    """Take out the marked subtrees that are boilerplate by what they hold, too.
+
+    A subtree whose name leaves no doubt goes unless it holds most of the page's paragraph points, as a wrapper of the
+    whole page does.  Comments may outweigh the article: they go if the rest of the page has text, unless the article
+    itself (its element, or a main heading) stands among them.  A doubtful name goes only with text in links or no paragraph.
+    """
     order = [x for x in walk(root) if isinstance(x, Node)]
     if not any(x.marked for x in order):
         return
     measure(root)
-    held = dict.fromkeys(map(id, order), 0.0)
+    held, longest, core = dict.fromkeys(map(id, order), 0.0), dict.fromkeys(map(id, order), 0), dict.fromkeys(map(id, order), False)
     for p in paragraphs(root):
-        held[id(p)] = points(p)
+        held[id(p)], longest[id(p)] = points(p), p.size[0]
     for x in reversed(order):
+        core[id(x)] |= x.tag in ("h1", "main") or x.tag == "article" and not x.comments
         if x.parent is not None:
-            held[id(x.parent)] += held[id(x)]
-    least = MOST * held[id(root)]
+            up = id(x.parent)
+            held[up] += held[id(x)]
+            longest[up], core[up] = max(longest[up], longest[id(x)]), core[up] or core[id(x)]
+    whole = held[id(root)]
+
+    def stays(x: Node) -> bool:
+        if not x.marked:
+            return True
+        chars, linked, _ = x.size
+        if x.marked == MAYBE:
+            return longest[id(x)] >= PARAGRAPH and linked <= DOUBTFUL_LINKS * chars
+        if x.comments and not core[id(x)] and whole - held[id(x)] >= OTHER_POINTS:
+            return False
+        return held[id(x)] > MOST * whole
+
     for x in order:
-        x.children = [c for c in x.children if isinstance(c, str) or not c.marked or held[id(c)] > least]
+        x.children = [c for c in x.children if isinstance(c, str) or stays(c)]
 
 
 def score(root: Node) -> list[Node]:
@@ -277,10 +314,14 @@ def chosen(root: Node) -> list[Node]:
 
 
 def _good_paragraph(s: Node) -> bool:
-    if s.tag not in PARAGRAPHS:
+    """Whether a sibling of the best element belongs to it: a paragraph, or a block that holds one, with few links for its
+    length; a short one without a link and ended as a sentence is."""
+    if s.tag not in PARAGRAPHS and not any(isinstance(x, Node) and x.tag in PARAGRAPHS for x in walk(s)):
         return False
     chars, linked, _ = s.size
-    return chars > 0 and (s.tag in HEADINGS or chars >= 80) and linked / chars < 0.25
+    if not chars or linked >= 0.25 * chars:
+        return False
+    return s.tag in HEADINGS or chars >= PARAGRAPH or not linked and "".join(x for x in walk(s) if isinstance(x, str)).rstrip().endswith(ENDS)
 
 
 def blocks(nodes: list[Node]) -> list[str]:
