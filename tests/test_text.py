@@ -28,7 +28,7 @@ def test_tum_line_of_a_real_stamp(spark):
 def test_frames_beyond_a_million(spark):
     df = spark.createDataFrame([(5,), (999_999,), (1_000_000,), (1_000_001,), (10_000_000,)], "n long")
     assert [r[0] for r in df.select(text.frame_name(F.col("n"))).collect()] == ["000005", "999999", "1000000", "1000001", "10000000"]
-    assert [r[0] for r in df.select(text.chunk_name(F.col("n"))).collect()][:3] == ["chunk_000005.json", "chunk_999999.json", "chunk_1000000.json"]
+    assert [r[0] for r in df.select(text.chunk_name(F.col("n"))).collect()][:3] == ["chunk_0005.json", "chunk_999999.json", "chunk_1000000.json"]
 
 
 def test_overfull_chunks_are_told_and_collide_with_none(spark):

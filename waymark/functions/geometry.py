@@ -74,6 +74,30 @@ def mean_brightness(pixels: Column) -> Column:
     return F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.nullif(F.size(pixels), F.lit(0))
 
 
+def laplacian_variance(pixels: Column, width: Column, height: Column, every: int = 2) -> Column:
+    """How sharp a grey image (an array of rows, one after the other) is: the variance of the absolute four-neighbour Laplacian at
+    every ``every``-th pixel from the third to the third-last row and column.  Images without such a pixel have 100."""
+    across = F.sequence(F.lit(0), F.floor((width - 5) / every).cast("int"))
+    down = F.sequence(F.lit(0), F.floor((height - 5) / every).cast("int"))
+    at = lambda i: F.get(pixels, i.cast("int")).cast("double")
+
+    def edge(i: Column) -> Column:
+        return F.abs(4 * at(i) - at(i - 1) - at(i + 1) - at(i - width) - at(i + width))
+
+    places = F.flatten(F.transform(down, lambda y: F.transform(across, lambda x: (y * every + 2) * width + x * every + 2)))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).alias("n"))
+    add = lambda a, e: F.struct((a["s"] + e).alias("s"), (a["q"] + e * e).alias("q"), (a["n"] + 1).alias("n"))
+    found = F.aggregate(F.transform(places, edge), zero, add, lambda a: a["q"] / a["n"] - (a["s"] / a["n"]) * (a["s"] / a["n"]))
+    return F.when((width >= 5) & (height >= 5), found).when(pixels.isNotNull(), F.lit(100.0))
+
+
+def resized_nearest(values: Column, width: Column, height: Column, new_width: Column, new_height: Column) -> Column:
+    """A grid of values (an array of rows) in another size, each place with the value of the nearest place before it."""
+    x = F.transform(F.sequence(F.lit(0), new_width - 1), lambda i: F.least(F.floor(i * width / new_width), width - 1))
+    row = lambda j: F.transform(x, lambda i: F.get(values, (F.least(F.floor(j * height / new_height), height - 1) * width + i).cast("int")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), new_height - 1), row))
+
+
 def rgb(y: Column, u: Column, v: Column) -> list[Column]:
     """Red, green and blue of a video pixel, 0 to 255."""
     parts = [y + 1.402 * (v - 128), y - 0.344136 * (u - 128) - 0.714136 * (v - 128), y + 1.772 * (u - 128)]

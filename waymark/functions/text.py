@@ -76,7 +76,7 @@ def frame_name(index: Column) -> Column:
 
 
 def chunk_name(chunk: Column) -> Column:
-    return F.concat(F.lit("chunk_"), padded(chunk, 6), F.lit(".json"))
+    return F.concat(F.lit("chunk_"), padded(chunk, 4), F.lit(".json"))
 
 
 def params_string(m: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import affine
+from ..functions.codecs import decode_pose
+from ..functions.geometry import affine, canonical, quaternion
 from ..functions.text import CHUNK_FRAMES, frame_name, stamp_seconds
 from .trajectories import stride_sample
 
@@ -106,3 +107,14 @@ def resolved_paths(keys: DataFrame, key: str, candidates: list[DataFrame]) -> Da
         names.append(f"_p{i}")
         out = out.join(c.groupBy(key).agg(F.min("path").alias(names[-1])), key, "left")
     return out.withColumn("path", F.coalesce(*names)).drop(*names)
+
+
+def keyframe_list(nodes: DataFrame, pose: str = "pose") -> DataFrame:
+    """``nodes`` without the blob, with position x, y, z and rotation qx, qy, qz, qw (qw >= 0) of it; blobs that are too short
+    give nulls, longer ones their first twelve numbers."""
+    p = decode_pose(F.col(pose), strict=False)
+    rows = nodes.withColumn("_p", p).drop(pose)
+    at = lambda i: F.col("_p")[i]
+    q = canonical(quaternion([at(4 * i + j) for i in range(3) for j in range(3)]))
+    known = F.col("_p").isNotNull()
+    return rows.withColumns({**{c: at(4 * i + 3) for i, c in enumerate("xyz")}, **{n: F.when(known, c) for n, c in zip(("qx", "qy", "qz", "qw"), q)}}).drop("_p")

@@ -1,4 +1,4 @@
-"""Guidance along a planned path, one state for each session."""
+"""Guidance along a planned path, one state for each session: positions alone, and the whole exchange of messages."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Points of a first path and the least of a new one.
 STEPS, FEWEST = 40, 20
@@ -111,3 +113,142 @@ def navigate_stream(frames: DataFrame, session: str, order: str, quiet_ms: int =
         yield out
 
     return _wanted(frames, session, order).groupBy(session).applyInPandasWithState(run, _schema(frames, session, order), STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+# ---------------------------------------------------------------- messages
+
+#: What a session may send, and the fields that a start must have, in the order in which a missing one is told.
+EVENTS = "session_id string, seq long, type string, user_id string, map_id string, start array<double>, goal array<double>, position array<double>"
+REQUIRED = ("user_id", "map_id", "start", "goal")
+#: What it is answered: a place among the answers to one message, and the fields of a position's answer.
+REPLY = f"session_id string, seq long, nth int, type string, message string, {ANSWER}"
+NAMES = [c.split()[0] for c in REPLY.split(", ")]
+
+
+def replies(route: Route | None, event: dict) -> tuple[list[dict], Route | None]:
+    """The answers to one message, and the session's route after it.
+
+    A start with all fields begins a route (again); a position gives an update, and a replan and a completion beside it; an
+    end forgets the route.  Whatever can't be done is answered by an error, and changes nothing.
+    """
+    kind, told = event["type"], lambda kind, message=None, **x: {"type": kind, "message": message, **x}
+    if kind == "session_start":
+        missing = next((k for k in REQUIRED if event[k] is None), None)
+        if missing:
+            return [told("error", f"Missing field {missing}")], route
+        if any(len(event[k]) != 3 or any(x is None for x in event[k]) for k in ("start", "goal")):
+            return [told("error", "start and goal must be three numbers")], route
+        return [told("session_started", status="running", n_remaining=STEPS - 1)], Route(np.array(event["start"], dtype=float), np.array(event["goal"], dtype=float))
+    if kind == "position_frame":
+        p = event["position"]
+        if not event["session_id"] or p is None or len(p) != 3 or any(x is None for x in p):
+            return [told("error", "session_id and position required")], route
+        if route is None:
+            return [told("error", f"Session {event['session_id']} not found")], route
+        answer = dict(zip((c.split()[0] for c in ANSWER.split(", ")), route.step(np.array(p, dtype=float))))
+        out = [told("position_update", **answer)]
+        if answer["replan"]:
+            out.append(told("replan", "deviation", n_remaining=answer["n_remaining"]))
+        if answer["arrival"]:
+            out.append(told("session_completed", status="completed"))
+        return out, route
+    if kind == "session_end":
+        if not event["session_id"]:
+            return [told("error", "session_id required")], route
+        return [told("session_ended")], None
+    return [told("error", f"Unknown message type: {kind}")], route
+
+
+def _answered(route: Route | None, events: list[dict]) -> tuple[list[dict], Route | None]:
+    out = []
+    for e in events:
+        got, route = replies(route, e)
+        out += [{"session_id": e["session_id"], "seq": e["seq"], "nth": k, **g} for k, g in enumerate(got)]
+    return out, route
+
+
+def _columns(rows: list[dict]) -> dict[str, list]:
+    return {c: [r.get(c) for r in rows] for c in NAMES}
+
+
+def exchange(events: DataFrame) -> DataFrame:
+    """The answers (``REPLY``) to messages (``EVENTS``) of sessions, each session's in order of seq.
+
+    Messages without a session are answered one by one, by errors mostly.  Sessions are sorted on the JVM and folded batch by
+    batch; a task holds one route.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(REPLY))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, route = None, None
+        for batch in batches:
+            out: list[dict] = []
+            for e in batch.to_pylist():
+                if e["session_id"] is None or e["session_id"] != at:
+                    at, route = e["session_id"], None
+                got, route = _answered(route, [e])
+                out += got
+            yield pa.RecordBatch.from_pydict(_columns(out), schema=target)
+
+    rows = events.select(*(c.split()[0] for c in EVENTS.split(", ")))
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(fold, REPLY)
+
+
+class Exchange(StatefulProcessor):
+    """The same over a stream: a session's state is its route and how many messages it has sent; a timer ends a session that
+    falls quiet, and an end clears all of it."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.route = handle.getValueState("route", STATE)
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        # the rows of a trigger may come in several frames: all are needed before sorting
+        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        lists = ("start", "goal", "position")
+        clean = lambda c, v: (None if v is None else list(v)) if c in lists else None if pd.isna(v) else v
+        events = [{c: clean(c, v) for c, v in r.items()} for r in frame.to_dict("records")]
+        route = Route.unpacked(self.route.get()) if self.route.exists() else None
+        if key[0] is None:  # no session: nothing is kept from one message to the next
+            out = [x for e in events for x in _answered(None, [e])[0]]
+        else:
+            out, route = _answered(route, events)
+            self._keep(route, len(events), timers)
+        yield self._frame(out)
+
+    def _keep(self, route: Route | None, n: int, timers) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if route is None:
+            self.route.clear()
+            self.count.clear()
+            return
+        self.route.update(route.packed())
+        self.count.update(((self.count.get()[0] if self.count.exists() else 0) + n,))
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.quiet_ms)
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        n = self.count.get()[0] if self.count.exists() else 0
+        self.route.clear()
+        self.count.clear()
+        yield self._frame([{"session_id": key[0], "seq": None, "nth": 0, "type": "session_expired", "message": f"quiet after {n} messages"}])
+
+    def _frame(self, rows: list[dict]) -> pd.DataFrame:
+        kinds = {"seq": "Int64", "nth": "Int32", "path_index": "Int32", "n_remaining": "Int32", "on_path": "boolean", "deviation": "float64", "arrival": "boolean", "replan": "boolean"}
+        return pd.DataFrame(_columns(rows), columns=NAMES).astype(kinds)
+
+    def close(self) -> None:
+        pass
+
+
+def exchange_stream(events: DataFrame, quiet_ms: int = 3_600_000) -> DataFrame:
+    """``exchange`` over a stream, one answer row after the other; needs the RocksDB state store."""
+    rows = events.select(*(c.split()[0] for c in EVENTS.split(", ")))
+    return rows.groupBy("session_id").transformWithStateInPandas(Exchange(quiet_ms), REPLY, "Append", "ProcessingTime")

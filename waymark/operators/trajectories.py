@@ -128,14 +128,15 @@ def line(n: Column, start: list[Column], end: list[Column]) -> Column:
 
 
 class Gate:
-    """Keeps a sample that is ``least`` away from the last kept one, or turned by ``turn`` degrees, and no faster than
-    ``speed``.  With rotations a sample is refused only if it is both near and hardly turned."""
+    """Keeps a sample that is ``least`` away from the last kept one, or turned by ``turn`` degrees, no faster than ``speed`` and
+    no sooner than ``frames`` samples after it.  With rotations a sample is refused as near only if it is hardly turned too."""
 
-    def __init__(self, least: float, speed: float = float("inf"), turn: float | None = None):
-        self.least, self.speed, self.turn = least, speed, turn
+    def __init__(self, least: float, speed: float = float("inf"), turn: float | None = None, frames: int = 0):
+        self.least, self.speed, self.turn, self.frames = least, speed, turn, frames
 
     def reason(self, last: tuple | None, t: float, p: tuple) -> str | None:
-        """Why a sample is refused, None if it is kept.  With ``turn``, ``p`` ends in a unit quaternion."""
+        """Why a sample is refused, None if it is kept: "near" before "fast" before "soon".  ``last`` is the time and place of the
+        last kept sample and how many came since; with ``turn``, places end in a unit quaternion."""
         if last is None:
             return None
         n = len(p) - 4 if self.turn is not None else len(p)
@@ -144,11 +145,22 @@ class Gate:
         dt = t - last[0]
         if d < self.least and not turned:
             return "near"
-        return "fast" if dt > 0 and d / dt > self.speed else None
+        if dt > 0 and d / dt > self.speed:
+            return "fast"
+        return "soon" if len(last) > 2 and last[2] + 1 < self.frames else None
 
     def step(self, last: tuple | None, t: float, p: tuple) -> bool:
         return self.reason(last, t, p) is None
 
+    def fold(self, last: tuple | None, samples: list[tuple]) -> tuple[list[str | None], tuple | None]:
+        """The reasons for samples (t, place) in order, and the state after them."""
+        out = []
+        for t, *p in samples:
+            why = self.reason(last, t, tuple(p))
+            last = (t, tuple(p), 0) if why is None else (last[0], last[1], last[2] + 1)
+            out.append(why)
+        return out, last
+
 
 def degrees_between(a: tuple, b: tuple) -> float:
     return math.degrees(2 * math.acos(min(1.0, abs(sum(x * y for x, y in zip(a, b))))))
@@ -160,44 +172,46 @@ def movement_status(blur: Column, speed: Column, moved: Column, turned: Column,
 
 
 def keyframe_gate(poses: DataFrame, session: str, order: str, time: str, coords: list[str], gate: Gate) -> DataFrame:
-    """``session``, ``order`` and accepted: each sample against the last accepted one, which lag() can't express.
+    """``session``, ``order``, accepted and reason (null if accepted): each sample against the last accepted one, which lag()
+    can't express.
 
     Sessions are dealt by key and sorted on the JVM; a task folds them batch by batch and holds one accepted sample, so a
     session of any length fits.
     """
-    schema = f"{session} {poses.schema[session].dataType.simpleString()}, {order} {poses.schema[order].dataType.simpleString()}, accepted boolean"
+    schema = f"{session} {poses.schema[session].dataType.simpleString()}, {order} {poses.schema[order].dataType.simpleString()}, accepted boolean, reason string"
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = None, None
         for batch in batches:
-            out = []
-            for s, t, *p in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(2, batch.num_columns))):
-                if last is None or s != at:
-                    at, last = s, None
-                ok = gate.step(last, t, tuple(p))
-                last = (t, tuple(p)) if ok else last
-                out.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=[session, order, "accepted"])
+            out: list[str | None] = []
+            keys, samples = batch.column(0).to_pylist(), list(zip(*(batch.column(i).to_pylist() for i in range(2, batch.num_columns))))
+            lo = 0
+            while lo < len(keys):  # runs of one session
+                if keys[lo] != at:
+                    at, last = keys[lo], None
+                hi = next((k for k in range(lo, len(keys)) if keys[k] != at), len(keys))
+                why, last = gate.fold(last, samples[lo:hi])
+                out += why
+                lo = hi
+            accepted = pa.array([w is None for w in out], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), accepted, pa.array(out, pa.string())], names=[session, order, "accepted", "reason"])
 
     rows = poses.select(session, order, time, *coords).repartition(session).sortWithinPartitions(session, order)
     return rows.mapInArrow(fold, schema)
 
 
 def gate_stream(poses: DataFrame, session: str, order: str, time: str, coords: list[str], gate: Gate) -> DataFrame:
-    """The same gate over a stream; the last accepted sample is the state of a session."""
+    """The same gate over a stream; the last accepted sample, and how many came since, are the state of a session."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = (lambda s: (s[0], tuple(s[1:])))(state.get) if state.exists else None
+        last = (lambda s: (s[0], tuple(s[2:]), s[1]))(state.get) if state.exists else None
         # the rows of a batch may come in several frames: all are needed before sorting
-        frame, out = pd.concat(list(frames)).sort_values(order, kind="stable"), []
-        for t, *p in frame[[time, *coords]].itertuples(index=False):
-            ok = gate.step(last, t, tuple(p))
-            last = (t, tuple(p)) if ok else last
-            out.append(ok)
-        state.update((float(last[0]), *map(float, last[1])))
-        yield pd.DataFrame({session: frame[session], order: frame[order], "accepted": out})
-
-    out = f"{session} {poses.schema[session].dataType.simpleString()}, {order} {poses.schema[order].dataType.simpleString()}, accepted boolean"
-    held = ", ".join(["t double", *(f"p{i} double" for i in range(len(coords)))])
+        frame = pd.concat(list(frames)).sort_values(order, kind="stable")
+        out, last = gate.fold(last, list(frame[[time, *coords]].itertuples(index=False, name=None)))
+        state.update((float(last[0]), int(last[2]), *map(float, last[1])))
+        yield pd.DataFrame({session: frame[session], order: frame[order], "accepted": [w is None for w in out], "reason": out})
+
+    out = f"{session} {poses.schema[session].dataType.simpleString()}, {order} {poses.schema[order].dataType.simpleString()}, accepted boolean, reason string"
+    held = ", ".join(["t double", "since long", *(f"p{i} double" for i in range(len(coords)))])
     return poses.select(session, order, time, *coords).groupBy(session).applyInPandasWithState(fold, out, held, "append", GroupStateTimeout.NoTimeout)

@@ -21,6 +21,7 @@ from ..operators import mapping as B
 from ..operators import matching as M
 from ..operators import navigation as N
 from ..operators import trajectories as R
+from ..streaming import sensors as Z
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -326,6 +327,19 @@ def asof_imu_nearest(spark, d):
     return R.nearest_in_time(frames, samples, ["user_id"], "frame_id", "us", "sample_id", HALF_HOUR_US)
 
 
+@query(f"""WITH f AS (SELECT user_id, event_id AS frame_id, ts FROM events WHERE event_type = 'purchase'),
+s AS (SELECT user_id, event_id AS sample_id, ts, value, CASE event_type WHEN 'click' THEN 'accel' ELSE 'gyro' END AS kind FROM events WHERE event_type <> 'purchase'),
+j AS (SELECT f.user_id, frame_id, kind, value, abs(epoch_us(s.ts) - epoch_us(f.ts)) // 1000 AS d, row_number() OVER (PARTITION BY frame_id, kind ORDER BY abs(epoch_us(s.ts) - epoch_us(f.ts)), s.ts, sample_id) AS r FROM f JOIN s ON f.user_id = s.user_id AND s.ts BETWEEN f.ts - INTERVAL 30 MINUTE AND f.ts + INTERVAL 30 MINUTE)
+SELECT f.frame_id, a.value AS accel, CAST(a.d AS BIGINT) AS accel_ms, g.value AS gyro, CAST(g.d AS BIGINT) AS gyro_ms FROM f LEFT JOIN (SELECT * FROM j WHERE kind = 'accel' AND r = 1) a USING (frame_id) LEFT JOIN (SELECT * FROM j WHERE kind = 'gyro' AND r = 1) g USING (frame_id)""")
+def sensors_of_frames(spark, d):
+    e = t(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    frames = e.where("event_type = 'purchase'").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_id"), F.col("at").alias("frame_time"))
+    kind = F.when(F.col("event_type") == "click", "accel").otherwise("gyro")
+    samples = e.where("event_type <> 'purchase'").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("sample_id"), kind.alias("type"), F.col("at").alias("sample_time"), F.col("value").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    m = Z.matched(frames, samples, 30 * 60 * 1000)
+    return m.select("frame_id", F.col("accel.x").alias("accel"), F.col("accel.dt_ms").alias("accel_ms"), F.col("gyro.x").alias("gyro"), F.col("gyro.dt_ms").alias("gyro_ms"))
+
+
 @query("SELECT o_orderkey, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, round(CASE WHEN o_orderkey % 360 > 180 THEN -1 ELSE 1 END * sin(radians((o_orderkey % 360) / 2.0)), 4) AS qz, round(abs(cos(radians((o_orderkey % 360) / 2.0))), 4) AS qw FROM orders")
 def quat_from_matrix(spark, d):
     p = node_poses(spark, d)
@@ -415,7 +429,7 @@ def box_mask_antijoin(spark, d):
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 g AS (SELECT user_id, event_id, n, x AS kept, true AS accepted FROM e WHERE n = 1
 UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN abs(e.x - g.kept) >= 15 THEN e.x ELSE g.kept END, abs(e.x - g.kept) >= 15 FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1)
-SELECT user_id, event_id, accepted FROM g""")
+SELECT user_id, event_id, accepted, CASE WHEN NOT accepted THEN 'near' END AS reason FROM g""")
 def keyframe_gate(spark, d):
     e = t(spark, d, "events").select("user_id", "event_id", F.col("event_id").cast("double").alias("t"), F.col("value").alias("x"))
     return R.keyframe_gate(e, "user_id", "event_id", "t", ["x"], R.Gate(15.0))
@@ -568,6 +582,37 @@ def mean_brightness(spark, d):
     return t(spark, d, "embeddings").select("vec_id", F.round(G.mean_brightness(F.col("embedding")), 6).alias("brightness"))
 
 
+@query("""WITH i AS (SELECT vec_id, embedding AS p, y, x FROM embeddings, range(2, 6, 2) a(y), range(2, 6, 2) b(x)),
+e AS (SELECT vec_id, abs(4 * p[y * 8 + x + 1]::DOUBLE - p[y * 8 + x]::DOUBLE - p[y * 8 + x + 2]::DOUBLE - p[y * 8 + x - 7]::DOUBLE - p[y * 8 + x + 9]::DOUBLE) AS e FROM i)
+SELECT vec_id, round(avg(e * e) - avg(e) * avg(e), 8) AS sharpness FROM e GROUP BY vec_id""")
+def sharpness(spark, d):
+    """Vectors as images of eight by eight pixels."""
+    return t(spark, d, "embeddings").select("vec_id", F.round(G.laplacian_variance(F.col("embedding"), F.lit(8), F.lit(8)), 8).alias("sharpness"))
+
+
+@query("""SELECT vec_id, CAST(y * 13 + x AS INT) AS place, embedding[(y * 8 // 5) * 8 + x * 8 // 13 + 1] AS value FROM embeddings, range(5) a(y), range(13) b(x)""")
+def resized_grids(spark, d):
+    """Vectors as grids of eight by eight, made wider and lower."""
+    grid = G.resized_nearest(F.col("embedding"), F.lit(8), F.lit(8), F.lit(13), F.lit(5))
+    return t(spark, d, "embeddings").select("vec_id", F.posexplode(grid).alias("place", "value"))
+
+
+@query(None)
+def navigation_exchange(spark, d):
+    """Devices as sessions: purchases start one on the way to (100, 50, 0), signups end it, views lack their position, clicks and
+    errors are positions."""
+    kind = F.col("event_type")
+    place = F.array("value", F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
+    starts, three = kind == "purchase", lambda *v: F.array(*[F.lit(x) for x in v])
+    events = t(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"),
+        F.when(starts, "session_start").when(kind == "signup", "session_end").otherwise("position_frame").alias("type"),
+        F.when(starts, "u").alias("user_id"), F.when(starts & (F.col("event_id") % 5 > 0), "m").alias("map_id"),
+        F.when(starts, three(0.0, 0.0, 0.0)).alias("start"), F.when(starts, three(100.0, 50.0, 0.0)).alias("goal"), F.when(kind != "view", place).alias("position"),
+    )
+    return N.exchange(events)
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) + 1e-8), 5) AS length, round(embedding[1] / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) + 1e-8), 5)::DOUBLE AS first FROM embeddings")
 def l2_normalized(spark, d):
     v = t(spark, d, "embeddings").select("vec_id", G.l2_normalized(F.col("embedding")).alias("v"))
