@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codecs import decode_pose
 from ..functions.geometry import affine, canonical, quaternion
 from ..functions.text import CHUNK_FRAMES, frame_name, stamp_seconds
-from .trajectories import stride_sample
+from .trajectories import path_length, stride_sample
 
 
 def saved_frames(chunks: DataFrame, session: str, chunk: str, upload: str, frames: str) -> DataFrame:
@@ -118,3 +118,10 @@ def keyframe_list(nodes: DataFrame, pose: str = "pose") -> DataFrame:
     q = canonical(quaternion([at(4 * i + j) for i in range(3) for j in range(3)]))
     known = F.col("_p").isNotNull()
     return rows.withColumns({**{c: at(4 * i + 3) for i, c in enumerate("xyz")}, **{n: F.when(known, c) for n, c in zip(("qx", "qy", "qz", "qw"), q)}}).drop("_p")
+
+
+def finished_maps(nodes: DataFrame, links: DataFrame, features: DataFrame, key: str, node: str, place: tuple[str, str, str]) -> DataFrame:
+    """``summary`` of finished maps with total_distance, the length of the way along their nodes in order of ``node``: what a
+    building's record keeps of a scan.  Nodes without a place have no part in the way."""
+    way = path_length(nodes.dropna(subset=list(place)), key, node, *place).select(key, F.col("length").alias("total_distance"))
+    return summary(nodes, links, features, key).join(way, key, "left").withColumn("total_distance", F.coalesce("total_distance", F.lit(0.0)))

@@ -20,6 +20,7 @@ from ..operators import localize as L
 from ..operators import mapping as B
 from ..operators import matching as M
 from ..operators import navigation as N
+from ..operators import places as U
 from ..operators import trajectories as R
 from ..streaming import sensors as Z
 
@@ -690,6 +691,30 @@ def map_summaries(spark, d):
     return B.summary(nodes, links, features, "map_id")
 
 
+@query("""WITH w AS (SELECT o_custkey, sqrt((o_custkey % 100 - lag(o_custkey % 100) OVER v) ^ 2 + (o_totalprice / 1000 - lag(o_totalprice / 1000) OVER v) ^ 2) AS s FROM orders WHERE o_orderkey % 11 > 0 WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_custkey AS map_id, count(*) AS num_nodes, count(*) FILTER (o_orderstatus = 'P') AS num_loops, round(coalesce(any_value(d), 0), 2)::DOUBLE AS total_distance FROM orders LEFT JOIN (SELECT o_custkey AS c, sum(s) AS d FROM w GROUP BY 1) ON c = o_custkey GROUP BY o_custkey""")
+def finished_maps(spark, d):
+    """What a finished scan's record keeps; every eleventh node has no place."""
+    o = t(spark, d, "orders").withColumnRenamed("o_custkey", "map_id")
+    known = F.col("o_orderkey") % 11 > 0
+    nodes = o.select("map_id", F.col("o_orderkey").alias("node_id"), F.lit(b"x").alias("calibration"), F.when(known, (F.col("map_id") % 100).cast("double")).alias("x"), (F.col("o_totalprice") / 1000).alias("y"), F.lit(0.0).alias("z"))
+    links = o.select("map_id", F.when(F.col("o_orderstatus") == "P", 2).otherwise(0).alias("type"))
+    features = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("map_id"), F.col("l_tax").alias("depth_x"))
+    out = B.finished_maps(nodes, links, features, "map_id", "node_id", ("x", "y", "z"))
+    return out.select("map_id", "num_nodes", "num_loops", F.round("total_distance", 2).alias("total_distance"))
+
+
+@query("""WITH q AS (SELECT s_suppkey AS query, s_suppkey % 50 AS x, s_acctbal / 500 AS y, s_nationkey % 7 AS z FROM supplier),
+p AS (SELECT p_partkey AS place, p_size AS x, p_retailprice / 100 AS y, p_partkey % 7 AS z FROM part WHERE p_name IS NOT NULL),
+d AS (SELECT query, place, sqrt((q.x - p.x) ^ 2 + (q.y - p.y) ^ 2 + (q.z - p.z) ^ 2) AS distance FROM q, p WHERE sqrt((q.x - p.x) ^ 2 + (q.y - p.y) ^ 2 + (q.z - p.z) ^ 2) <= 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, place) AS rank FROM d)
+SELECT query, place, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
+def nearby_places(spark, d):
+    q = t(spark, d, "supplier").select(F.col("s_suppkey").alias("query"), (F.col("s_suppkey") % 50).alias("x"), (F.col("s_acctbal") / 500).alias("y"), (F.col("s_nationkey") % 7).alias("z"))
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("place"), F.col("p_name").alias("name"), F.col("p_size").alias("x"), (F.col("p_retailprice") / 100).alias("y"), (F.col("p_partkey") % 7).alias("z"))
+    return U.nearby(q, p, "query", "place", 3.0, 5).withColumn("distance", F.round("distance", 6))
+
+
 def turning(spark, d, where="true"):
     """Poses of nodes as r and t."""
     c, s, zero, one = F.cos("a"), F.sin("a"), F.lit(0.0), F.lit(1.0)
