@@ -77,11 +77,11 @@ class SqliteMapReader(DataSourceReader):
         self.columns, self.parts = columns, int(options.get("numpartitions", 4))
         self.skip = options.get("broken", "fail") == "skip"
         self.conditions: list[tuple[str, list]] = []
-        self.bounds: tuple[int | None, int | None] = (None, None)
+        self.bounds: tuple[int | None, int | None] = tuple(int(options[k]) if k in options else None for k in ("low", "high"))
         self.maps: set[str] | None = None
         self.rows_read = 0
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+    def taken(self, filters: list[Filter]) -> Iterable[Filter]:
         """Take what a file can tell: comparisons with numbers and strings, sets of them, nulls.  Names come from the schema and
         values are bound, never written into the statement."""
         for f in filters:
@@ -142,6 +142,13 @@ class SqliteMapReader(DataSourceReader):
                 yield row
 
 
+class PushingMapReader(SqliteMapReader):
+    """A reader that takes filters; Spark wants its setting on wherever a reader can."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        return self.taken(filters)
+
+
 def name_of(path: str) -> str:
     return os.path.splitext(os.path.basename(path))[0]
 
@@ -234,7 +241,8 @@ class SqliteMap(DataSource):
         return f"{TABLES[table]}, {MAP} string"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return SqliteMapReader(dict(self.options), schema.names)
+        kind = PushingMapReader if self.options.get("pushfilters") == "true" else SqliteMapReader
+        return kind(dict(self.options), schema.names)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return SqliteMapWriter(dict(self.options), schema, overwrite)
@@ -242,13 +250,19 @@ class SqliteMap(DataSource):
 
 def registered(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteMap)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_map(spark: SparkSession, path: str, table: str, broken: str = "fail", parts: int = 4) -> DataFrame:
-    """A table of one or many maps, with map_id.  Sets the session to push filters into Python sources."""
+def read_map(spark: SparkSession, path: str, table: str, broken: str = "fail", parts: int = 4, low: int | None = None, high: int | None = None) -> DataFrame:
+    """A table of one or many maps, with map_id; only the ranges of rows that hold row numbers from ``low`` to ``high``.
+
+    Filters go into the files with the option pushFilters and spark.sql.python.filterPushdown.enabled, but Spark 4.1 keeps those of a
+    DataFrame's first query for its next ones, which then lose rows: set it only where each query reads anew.
+    """
     registered(spark)
-    return spark.read.format("sqlitemap").option("path", path).option("table", table).option("broken", broken).option("numPartitions", parts).load()
+    rows = spark.read.format("sqlitemap").option("path", path).option("table", table).option("broken", broken).option("numPartitions", parts)
+    for name, value in (("low", low), ("high", high)):
+        rows = rows if value is None else rows.option(name, value)
+    return rows.load()
 
 
 def write_maps(rows: DataFrame, folder: str, table: str, overwrite: bool = False) -> None:
@@ -268,8 +282,8 @@ def keypoints(spark: SparkSession, path: str, broken: str = "fail") -> DataFrame
 
 
 def images(spark: SparkSession, path: str, ids: list[int], broken: str = "fail") -> DataFrame:
-    """map_id, id, image of the nodes ``ids`` that have one; only their rows are read."""
-    rows = read_map(spark, path, "Data", broken)
+    """map_id, id, image of the nodes ``ids`` that have one; ranges of rows below and above all of them aren't read."""
+    rows = read_map(spark, path, "Data", broken, low=min(ids, default=0), high=max(ids, default=-1))
     return rows.where(F.col("id").isin(ids) & F.col("image").isNotNull()).select(MAP, "id", "image")
 
 
