@@ -4,11 +4,13 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from waymark.operators import localize, mapping, places
+from waymark.functions import geometry
+from waymark.operators import localize, mapping, navigation, places, trajectories
 from waymark.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -55,3 +57,38 @@ def test_crowded_places_around_positions(spark, monkeypatch):
     q, p = spark.createDataFrame(asked, "q long, x double, y double, z double"), spark.createDataFrame(there, "p long, name string, x double, y double, z double")
     joined = places.nearby(q, p, "q", "p", 3.0, 5)
     assert {(r["q"], r["p"], round(r["distance"], 9), r["rank"]) for r in joined.collect()} == want and len(want) > 200
+
+
+def test_long_recordings_are_turned_in_parts(spark):
+    """Sessions over several ranges and batches, ties, nulls and a session without an id, as the fold of one array has them."""
+    rng = random.Random(3)
+    rows = [(s, rng.choice([None, *range(4)] if s == 3 else range(900)) , rng.uniform(-2, 2), rng.uniform(-2, 2), 0.3) for s in (1, 2, 3, None) for _ in range(700)]
+    rows = [(s, None if t is None else t / 100, *r) for s, t, *r in rows] + [(4, 0.5, 1.0, 1.0, 1.0), (5, 0.5, 1.0, 1.0, 1.0), (5, 0.7, 1.0, None, 1.0), (5, 0.8, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "s long, t double, x double, y double, z double").repartition(3)
+    folded = df.groupBy("s").agg(F.collect_list(F.struct("t", "x", "y", "z")).alias("a")).select("s", geometry.turned_by_gyro(F.col("a")).alias("q"))
+    want = {r["s"]: r["q"] for r in folded.collect()}
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    got = trajectories.turned_by_gyro(df, "s", "t", ["x", "y", "z"]).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(got) == 6 and want[5] is not None
+    for r in got:
+        assert r["q"] is None and all(x is None for x in want[r["s"]]) or max(abs(a - b) for a, b in zip(r["q"], want[r["s"]])) < 1e-9
+
+
+def test_sessions_of_many_batches_are_navigated_in_one_fold(spark):
+    """Batches end inside sessions; the answers are those of a route stepped over all positions, and no frame holds a session."""
+    rng = random.Random(8)
+    rows = [(s, i, rng.uniform(0, 100), rng.uniform(0, 50), 0.0, 0.0, 0.0, 0.0, 100.0, 50.0, 0.0) for s in (1, 2, None) for i in range(150)]
+    rows += [(3, i, float(i), i / 2, 0.0, 0.0, 0.0, 0.0, 100.0, 50.0, 0.0) for i in range(103)]
+    df = spark.createDataFrame(rows, "s long, i long, x double, y double, z double, sx double, sy double, sz double, gx double, gy double, gz double").repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    done = navigation.navigate(df, "s", "i")
+    got = sorted(map(tuple, done.collect()), key=lambda r: (r[0] or 0, r[1]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = []
+    for s in (None, 1, 2, 3):
+        route = navigation.Route(np.zeros(3), np.array([100.0, 50.0, 0.0]))
+        want += [(s, r[1], *route.step(np.array(r[2:5]))) for r in rows if r[0] == s]
+    assert got == want and got[-1][-1] == "completed" and "FlatMapGroupsInPandas" not in done._jdf.queryExecution().toString()

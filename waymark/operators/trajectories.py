@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,3 +217,108 @@ def gate_stream(poses: DataFrame, session: str, order: str, time: str, coords: l
     out = f"{session} {poses.schema[session].dataType.simpleString()}, {order} {poses.schema[order].dataType.simpleString()}, accepted boolean, reason string"
     held = ", ".join(["t double", "since long", *(f"p{i} double" for i in range(len(coords)))])
     return poses.select(session, order, time, *coords).groupBy(session).applyInPandasWithState(fold, out, held, "append", GroupStateTimeout.NoTimeout)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of quaternions (x, y, z, w), row by row."""
+    (x, y, z, w), e = a.T, b.T
+    return np.stack([w * e[0] + x * e[3] + y * e[2] - z * e[1], w * e[1] - x * e[2] + y * e[3] + z * e[0], w * e[2] + x * e[1] - y * e[0] + z * e[3], w * e[3] - x * e[0] - y * e[1] - z * e[2]], axis=1)
+
+
+def _turns(dt: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Yaw (rate x), pitch (rate y) and roll (rate z) over ``dt`` as quaternions."""
+    (a, b, c) = (rates * dt[:, None] / 2).T
+    sa, sb, sc, ca, cb, cc = np.sin(a), np.sin(b), np.sin(c), np.cos(a), np.cos(b), np.cos(c)
+    return np.stack([cc * sb * ca + sc * cb * sa, cc * cb * sa - sc * sb * ca, sc * cb * ca - cc * sb * sa, cc * cb * ca + sc * sb * sa], axis=1)
+
+
+def _turned(turns: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each run of ``size`` quaternions the product in order, as a unit: neighbours are multiplied until one is left."""
+    while (size > 1).any():
+        first = np.cumsum(size) - size
+        i = np.arange(len(turns)) - np.repeat(first, size)
+        lead = (i % 2 == 0) & (i + 1 < np.repeat(size, size))
+        at = np.flatnonzero(lead)
+        turns[at] = _times(turns[at], turns[at + 1])
+        turns, size = turns[i % 2 == 0], (size + 1) // 2
+    return turns / np.sqrt((turns * turns).sum(axis=1))[:, None]
+
+
+def turned_by_gyro(samples: DataFrame, session: str, t: str, rates: list[str]) -> DataFrame:
+    """session, q: the orientation (x, y, z, w) after a session's gyroscope samples, as ``geometry.turned_by_gyro`` has it for an
+    array of them; null after a sample with a null rate.
+
+    Samples are dealt by ranges of session and time, and a task multiplies its turns batch by batch; the products of a session's
+    ranges are joined in order.  So a session of any length is turned by as many tasks as it has ranges, none of which holds it.
+    """
+    kind = samples.schema[session].dataType.simpleString()
+    names = ["x", "y", "z"]
+    rows = samples.select(F.col(session).alias("s"), F.col(t).cast("double").alias("t"), *[F.col(c).cast("double").alias(n) for c, n in zip(rates, names)])
+    rows = rows.repartitionByRange("s", "t", *names).sortWithinPartitions("s", "t", *names)
+    schema = f"s {kind}, n long, t double, x double, y double, z double, last double, q array<double>, known boolean"
+
+    def heads(keys: pa.Array) -> np.ndarray:
+        """Where runs of one session begin."""
+        null, same = keys.is_null().to_numpy(zero_copy_only=False), pc.fill_null(pc.equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(np.append(True, ~(same | null[1:] & null[:-1])))
+
+    def read(batch: pa.RecordBatch, c: str) -> np.ndarray:
+        return batch.column(c).to_numpy(zero_copy_only=False).astype(float)  # null: NaN
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each run its first sample, whose turn needs the time before, and the turn by the others."""
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = heads(batch.column(0))
+            size = np.diff(np.append(first, batch.num_rows))
+            told = batch.column("t").is_valid().to_numpy(zero_copy_only=False)
+            dt = np.append(0.0, np.where(told[1:] & told[:-1], np.diff(read(batch, "t")), 0.0))
+            turns = _turns(dt, np.stack([read(batch, c) for c in names], axis=1))
+            turns[first] = (0.0, 0.0, 0.0, 1.0)
+            known = np.logical_and.reduce([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in names])
+            q = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * 4), pa.array(_turned(turns, size).ravel()))
+            head, last = batch.take(pa.array(first)), batch.column("t").take(pa.array(first + size - 1))
+            yield pa.RecordBatch.from_arrays([head.column(0), pa.array(np.arange(n, n + len(first))), *head.columns[1:], last, q, pa.array(np.logical_and.reduceat(known, first))], names=["s", "n", "t", "x", "y", "z", "last", "q", "known"])
+            n += len(first)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # of the session under way: its id, last time, turn, and whether that is known
+
+        def out(rows: list) -> pa.RecordBatch:
+            q = pa.array([r[2].tolist() if r[3] else None for r in rows], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], target), q], names=[session, "q"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = heads(batch.column(0))
+            ids, last = batch.column(0).take(pa.array(first)).to_pylist(), batch.column("last").to_pylist()
+            goes_on = bool(held) and held[0][0] == ids[0]
+            at, before = read(batch, "t"), np.append(np.nan, read(batch, "last")[:-1])
+            valid = batch.column("t").is_valid().to_numpy(zero_copy_only=False) & np.append(False, batch.column("last").is_valid().to_numpy(zero_copy_only=False)[:-1])
+            valid[first] = False
+            if goes_on:
+                before[0] = np.nan if held[0][1] is None else held[0][1]
+                valid[0] = held[0][1] is not None and batch.column("t")[0].is_valid
+            turns = _times(_turns(np.where(valid, at - before, 0.0), np.stack([read(batch, c) for c in names], axis=1)), batch.column("q").flatten().to_numpy().reshape(-1, 4))
+            q = _turned(turns, np.diff(np.append(first, batch.num_rows)))
+            known = np.logical_and.reduceat(batch.column("known").to_numpy(zero_copy_only=False), first).tolist()
+            ends = np.append(first[1:], batch.num_rows) - 1
+            rows = [[i, last[e], x, k] for i, e, x, k in zip(ids, ends.tolist(), q, known)]
+            if goes_on:
+                rows[0] = [ids[0], rows[0][1], _turned(_times(held[0][2][None], q[:1]), np.array([1]))[0], held[0][3] and known[0]]
+            elif held:
+                rows.insert(0, held[0])
+            held = [rows.pop()]
+            if rows:
+                yield out(rows)
+        if held:
+            yield out(held)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    target = to_arrow_type(samples.schema[session].dataType)
+    parts = rows.mapInArrow(runs, schema).withColumn("p", F.spark_partition_id())
+    return parts.repartition("s").sortWithinPartitions("s", "p", "n").mapInArrow(join, f"`{session}` {kind}, q array<double>")
