@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Points of a first path and the least of a new one.
@@ -38,19 +40,32 @@ class Route:
         line = self.origin + (self.goal - self.origin) * share
         return np.vstack([self.origin, line]) if self.replanned else line
 
+    def _away(self, p: np.ndarray, lo: int, hi: int) -> list[float]:
+        """How far the path's points lo to hi are from ``p``; one that isn't known is as far as can be.  A look takes a few points,
+        for which plain numbers are quicker than arrays."""
+        (x, y, z), (ox, oy, oz), (gx, gy, gz), last, own = p.tolist(), self.origin.tolist(), self.goal.tolist(), self.steps - 1, int(self.replanned)
+        out = []
+        for i in range(lo, hi):
+            share = (i - own) / last if i > own else 0.0
+            a, b, c = ox + (gx - ox) * share - x, oy + (gy - oy) * share - y, oz + (gz - oz) * share - z
+            d = math.sqrt(a * a + b * b + c * c)
+            out.append(d if d == d else math.inf)
+        return out
+
     def step(self, p: np.ndarray) -> tuple:
         """The answer to a position; a session that has arrived only says so."""
         if self.done:
             return None, None, None, None, None, None, "completed"
-        path = self.path()
-        away = np.sqrt(((path - p) ** 2).sum(axis=1))
+        n = self.steps + self.replanned
         lo = max(0, self.at - BEHIND)
-        best = lo + int(away[lo : self.at + AHEAD].argmin())
-        if away[best] > LOST:
-            anywhere = int(away.argmin())
-            best = anywhere if away[anywhere] < away[best] else best
-        off = float(away[best])
-        self.at, n = best, len(path)
+        away = self._away(p, lo, min(n, self.at + AHEAD))
+        off = min(away)
+        best = lo + away.index(off)
+        if off > LOST:
+            away = self._away(p, 0, n)
+            if (least := min(away)) < off:
+                off, best = least, away.index(least)
+        self.at = best
         self.done = bool(np.sqrt(((self.goal - p) ** 2).sum()) <= ARRIVED)
         again = off > REPLAN
         if again:
@@ -85,17 +100,32 @@ def _schema(frames: DataFrame, session: str, order: str) -> str:
 
 def _wanted(frames: DataFrame, session: str, order: str) -> DataFrame:
     places = ["x", "y", "z", "sx", "sy", "sz", "gx", "gy", "gz"]
-    return frames.select(session, order, *places).dropna(subset=places)
+    return frames.select(session, order, *[F.col(c).cast("double").alias(c) for c in places]).dropna(subset=places)
 
 
 def navigate(frames: DataFrame, session: str, order: str) -> DataFrame:
     """An answer for each position of each session, in ``order``.
 
     ``frames`` has the position x, y, z and the session's start sx, sy, sz and goal gx, gy, gz (those of its first
-    frame count).  Rows with a null place are no frames.  A session is one ordered fold, bounded by its recording.
+    frame count).  Rows with a null place are no frames.  Sessions are sorted on the JVM and folded batch by batch; a task holds
+    one route, so a session of any length fits.
     """
-    run = lambda frame: _fold(frame, session, order, None)[0]
-    return _wanted(frames, session, order).groupBy(session).applyInPandas(run, _schema(frames, session, order))
+    names = [session, order, *(c.split()[0] for c in ANSWER.split(", "))]
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.bool_(), pa.bool_(), pa.string()]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, route = None, None
+        for batch in batches:
+            out, places = [], np.stack([batch.column(i).to_numpy() for i in range(2, 11)], axis=1)
+            for key, p in zip(batch.column(0).to_pylist(), places):
+                if route is None or key != at:
+                    at, route = key, Route(p[3:6].copy(), p[6:9].copy())
+                out.append(route.step(p[:3]))
+            columns = zip(*out) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
+
+    rows = _wanted(frames, session, order).repartition(session).sortWithinPartitions(session, F.col(order).asc_nulls_last())
+    return rows.mapInArrow(fold, _schema(frames, session, order))
 
 
 def navigate_stream(frames: DataFrame, session: str, order: str, quiet_ms: int = 3_600_000) -> DataFrame:
