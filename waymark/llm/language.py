@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from .common import add_columns, small_batches, sum_packed, table, texts
 
 UNKNOWN = "und"
-#: Labelled documents that are looked at for each language: in expectation, by a hash of id and text.
-FIT_DOCS = 1500
 #: Buckets of hashed character 2- and 3-grams.
 BUCKETS = 1 << 16
+#: Letters whose n-grams are counted together in the fit.
+HELD_LETTERS = 1 << 20
 #: Log-likelihood that a change of language between two words must gain.
 SWITCH_PENALTY = 12.0
 
@@ -97,38 +97,47 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") ->
     return docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(4)) != 2))
 
 
-def fit(docs: DataFrame, per_language: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from about ``per_language`` labelled documents of each language (the documented bound).
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn from all labelled documents (see ``labelled``), whole texts.
 
     The tasks count hashed n-grams; one array for each language reaches the driver.  Rows without a label or a text
-    are left out; copies of one row are drawn together.  With no labelled row the model has no language and predicts
-    ``und``.
+    are left out.  With no labelled row the model has no language and predicts ``und``.
     """
     small_batches(docs.sparkSession)
     rows = labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(n)
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     width = len(languages)
-    if not n:
+    if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.ones((len(NAMES), 0), dtype=bool))
-    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / n[k]))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_003)) < share * 1_000_003)
     index = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, np.ndarray] = {}
+        letter, script = tables()
+        some: dict[int, list] = {}
+        held = 0
+
+        def add() -> None:
+            for i, parts in some.items():
+                pairs, triples, scripts = map(np.concatenate, zip(*parts))
+                own = by.setdefault(i, np.zeros(BUCKETS + len(NAMES), dtype=np.int64))
+                own[:BUCKETS] += np.bincount(pairs, minlength=BUCKETS) + np.bincount(triples, minlength=BUCKETS)
+                own[BUCKETS:] += np.bincount(scripts, minlength=len(NAMES))
+            some.clear()
+
         for batch in batches:
             for t, lang in zip(texts(batch), batch.column(batch.schema.get_field_index("lang")).to_pylist()):
-                pairs, triples, _, _ = features(t)
-                own = by.setdefault(index[lang], np.zeros(BUCKETS + len(NAMES), dtype=np.int64))
-                own[:BUCKETS] += np.bincount(pairs, minlength=BUCKETS) + np.bincount(triples, minlength=BUCKETS)
                 code = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
-                letter, script = tables()
-                own[BUCKETS:] += np.bincount(script[code[letter[code]]], minlength=len(NAMES))
+                some.setdefault(index[lang], []).append((*features(t)[:2], script[code[letter[code]]]))
+                held += len(t)
+                if held > HELD_LETTERS:
+                    add()
+                    held = 0
+        add()
         for i, own in by.items():
             yield pa.RecordBatch.from_pydict({"at": pa.array([i], pa.int32()), "data": pa.array([own.tobytes()], pa.binary())})
 
-    got = sum_packed(sample.select("text", "lang").mapInArrow(count, "at int, data binary"))
+    got = sum_packed(rows.select("text", "lang").mapInArrow(count, "at int, data binary"))
     counts = np.stack([got.get(i, np.zeros(BUCKETS + len(NAMES), dtype=np.int64)) for i in range(width)], axis=1).astype(np.float64)
     grams, scripts = counts[:BUCKETS] + 0.5, counts[BUCKETS:]
     allowed = scripts >= 0.001 * np.maximum(scripts.sum(axis=0), 1)
@@ -147,20 +156,24 @@ def viterbi(s: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     lead = np.vstack([np.zeros((1, k)), np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)])
     if (lead - np.minimum.accumulate(lead, axis=0)).max() <= penalty / 2:
         return np.full(n, best)
-    back = np.empty((n, k), dtype=np.int16)
-    own = np.arange(k)
-    v = s[0].astype(np.float64)
-    back[0] = own
-    for t in range(1, n):
-        j = int(v.argmax())
-        switch = v[j] - penalty > v
-        back[t] = np.where(switch, j, own)
-        v = np.where(switch, v[j] - penalty, v) + s[t]
+    # few languages: plain numbers are quicker than arrays
+    own = list(range(k))
+    back, v = [own], s[0].astype(np.float64).tolist()
+    for row in s[1:].astype(np.float64).tolist():
+        most = max(v)
+        least = most - penalty
+        if min(v) < least:
+            j = v.index(most)
+            back.append([j if x < least else i for i, x in enumerate(v)])
+            v = [(least if x < least else x) + y for x, y in zip(v, row)]
+        else:
+            back.append(own)
+            v = [x + y for x, y in zip(v, row)]
     out = np.empty(n, dtype=np.int64)
-    j = int(v.argmax())
+    j = v.index(max(v))
     for t in range(n - 1, -1, -1):
         out[t] = j
-        j = int(back[t, j])
+        j = back[t][j]
     return out
 
 
