@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geometry
 from waymark.llm import language, leaks
-from waymark.operators import localize, mapping, navigation, places, trajectories
+from waymark.operators import localize, mapping, matching, navigation, places, trajectories
 from waymark.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -125,3 +125,25 @@ def test_viterbi_is_the_best_labelling():
         s = rng.normal(0, 6, (6, 3))
         total = lambda labels: sum(s[t, j] for t, j in enumerate(labels)) - 12.0 * sum(a != b for a, b in zip(labels, labels[1:]))
         assert abs(total(language.viterbi(s)) - max(map(total, itertools.product(range(3), repeat=6)))) < 1e-9
+
+
+def test_small_groups_share_cells(spark, monkeypatch):
+    """Many small groups and a large one, of unlike lengths of vectors, against a plain loop; and few of Python's calls for them."""
+    rng = random.Random(6)
+    size = lambda g: 2 + g % 2
+    rows = [(f"g{g}", i, [float(rng.randrange(4)) for _ in range(size(g))]) for g in range(300) for i in range(200 if g == 7 else 4)]
+    df = spark.createDataFrame(rows, "g string, query_id long, vec array<double>")
+    got = {(r["g"], r["query_id"], r["rank"]): (r["point_id"], r["dist"]) for r in matching.nearest(df, df.withColumnRenamed("query_id", "point_id"), 2, within=["g"]).collect()}
+    by = {}
+    for g, i, v in rows:
+        by.setdefault(g, []).append((i, v))
+    want = {(g, i, k + 1): (p, d) for g, own in by.items() for i, v in own for k, (d, p) in enumerate(sorted((math.dist(v, w), p) for p, w in own)[:2])}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-12 for x in want)
+
+
+def test_equal_distances_are_computed_in_slices(monkeypatch):
+    most, exact = [], matching._exact
+    monkeypatch.setattr(matching, "_exact", lambda q, p, metric: most.append(len(q)) or exact(q, p, metric))
+    same = np.ones((1024, 4))
+    row, dist, ids = matching.nearest_of(np.arange(1024), same, np.arange(1024)[::-1].copy(), same, 2, "l2", True)
+    assert max(most) <= 1 << 16 and len(row) == 2048 and set(ids[row == 5]) == {0, 1} and set(ids[row == 0]) == {1, 2} and not dist.any()

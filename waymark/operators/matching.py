@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 #: Queries and points of one cell of the grid: 64 float32 dimensions of both are 16 MB.
 QUERY_BLOCK, POINT_BLOCK = 32_768, 32_768
-#: Of these, compared at once.
-ROWS, COLUMNS = 1024, 2048
+#: Of these, compared at once, and pairs whose exact distances are computed at once.
+ROWS, COLUMNS, PAIRS = 1024, 2048, 1 << 16
+#: Groups of so many rows at most share cells: they are dealt to this many.
+SMALL, SHARED = 256, 1024
 #: What rounding may add to a product-form distance, as a share of the vectors' squared lengths.
 ROUNDING = 1e-9
 METRICS = ("l2", "cosine", "hamming")
@@ -86,7 +88,9 @@ def nearest_of(qids: np.ndarray, qs: np.ndarray, pids: np.ndarray, ps: np.ndarra
             kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
             # all that rounding may have put behind the k-th; then exact distances
             i, j = np.nonzero((d <= kth + 2 * off) & np.isfinite(d))
-            best = _best(*(np.concatenate(x) for x in zip(best, (i, _exact(q[i], part[j], metric), own[j]))), k)
+            for at_ in range(0, len(i), PAIRS):  # equal distances may be as many as all pairs
+                a, b = i[at_ : at_ + PAIRS], j[at_ : at_ + PAIRS]
+                best = _best(*(np.concatenate(x) for x in zip(best, (a, _exact(q[a], part[b], metric), own[b]))), k)
         out.append((best[0] + at, *best[1:]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))
 
@@ -98,7 +102,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "l2", q
     ``hamming``, packed bits in binary columns too.  Queries and points are dealt to blocks that meet in the cells of a grid:
     each block of queries with each block of points in one task, which sends k rows for each query on.  So nothing goes through the
     driver, no task holds more than a block of each, and what is shuffled are the points once for each block of queries
-    and the other way round.  With ``other_than_self`` a point isn't the neighbour of a query of the same id.  Rows without
+    and the other way round.  Small groups share cells, so many of them cost no more than their rows.  With ``other_than_self`` a point isn't the neighbour of a query of the same id.  Rows without
     a vector, an id, or one of ``within`` are left out; an empty side gives no rows.
     """
     if metric not in METRICS:
@@ -107,14 +111,16 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "l2", q
     one = {} if within else {"_all": F.lit(0)}
     side = lambda df, i: df.withColumns(one).select(*keys, F.col(i).cast("long").alias("_id"), F.col(vector).alias("_vec")).dropna()
     q, p = side(queries, query_id), side(points, point_id)
-    blocks = lambda df, size, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    blocks = lambda df, size, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name), F.count(F.lit(1)).alias(f"{name}n"))
     grid = blocks(q, QUERY_BLOCK, "_q").join(blocks(p, POINT_BLOCK, "_p"), keys)
+    mixed = F.xxhash64(*keys)
+    grid = grid.withColumn("_b", F.when(F.col("_qn") + F.col("_pn") <= SMALL, F.pmod(mixed, F.lit(SHARED))).otherwise(mixed)).drop("_qn", "_pn")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
-    cell = [*keys, "_i", "_j"]
-    asked = q.join(grid, keys).select(*keys, own("_q").alias("_i"), every("_p").alias("_j"), "_id", "_vec")
+    cell = ["_b", "_i", "_j"]
+    asked = q.join(grid, keys).select(*keys, "_b", own("_q").alias("_i"), every("_p").alias("_j"), "_id", "_vec")
     # new names of the same columns, or both sides of a table compared with itself would have the same ones
-    there = p.join(grid, keys).select(*[F.col(c).alias(c) for c in keys], every("_q").alias("_i"), own("_p").alias("_j"), "_id", "_vec")
+    there = p.join(grid, keys).select(*[F.col(c).alias(c) for c in [*keys, "_b"]], every("_q").alias("_i"), own("_p").alias("_j"), "_id", "_vec")
     schema = T.StructType([*(q.schema[c] for c in keys), *T._parse_datatype_string("query_id long, point_id long, dist double").fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -123,10 +129,31 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "l2", q
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return target.empty_table()
-        qids, pids = (x.column("_id").to_numpy() for x in (left, right))
-        row, dist, ids = nearest_of(qids, _vectors(left.column("_vec"), metric), pids, _vectors(right.column("_vec"), metric), k, metric, other_than_self)
-        same = [pa.array([left.column(c)[0].as_py()] * len(row), target.field(c).type) for c in keys]
-        return pa.Table.from_arrays([*same, pa.array(qids[row]), pa.array(ids), pa.array(dist)], schema=target)
+        # a cell holds one group or many small ones: rows are sorted by group
+        code: dict[tuple, int] = {}
+        sides = []
+        for x in (left, right):
+            of = np.fromiter((code.setdefault(v, len(code)) for v in zip(*(x.column(c).to_pylist() for c in keys))), dtype=np.int64, count=x.num_rows)
+            order = np.argsort(of, kind="stable")
+            sides.append((of[order], x.column("_id").to_numpy()[order], x.column("_vec").take(pa.array(order))))
+        (qof, qids, qv), (pof, pids, pv) = sides
+        try:
+            qs, ps = _vectors(qv, metric), _vectors(pv, metric)
+        except ValueError:  # lengths may differ from group to group
+            qs = ps = None
+        bounds = [np.searchsorted(of, np.arange(len(code) + 1)).tolist() for of in (qof, pof)]
+        names, out = list(code), []
+        for g, (a, z, c, e) in enumerate(zip(bounds[0], bounds[0][1:], bounds[1], bounds[1][1:])):
+            if a < z and c < e:
+                own_q = qs[a:z] if qs is not None else _vectors(qv.slice(a, z - a), metric)
+                own_p = ps[c:e] if ps is not None else _vectors(pv.slice(c, e - c), metric)
+                row, dist, ids = nearest_of(qids[a:z], own_q, pids[c:e], own_p, k, metric, other_than_self)
+                out.append((np.full(len(row), g), qids[a:z][row], ids, dist))
+        if not out:
+            return target.empty_table()
+        of, asked_, ids, dist = map(np.concatenate, zip(*out))
+        same = [pa.array([n[i] for n in names], target.field(c).type).take(pa.array(of)) for i, c in enumerate(keys)]
+        return pa.Table.from_arrays([*same, pa.array(asked_), pa.array(ids), pa.array(dist)], schema=target)
 
     found = asked.groupBy(*cell).cogroup(there.groupBy(*cell)).applyInArrow(scan, schema)
     rank = F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy("dist", "point_id"))
