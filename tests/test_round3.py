@@ -7,12 +7,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from waymark.functions import geometry
-from waymark.llm import language, leaks
+from waymark.llm import language, leaks, tokens
 from waymark.operators import localize, mapping, matching, navigation, places, trajectories
 from waymark.plans.catalog import ORACLE_SQL, QUERIES
 
@@ -180,3 +182,23 @@ def test_poses_of_many_images_are_solved_together(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     want = {i: (int(g[2].sum()), len(images[i][0])) for i, g in enumerate(one_by_one) if g is not None and g[2].sum() >= 6}
     assert got == {(None if i == 7 else f"m{i % 3}", i): n for i, n in want.items()} and len(got) > 30
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder, r = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(8)
+    letters = [*"aeinrst" * 4, *"bdéüÖ中ё.,'()1903\n"]
+    odd = ["", "", "\t", " ", "　x", "a\n", "\n\nb", "😀", "\x00", "Āā", "'s", "don't", "<|endoftext|>", "x" * 80, "ſ", "\x1c", "a\x00b"]
+    word = lambda: r.choice(odd) if r.random() < 0.02 else "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+    texts = ["", " ", "a", "\n", *(" ".join(word() for _ in range(r.randint(0, 60))) for _ in range(600))]
+    calls, plain = [], tokens.Encoder.whole
+    monkeypatch.setattr(tokens.Encoder, "whole", lambda self, text: calls.append(text) or plain(self, text))
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 200_000)  # tables start anew many times
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    for size in (1, 7, 200):
+        calls.clear()
+        column = pa.array(["before", *texts])[1:]
+        got = [x for lo in range(0, len(texts), size) for x in encoder.encode_column(column[lo : lo + size], np.uint32(2).tobytes()).to_pylist()]
+        assert got == [[*w, 2] for w in want]
+    words = len({w for x in texts for w in x.split(" ")})
+    assert words > 10_000 and len(calls) < 2 * len(texts)  # by themselves: first words, odd words, and texts with odd spacing

@@ -9,6 +9,7 @@ touches just those columns and pages.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -17,15 +18,21 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, shared_dir, small_batches, table
+from .common import add_columns, shared_dir, slices, small_batches, table
 
 END_ID = 2
-#: Memory that each of a worker's tables of words and their ids may take, by estimate; beyond it the table starts anew.
-CACHE_BYTES = 128 << 20
+#: Memory that each of a worker's tables of words and their ids may take, by estimate; beyond it the table starts anew.  There
+#: are three: of parts, and of words with and without a space before, these with the one they had before.
+CACHE_BYTES = 80 << 20
+#: Parts that the model takes in a row.
+ROW = 200
+#: New words that are encoded at once.
+AT_ONCE = 8192
 #: Longer words are encoded again each time.
 LONGEST = 64
 #: The writer's layout.
@@ -43,6 +50,10 @@ WRITER = {
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЁА-яёぁ-んァ-ヶ一-龥"
 MARKS = "!-/:-@\\[-`{-~"
 TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n(?=[{LETTERS}0-9{MARKS}])")
+#: What no run of words that TOKENS covers has: such words are apart from their neighbours, too.
+DOUBTFUL = re.compile(rf"[^{LETTERS}0-9{MARKS}\n]|^\n|\n(?![{LETTERS}0-9{MARKS}])")
+#: The character that stands for a space in a byte-level vocabulary.
+SPACE = "\u0120"
 
 
 def byte_characters() -> list[str]:
@@ -57,41 +68,46 @@ class OddSpacing(Exception):
     """A word that is empty or begins or ends with white space: it may share a pre-token with its neighbours."""
 
 
+def apart(word: str) -> bool:
+    """Whether a pre-token surely starts at the space before a word and at the one behind it."""
+    return bool(word) and word[0].isprintable() and word[-1].isprintable() and not word[0].isspace() and not word[-1].isspace()
+
+
 class Words(dict):
-    """Ids of words, each found out when it is first asked for; ``lead`` is what stands before a word."""
+    """Ids of words, each found out when it is first asked for; ``lead`` is what stands before a word.
+
+    A full table starts anew; of the words before it those that come up again are taken over, the others go when it is next full.
+    """
 
     def __init__(self, encoder: Encoder, lead: str):
-        self.encoder, self.lead, self.held = encoder, lead, 0
+        self.encoder, self.lead, self.held, self.before = encoder, lead, 0, {}
 
     def __missing__(self, word: str) -> bytes:
-        if not word or not (word[0].isprintable() and word[-1].isprintable()) or word[0].isspace() or word[-1].isspace():
-            raise OddSpacing
-        text = self.lead + word
-        parts = TOKENS.findall(text)
-        ids = b"".join(map(self.encoder.parts.__getitem__, parts)) if sum(map(len, parts)) == len(text) else self.encoder.whole(text)
+        ids = self.before.get(word)
+        if ids is None:
+            if not apart(word):
+                raise OddSpacing
+            ids = self.encoder.whole(self.lead + word)
         if len(word) <= LONGEST:
-            self[word] = ids
-            self.held += 220 + len(ids)  # a string, its ids and their place in the table
+            self.keep(word, ids)
         return ids
 
+    def keep(self, word: str, ids: bytes) -> None:
+        self[word] = ids
+        self.held += 220 + len(ids)  # a string, its ids and their place in the table
 
-class Parts(dict):
-    """Ids of pre-tokens by the library's model."""
+    def renew(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.before, self.held = dict(self), 0
+            self.clear()
 
-    def __init__(self, encoder: Encoder):
-        self.encoder, self.held = encoder, 0
 
-    def __missing__(self, part: str) -> bytes:
-        e = self.encoder
-        if part.isascii() and "\n" not in part:
-            shown = "Ġ" + part[1:] if part[0] == " " else part
-        else:
-            shown = part.encode().decode("latin-1").translate(e.shown)
-        ids = b"".join([e.packed[t.id] for t in e.library.model.tokenize(shown)])
-        if len(part) <= LONGEST:
-            self[part] = ids
-            self.held += 220 + len(ids)
-        return ids
+def _cut(ids: bytes, starts: np.ndarray, n: int, skip: int = 0) -> list[bytes]:
+    """Ids cut where a run starts, into ``n`` of them, each without its first ``skip``."""
+    at = (np.flatnonzero(starts) * 4).tolist()
+    if len(at) != n:
+        raise ValueError("not a byte-level BPE tokenizer with the usual pre-tokenizer")
+    return [ids[a + 4 * skip : b] for a, b in zip(at, [*at[1:], len(ids)])]
 
 
 class Encoder:
@@ -99,9 +115,11 @@ class Encoder:
 
     The library's byte-level pre-tokenizer always starts a token at a space that stands between two
     non-space characters, and BPE never crosses it, so a text is the concatenation of its space-led words.
-    A word that TOKENS covers without a gap is cut there just as the pre-tokenizer cuts it, and the library's model
-    encodes the parts; any other goes through the whole library.  So do texts with any other spacing, and texts
-    with the string of an added token, which the library cuts out before all else.
+    The words of some texts that aren't known yet are written in a row and cut there by TOKENS, which covers them without a
+    gap, just as the pre-tokenizer cuts them; the library's model encodes the parts that aren't known, in one call.  A space is
+    only ever in the first token of a word, which tells whose ids are whose.  Any other word goes through the library by
+    itself, and texts with any other spacing go through it whole; so do texts with the string of an added token, which the
+    library cuts out before all else.
     """
 
     def __init__(self, path: str):
@@ -110,30 +128,94 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.shown = dict(enumerate(byte_characters()))
-        self.packed = [np.uint32(i).tobytes() for i in range(self.library.get_vocab_size())]
-        self.parts, self.heads, self.words = Parts(self), Words(self, ""), Words(self, " ")
+        vocabulary = self.library.get_vocab()
+        self.model = Tokenizer(self.library.model)  # alone: it takes parts as the vocabulary shows them, with a zero byte between
+        self.zero = vocabulary.get(self.shown[0])
+        if sum(self.shown[0] in t for t in vocabulary) != 1:
+            raise ValueError("the tokenizer has no token for the zero byte, or others with it")
+        self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.leads[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
+        self.parts, self.parts_held = {}, 0
+        self.heads, self.words = Words(self, ""), Words(self, " ")
         probe = "It's one, two.\nÀ 1995 (x)!"
-        if b"".join(map(self.parts.__getitem__, TOKENS.findall(probe))) != self.whole(probe):
+        if self.encode(probe) != self.whole(probe) or "two.\nÀ" not in self.words:
             raise ValueError("not a byte-level BPE tokenizer with the usual pre-tokenizer")
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Find out the ids of distinct words that aren't known yet, many at once."""
+        known, before = self.words, self.words.before
+        new = [word for word in words if word not in before and 0 < len(word) <= LONGEST]
+        for lo in range(0, len(new), AT_ONCE):
+            some = new[lo : lo + AT_ONCE]
+            parts = TOKENS.findall(row := " " + " ".join(some))
+            if sum(map(len, parts)) != len(row):
+                some = [word for word in some if not DOUBTFUL.search(word)]
+                parts = TOKENS.findall(" " + " ".join(some)) if some else []
+            self._learn_parts(parts)
+            data = b"".join(map(self.parts.__getitem__, parts))
+            known.update(zip(some, _cut(data, self.leads[np.frombuffer(data, dtype="<u4")], len(some))))
+            known.held += 220 * len(some) + len(data)
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        if self.parts_held > CACHE_BYTES:
+            self.parts, self.parts_held = {}, 0
+        new = [x for x in set(parts) if x not in self.parts]
+        if not new:
+            return
+        # each part as the vocabulary shows its bytes; none has a zero byte, and no merge crosses one
+        rows = ["\0".join(new[i : i + ROW]).encode().decode("latin-1").translate(self.shown) for i in range(0, len(new), ROW)]
+        lists = [x for e in self.model.encode_batch_fast(rows, add_special_tokens=False) for x in ([self.zero], e.ids)]
+        ids = np.array(list(itertools.chain.from_iterable(lists)), dtype="<u4")
+        self.parts.update(zip(new, _cut(ids.tobytes(), ids == self.zero, len(new), 1)))
+        self.parts_held += 220 * len(new) + 4 * len(ids)
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> pa.ListArray:
+        """Ids of each text, ``end`` behind them; no text is null.  A word is looked up once, however often the texts have it."""
+        self.heads.renew()
+        self.words.renew()
+        n, cut = len(texts), pc.split_pattern(texts, " ")
+        first, stop = cut.offsets.to_numpy()[:-1], cut.offsets.to_numpy()[1:]
+        coded = cut.flatten().dictionary_encode()
+        code, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        led = np.ones(len(code), dtype=bool)
+        led[first] = False
+        used = np.bincount(code[led], minlength=len(distinct)) > 0
+        entries, odd = list(map(self.words.get, distinct)), np.zeros(len(distinct), dtype=bool)
+        new = [i for i in np.flatnonzero(used).tolist() if entries[i] is None]
+        self.learn([distinct[i] for i in new])
+        for i in new:
+            try:
+                entries[i] = self.words[distinct[i]]
+            except OddSpacing:
+                odd[i] = True
+        whole = np.logical_or.reduceat(odd[code] & led, first)
+        for x in self.added:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        starts = []
+        for i, k in enumerate(code[first].tolist()):
+            try:
+                starts.append(None if whole[i] else self.heads[distinct[k]])
+            except OddSpacing:
+                whole[i] = True
+                starts.append(None)
+        for i in np.flatnonzero(whole).tolist():
+            starts[i] = self.whole(texts[i].as_py())
+        # the table of entries: words, what the texts begin with, nothing (in place of the words of texts encoded whole), the end
+        code[first] = len(distinct) + np.arange(n)
+        code[led & np.repeat(whole, stop - first)] = len(distinct) + n
+        code = np.insert(code, stop, len(distinct) + n + 1)
+        entries = [x or b"" for x in entries] + starts + [b"", end]
+        at = np.cumsum([0, *map(len, entries)]) // 4
+        held = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(entries), dtype="<i4")))
+        size = np.add.reduceat(np.diff(at)[code], first + np.arange(n))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), held.take(pa.array(code)).flatten())
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        for known in (self.parts, self.heads, self.words):
-            if known.held > CACHE_BYTES:
-                known.clear()
-                known.held = 0
-        if any(x in text for x in self.added):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        try:
-            return self.heads[first] + b"".join(map(self.words.__getitem__, rest))
-        except OddSpacing:
-            return self.whole(text)
+        return self.encode_column(pa.array([text])).values.to_numpy().tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -160,16 +242,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = shared_encoder(tokenizer), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                some = batch.slice(lo, 200)
-                ids = [encoder.encode(x) + end for x in some.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.cumsum(n)
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(at + ends - n), pa.array(n), tokens], schema=schema)
-                at += int(ends[-1])
+        for some in slices(batches):
+            tokens = encoder.encode_column(some.column(1), end)
+            ends = tokens.offsets.to_numpy()[1:].astype(np.int64)
+            n = np.diff(ends, prepend=0)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(at + ends - n), pa.array(n), tokens], schema=schema)
+            at += int(ends[-1])
 
     rows.mapInArrow(encode, "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>").write.options(**WRITER).parquet(path)
 
