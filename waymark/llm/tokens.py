@@ -147,7 +147,10 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         """Find out the ids of distinct words that aren't known yet, many at once."""
         known, before = self.words, self.words.before
-        new = [word for word in words if word not in before and 0 < len(word) <= LONGEST]
+        old = [word for word in words if word in before]
+        known.update(zip(old, ids := [before[word] for word in old]))
+        known.held += 220 * len(old) + sum(map(len, ids))
+        new = [word for word in words if word not in known and 0 < len(word) <= LONGEST]
         for lo in range(0, len(new), AT_ONCE):
             some = new[lo : lo + AT_ONCE]
             parts = TOKENS.findall(row := " " + " ".join(some))
@@ -186,9 +189,9 @@ class Encoder:
         entries, odd = list(map(self.words.get, distinct)), np.zeros(len(distinct), dtype=bool)
         new = [i for i in np.flatnonzero(used).tolist() if entries[i] is None]
         self.learn([distinct[i] for i in new])
-        for i in new:
+        for i, ids in zip(new, list(map(self.words.get, map(distinct.__getitem__, new)))):
             try:
-                entries[i] = self.words[distinct[i]]
+                entries[i] = self.words[distinct[i]] if ids is None else ids
             except OddSpacing:
                 odd[i] = True
         whole = np.logical_or.reduceat(odd[code] & led, first)
