@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from waymark.functions import geometry
 from waymark.llm import language, leaks, tokens
+from waymark.llm.common import shared_dir, slices
 from waymark.operators import localize, mapping, matching, navigation, places, trajectories
 from waymark.plans.catalog import ORACLE_SQL, QUERIES
 
@@ -202,3 +203,41 @@ def test_new_words_are_encoded_together(monkeypatch):
         assert got == [[*w, 2] for w in want]
     words = len({w for x in texts for w in x.split(" ")})
     assert words > 10_000 and len(calls) < 2 * len(texts)  # by themselves: first words, odd words, and texts with odd spacing
+
+
+def test_token_report_sends_no_ids_back(spark):
+    """Ids go to Python for their sums, and only the sums come back."""
+    path = shared_dir(spark)
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c")], "doc_id long, text string")
+    tokens.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    report = tokens.token_report(spark, path)
+    step = [x for x in report._jdf.queryExecution().executedPlan().toString().split("\n") if "MapInArrow" in x]
+    assert len(step) == 1 and "ids_crc32#" in step[0]
+    assert " tokens#" not in step[0][step[0].rindex("[") :], step  # the columns that the step returns
+    assert report.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and report.count() == 3
+
+
+def test_words_of_the_table_before_are_not_encoded_again(monkeypatch):
+    """Texts are encoded 2 MB at a time; words that a table or the one before it has aren't encoded again, and tables stay bounded."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeinrst") for _ in range(r.randint(6, 9)))
+    words = [word() for _ in range(2000)]
+    texts = pa.array(["x " + " ".join(r.sample(words, 1000)) for _ in range(600)])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 500_000)  # a slice's words fill a table
+    parts, plain = [], tokens.Encoder._parts
+    monkeypatch.setattr(tokens.Encoder, "_parts", lambda self, some: parts.extend(some) or plain(self, some))
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    some = list(slices([batch], tokens.TEXT_BYTES))
+    assert len(some) > 1
+    got, again = [], []
+    for x in some:
+        parts.clear()
+        got += encoder.encode_column(x.column(0)).to_pylist()
+        again.append(len(parts))
+        fresh = [f"{word()}q" for _ in range(1500)]
+        encoder.encode_column(pa.array(["x " + " ".join(fresh)]))
+        assert encoder.words.n < 5000 and encoder.before.n < 5000
+    assert again[0] == len(set(words)) and set(again[1:]) == {0}
+    assert got == [e.ids for e in library.encode_batch(texts.to_pylist(), add_special_tokens=False)]

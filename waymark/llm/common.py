@@ -87,10 +87,10 @@ def widened(schema: T.StructType, added: T.StructType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() not in new] + list(added.fields))
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches, cut into runs of rows of about ``WORK_BYTES``; a longer row stands alone or with few others."""
+def slices(batches: Iterator[pa.RecordBatch], size: int = WORK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into runs of rows of about ``size`` bytes; a longer row stands alone or with few others."""
     for batch in batches:
-        rows = max(1, batch.num_rows * WORK_BYTES // max(batch.nbytes, 1))
+        rows = max(1, batch.num_rows * size // max(batch.nbytes, 1))
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
 

@@ -23,16 +23,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, shared_dir, slices, small_batches, table
+from .common import shared_dir, slices, small_batches, table
 
 END_ID = 2
 #: Memory that each of a worker's tables of words and their ids may take, by estimate; beyond it the table starts anew.  There
-#: are three: of parts, and of words with and without a space before, these with the one they had before.
+#: are four: of parts, of words without a space before, of words with one, and the one before that.
 CACHE_BYTES = 80 << 20
 #: Parts that the model takes in a row.
 ROW = 200
 #: New words that are encoded at once.
 AT_ONCE = 8192
+#: Bytes of texts that are encoded at once: the more, the fewer words are looked up again.
+TEXT_BYTES = 2 << 20
 #: Longer words are encoded again each time.
 LONGEST = 64
 #: The writer's layout.
@@ -73,41 +75,64 @@ def apart(word: str) -> bool:
     return bool(word) and word[0].isprintable() and word[-1].isprintable() and not word[0].isspace() and not word[-1].isspace()
 
 
-class Words(dict):
-    """Ids of words, each found out when it is first asked for; ``lead`` is what stands before a word.
+class Heads(dict):
+    """Ids of the words that texts begin with, each found out when it is first asked for; a full table starts anew."""
 
-    A full table starts anew; of the words before it those that come up again are taken over, the others go when it is next full.
-    """
-
-    def __init__(self, encoder: Encoder, lead: str):
-        self.encoder, self.lead, self.held, self.before = encoder, lead, 0, {}
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.held = encoder, 0
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.before.get(word)
-        if ids is None:
-            if not apart(word):
-                raise OddSpacing
-            ids = self.encoder.whole(self.lead + word)
+        if not apart(word):
+            raise OddSpacing
+        ids = self.encoder.whole(word)
         if len(word) <= LONGEST:
-            self.keep(word, ids)
+            self[word] = ids
+            self.held += 220 + len(ids)  # a string, its ids and their place in the table
         return ids
 
-    def keep(self, word: str, ids: bytes) -> None:
-        self[word] = ids
-        self.held += 220 + len(ids)  # a string, its ids and their place in the table
-
     def renew(self) -> None:
         if self.held > CACHE_BYTES:
-            self.before, self.held = dict(self), 0
+            self.held = 0
             self.clear()
 
 
-def _cut(ids: bytes, starts: np.ndarray, n: int, skip: int = 0) -> list[bytes]:
-    """Ids cut where a run starts, into ``n`` of them, each without its first ``skip``."""
-    at = (np.flatnonzero(starts) * 4).tolist()
+class Table:
+    """Ids of strings, in one array; ``row`` tells which of its lists a string has.  List 0 is empty: that of unknown strings."""
+
+    def __init__(self):
+        self.row: dict[str, int] = {}
+        self.n, self.at, self.ids = 1, np.zeros(1 << 12, dtype=np.int32), np.empty(1 << 14, dtype=np.int32)
+
+    def full(self) -> bool:
+        return 220 * self.n + 4 * int(self.at[self.n]) > CACHE_BYTES  # a string, its ids and their place in the table
+
+    def rows(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.row.get, strings, itertools.repeat(0)), dtype=np.int32, count=len(strings))
+
+    def take(self, rows: np.ndarray) -> pa.ListArray:
+        at = self.at[: self.n + 1]
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(self.ids[: at[-1]])).take(pa.array(rows))
+
+    def put(self, strings: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Add strings that aren't held; ``ends``: where the ids of each end.  Returns their lists."""
+        n, held = self.n + len(strings), int(self.at[self.n])
+        if n >= len(self.at):
+            self.at = np.append(self.at, np.zeros(n, dtype=np.int32))
+        if held + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.empty(held + len(ids), dtype=np.int32))
+        self.at[self.n + 1 : n + 1] = held + ends
+        self.ids[held : held + len(ids)] = ids
+        self.row.update(zip(strings, range(self.n, n)))
+        self.n = n
+        return np.arange(n - len(strings), n, dtype=np.int32)
+
+
+def _ends(starts: np.ndarray, n: int) -> np.ndarray:
+    """Where runs end of which ``n`` start where ``starts`` says, the first one at once."""
+    at = np.flatnonzero(starts)
     if len(at) != n:
         raise ValueError("not a byte-level BPE tokenizer with the usual pre-tokenizer")
-    return [ids[a + 4 * skip : b] for a, b in zip(at, [*at[1:], len(ids)])]
+    return np.append(at, len(starts))[1:]
 
 
 class Encoder:
@@ -135,50 +160,55 @@ class Encoder:
             raise ValueError("the tokenizer has no token for the zero byte, or others with it")
         self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.leads[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
-        self.parts, self.parts_held = {}, 0
-        self.heads, self.words = Words(self, ""), Words(self, " ")
+        self.heads, self.parts, self.words, self.before = Heads(self), Table(), Table(), Table()
         probe = "It's one, two.\nÀ 1995 (x)!"
-        if self.encode(probe) != self.whole(probe) or "two.\nÀ" not in self.words:
+        if self.encode(probe) != self.whole(probe) or "two.\nÀ" not in self.words.row:
             raise ValueError("not a byte-level BPE tokenizer with the usual pre-tokenizer")
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Find out the ids of distinct words that aren't known yet, many at once."""
-        known, before = self.words, self.words.before
-        old = [word for word in words if word in before]
-        known.update(zip(old, ids := [before[word] for word in old]))
-        known.held += 220 * len(old) + sum(map(len, ids))
-        new = [word for word in words if word not in known and 0 < len(word) <= LONGEST]
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Find out the ids of distinct words that aren't known yet, many at once.  Returns their lists: 0 for those left out."""
+        rows = self.before.rows(words)
+        if len(old := np.flatnonzero(rows)):
+            lists = self.before.take(rows[old])
+            rows[old] = self.words.put([words[i] for i in old.tolist()], lists.values.to_numpy(), lists.offsets.to_numpy()[1:])
+        new = [i for i in np.flatnonzero(rows == 0).tolist() if 0 < len(words[i]) <= LONGEST]
         for lo in range(0, len(new), AT_ONCE):
-            some = new[lo : lo + AT_ONCE]
+            at = new[lo : lo + AT_ONCE]
+            some = [words[i] for i in at]
             parts = TOKENS.findall(row := " " + " ".join(some))
             if sum(map(len, parts)) != len(row):
-                some = [word for word in some if not DOUBTFUL.search(word)]
+                at = [i for i in at if not DOUBTFUL.search(words[i])]
+                some = [words[i] for i in at]
                 parts = TOKENS.findall(" " + " ".join(some)) if some else []
-            self._learn_parts(parts)
-            data = b"".join(map(self.parts.__getitem__, parts))
-            known.update(zip(some, _cut(data, self.leads[np.frombuffer(data, dtype="<u4")], len(some))))
-            known.held += 220 * len(some) + len(data)
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        if self.parts_held > CACHE_BYTES:
-            self.parts, self.parts_held = {}, 0
-        new = [x for x in set(parts) if x not in self.parts]
-        if not new:
-            return
-        # each part as the vocabulary shows its bytes; none has a zero byte, and no merge crosses one
-        rows = ["\0".join(new[i : i + ROW]).encode().decode("latin-1").translate(self.shown) for i in range(0, len(new), ROW)]
-        lists = [x for e in self.model.encode_batch_fast(rows, add_special_tokens=False) for x in ([self.zero], e.ids)]
-        ids = np.array(list(itertools.chain.from_iterable(lists)), dtype="<u4")
-        self.parts.update(zip(new, _cut(ids.tobytes(), ids == self.zero, len(new), 1)))
-        self.parts_held += 220 * len(new) + 4 * len(ids)
+            ids = self._parts(parts)
+            rows[at] = self.words.put(some, ids, _ends(self.leads[ids], len(some)))
+        return rows
+
+    def _parts(self, parts: list[str]) -> np.ndarray:
+        """The ids of parts, one behind the other."""
+        if self.parts.full():
+            self.parts = Table()
+        rows = self.parts.rows(parts)
+        if len(at := np.flatnonzero(rows == 0)):
+            some = [parts[i] for i in at.tolist()]
+            new = list(dict.fromkeys(some))
+            # each part as the vocabulary shows its bytes; none has a zero byte, and no merge crosses one
+            texts = ["\0".join(new[i : i + ROW]).encode().decode("latin-1").translate(self.shown) for i in range(0, len(new), ROW)]
+            lists = [x for e in self.model.encode_batch_fast(texts, add_special_tokens=False) for x in ([self.zero], e.ids)]
+            ids = np.array(list(itertools.chain.from_iterable(lists)), dtype=np.int32)
+            ends = _ends(ids == self.zero, len(new)) - np.arange(1, len(new) + 1)
+            self.parts.put(new, ids[ids != self.zero], ends)
+            rows[at] = self.parts.rows(some)
+        return self.parts.take(rows).values.to_numpy()
 
     def encode_column(self, texts: pa.Array, end: bytes = b"") -> pa.ListArray:
         """Ids of each text, ``end`` behind them; no text is null.  A word is looked up once, however often the texts have it."""
         self.heads.renew()
-        self.words.renew()
+        if self.words.full():
+            self.words, self.before = Table(), self.words
         n, cut = len(texts), pc.split_pattern(texts, " ")
         first, stop = cut.offsets.to_numpy()[:-1], cut.offsets.to_numpy()[1:]
         coded = cut.flatten().dictionary_encode()
@@ -186,15 +216,18 @@ class Encoder:
         led = np.ones(len(code), dtype=bool)
         led[first] = False
         used = np.bincount(code[led], minlength=len(distinct)) > 0
-        entries, odd = list(map(self.words.get, distinct)), np.zeros(len(distinct), dtype=bool)
-        new = [i for i in np.flatnonzero(used).tolist() if entries[i] is None]
-        self.learn([distinct[i] for i in new])
-        for i, ids in zip(new, list(map(self.words.get, map(distinct.__getitem__, new)))):
-            try:
-                entries[i] = self.words[distinct[i]] if ids is None else ids
-            except OddSpacing:
+        rows, odd, more = self.words.rows(distinct), np.zeros(len(distinct), dtype=bool), {}
+        new = np.flatnonzero(used & (rows == 0))
+        rows[new] = self.learn([distinct[i] for i in new.tolist()])
+        for i in np.flatnonzero(used & (rows == 0)).tolist():
+            if apart(distinct[i]):
+                more[i] = self.whole(" " + distinct[i])
+            else:
                 odd[i] = True
-        whole = np.logical_or.reduceat(odd[code] & led, first)
+        if short := [i for i in more if len(distinct[i]) <= LONGEST]:
+            data = b"".join(map(more.get, short))
+            self.words.put([distinct[i] for i in short], np.frombuffer(data, dtype="<i4"), np.cumsum([len(more[i]) // 4 for i in short]))
+        whole = np.logical_or.reduceat(odd[code] & led, first) if odd.any() else np.zeros(n, dtype=bool)
         for x in self.added:
             whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         starts = []
@@ -206,14 +239,22 @@ class Encoder:
                 starts.append(None)
         for i in np.flatnonzero(whole).tolist():
             starts[i] = self.whole(texts[i].as_py())
-        # the table of entries: words, what the texts begin with, nothing (in place of the words of texts encoded whole), the end
-        code[first] = len(distinct) + np.arange(n)
-        code[led & np.repeat(whole, stop - first)] = len(distinct) + n
-        code = np.insert(code, stop, len(distinct) + n + 1)
-        entries = [x or b"" for x in entries] + starts + [b"", end]
-        at = np.cumsum([0, *map(len, entries)]) // 4
-        held = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(entries), dtype="<i4")))
+        # the table of entries: known words, what the texts begin with, nothing (in place of the words of texts encoded whole), the
+        # end, words encoded by themselves
+        m, known = len(distinct), self.words.take(rows)
+        if more:
+            to = np.arange(m, dtype=code.dtype)
+            to[list(more)] = m + n + 2 + np.arange(len(more))
+            code = to[code]
+        code[first] = m + np.arange(n)
+        if whole.any():
+            code[led & np.repeat(whole, stop - first)] = m + n
+        code = np.insert(code, stop, m + n + 1)
+        others = [*starts, b"", end, *more.values()]
+        at = np.append(known.offsets.to_numpy(), len(known.values) + np.cumsum([len(x) // 4 for x in others])).astype(np.int32)
+        ids = np.append(known.values.to_numpy(), np.frombuffer(b"".join(others), dtype="<i4"))
         size = np.add.reduceat(np.diff(at)[code], first + np.arange(n))
+        held = pa.ListArray.from_arrays(pa.array(at), pa.array(ids))
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), held.take(pa.array(code)).flatten())
 
     def encode(self, text: str) -> bytes:
@@ -245,7 +286,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at, part = shared_encoder(tokenizer), 0, TaskContext.get().partitionId()
-        for some in slices(batches):
+        for some in slices(batches, TEXT_BYTES):
             tokens = encoder.encode_column(some.column(1), end)
             ends = tokens.offsets.to_numpy()[1:].astype(np.int64)
             n = np.diff(ends, prepend=0)
@@ -281,18 +322,18 @@ def _with_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(spark.createDataFrame(offsets, "part int, offset long")), "part").withColumn("start", F.col("offset") + F.col("start_in_part"))
 
 
-def _crc(batch: pa.RecordBatch) -> dict[str, list | pa.Array]:
-    lists = batch.column(batch.schema.get_field_index("tokens"))
-    flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-    at = lists.offsets.to_numpy()
-    return {"ids_crc32": [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]}
-
-
 def token_report(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and the CRC-32 of the ids, read back from the files."""
-    rows = read_tokens(spark, path)
-    rows = add_columns(rows, lambda: _crc, "ids_crc32 long", keep=["doc_id", "start", "n_tokens", "tokens"])
-    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+    small_batches(spark)
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            flat, at = lists.values.to_numpy().view("<u4"), lists.offsets.to_numpy().tolist()
+            sums = [zlib.crc32(flat[a:b]) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, type=pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "tokens").mapInArrow(report, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
