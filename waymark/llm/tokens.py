@@ -28,7 +28,7 @@ from .common import shared_dir, slices, small_batches, table
 END_ID = 2
 #: Memory that each of a worker's tables of words and their ids may take, by estimate; beyond it the table starts anew.  There
 #: are four: of parts, of words without a space before, of words with one, and the one before that.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 32 << 20
 #: Parts that the model takes in a row.
 ROW = 200
 #: New words that are encoded at once.
